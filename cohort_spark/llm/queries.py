@@ -1,8 +1,9 @@
 """Registered queries of this subpackage and the SQL that they are held against, where SQL can say it."""
 
-from . import quality_rules
+from . import bpe, quality_rules
 
 QUERIES = {
+    "op5_bpe": bpe.query,
     "op7_quality_rules": quality_rules.query,
 }
 

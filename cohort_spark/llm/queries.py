@@ -1,12 +1,14 @@
 """Registered queries of this subpackage and the SQL that they are held against, where SQL can say it."""
 
-from . import bpe, quality_rules
+from . import bpe, ngram_join, quality_rules
 
 QUERIES = {
+    "op2_ngram_jaccard": ngram_join.query,
     "op5_bpe": bpe.query,
     "op7_quality_rules": quality_rules.query,
 }
 
 ORACLE_SQL = {
+    "op2_ngram_jaccard": ngram_join.SQL,
     "op7_quality_rules": quality_rules.SQL,
 }

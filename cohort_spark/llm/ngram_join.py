@@ -7,12 +7,15 @@ if the sets differ there, so the number of differing words bounds the difference
 may be similar agree on K - D segments at least (pigeonhole). Joining on (band, segment, word) therefore
 finds every pair; pairs are then verified on the whole sets.
 
+The Hamming bound is also the filter: a pair that agrees on fewer than K - D segments is dropped unverified.
+
 Hot keys. Many sets may share a segment (a passage that a third of all documents quote, a group of near copies,
 segments without shingles). A set can do without as many of its matching segments as K exceeds D + 1, so
-empty segments give no key, and the keys of hot groups are given up wherever that allowance covers them. Each
-hot group is still linked to its smallest member, and the sets whose allowance is used up ("saturated") meet
-in a second pass that compares only members of different components. Nothing is capped: every pair that
-could be similar is verified, or its two ends are already connected.
+empty segments give no key, and the keys of hot groups are given up wherever that allowance covers them; the
+bound then asks for as many matches less. The sets whose allowance is used up ("saturated") are compared with
+the smallest saturated member of each of their hot groups, and then meet in a second pass that compares only
+members of different components. Nothing is capped: every pair that could be similar is verified, or its two
+ends are already connected.
 
 Cost. Sets are found by one pass over the texts; what is shuffled is about half a key for each shingle. Equal
 sets are one class from the start: each task emits the keys of a class once. Verification reads texts again,
@@ -38,7 +41,7 @@ WIDTH = 5
 #: Similarity in hundredths.
 PERCENT = 80
 #: Distinct sets of one key from which on it is hot.
-HOT = 48
+HOT = 16
 #: Ids of candidates that are broadcast at most (8 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _BAND_STEP = 1.6
@@ -52,7 +55,7 @@ def bands(percent: int, up_to: int = 1 << 31) -> tuple[np.ndarray, np.ndarray, n
         least.append(max(least[-1] + 4, int(least[-1] * _BAND_STEP)))
     first = np.array(least, np.int64)
     diff = (100 - percent) * 2 * (first[1:] - 1) // (100 + percent)
-    return first, diff, diff + 2 + diff // 8
+    return first, diff, diff + 2 + diff // 5
 
 
 def class_hash(shingles: np.ndarray) -> int:
@@ -103,7 +106,7 @@ def _sketches(percent: int, width: int, text: str):
                     spare = int(count[b] - diff[b]) - 1 - (int(count[b]) - len(keys))
                     if spare < 0:  # the matching segments may all be empty: these count as keys too
                         keys = np.concatenate([keys, empty_keys(shingles, b, int(count[b]))])
-                        spare = 0
+                        spare = int(count[b] - diff[b]) - 1
                     out.append((keys.view(np.int64), np.full(len(keys), ref), np.full(len(keys), n + min(spare, 1 << 20) * _PACK + (b << 56))))
             parts = [tuple(np.array(c, np.int64) for c in own), *out]
             yield pd.DataFrame({c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(("key", "ref", "info"))})
@@ -111,60 +114,62 @@ def _sketches(percent: int, width: int, text: str):
     return run
 
 
-def _pairs(percent: int, hot: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Over rows sorted by key and class: documents as they are ('d': id, class, size), candidate pairs
-        ('p': class, class) of small groups, and of hot groups the members ('h': key, class, info) and
-        their pairs with the first member ('p')."""
-        key, refs, infos, is_hot = None, [], [], False
+FOUND = "kind string, a long, b long, c long, band int, sa int, sb int"
 
-        def frame(kind: str, a, b, c) -> pd.DataFrame:
-            return pd.DataFrame({"kind": kind, "a": np.asarray(a, np.int64), "b": np.asarray(b, np.int64), "c": np.asarray(c, np.int64)})
 
-        def fits(x, y):
-            x, y = x & (_PACK - 1), y & (_PACK - 1)
-            return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+def _pairs(percent: int, hot: int):
+    def frame(kind: str, a, b, c, ia, ib) -> pd.DataFrame:
+        return pd.DataFrame({"kind": kind, "a": a, "b": b, "c": c, "band": (ia >> 56).astype(np.int32),
+                             "sa": ((ia >> 32) & 0xFFFFFF).astype(np.int32), "sb": ((ib >> 32) & 0xFFFFFF).astype(np.int32)})
 
-        for batch in batches:
-            k, r, i = (batch[c].to_numpy(np.int64) for c in ("key", "ref", "info"))
-            docs = i < 0
-            if docs.any():
-                yield frame("d", k[docs], r[docs], -1 - i[docs])
-                k, r, i = k[~docs], r[~docs], i[~docs]
-            if not len(k):
-                continue
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Over rows sorted by key and class: documents as they are ('d': id, class, size), pairs that a key of
+        few classes gives ('p': class, class) and the members of hot keys ('h': key, class, size); band, sa and
+        sb are the key's band and the allowances of the two classes."""
+        tail = np.empty((3, 0), np.int64)  # the last key's rows so far, fewer than ``hot``
+        hot_key = None
+
+        def told(rows: np.ndarray, last: bool) -> Iterator[pd.DataFrame]:
+            nonlocal tail, hot_key
+            k, r, i = rows
             new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])]  # a class comes once for each task that saw it
-            k, r, i = k[new], r[new], i[new]
+            k, r, i = rows[:, new]
             starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            ends = np.r_[starts[1:], len(k)]
-            pairs, hots = set(), []
-            for s, e in zip(starts, ends):
-                if key is not None and k[s] == key:
-                    if refs[-1] == r[s]:
-                        s += 1
-                else:
-                    key, refs, infos, is_hot = k[s], [], [], False
-                    if e - s == 1 and e < len(k):
-                        continue  # the whole group: nobody to pair with
-                for ref, info in zip(r[s:e].tolist(), i[s:e].tolist()):
-                    if is_hot:
-                        hots.append((key, ref, info))
-                        if fits(infos[0], info):
-                            pairs.add((refs[0], ref))
-                    else:
-                        pairs.update((x, ref) for x, y in zip(refs, infos) if fits(y, info))
-                        if len(refs) + 1 == hot:
-                            is_hot = True
-                            hots += [(key, x, y) for x, y in zip(refs, infos)] + [(key, ref, info)]
-                    if is_hot:
-                        refs, infos = [refs[0], ref], [infos[0], info]
-                    else:
-                        refs.append(ref)
-                        infos.append(info)
-            if pairs:
-                yield frame("p", *np.array(sorted(pairs), np.int64).T, np.zeros(len(pairs)))
-            if hots:
-                yield frame("h", *np.array(hots, np.int64).T)
+            sizes = np.diff(np.r_[starts, len(k)])
+            is_hot = (sizes >= hot) | ((k[starts] == hot_key) if hot_key is not None else False)
+            done = np.ones(len(starts), bool)
+            if not last:
+                done[-1] = is_hot[-1]  # more of it may come
+                hot_key = k[-1] if is_hot[-1] else None
+                tail = np.empty((3, 0), np.int64) if is_hot[-1] else np.stack([k, r, i])[:, starts[-1] :]
+            many = np.repeat(is_hot, sizes)
+            if many.any():
+                yield frame("h", k[many], r[many], i[many] & (_PACK - 1), i[many], i[many])
+            xs, ys = [], []
+            for n in np.unique(sizes[done & ~is_hot]):
+                if n > 1:
+                    x, y = np.triu_indices(n, 1)
+                    first = starts[done & ~is_hot & (sizes == n)][:, None]
+                    xs.append((first + x).ravel())
+                    ys.append((first + y).ravel())
+            if xs:
+                x, y = np.concatenate(xs), np.concatenate(ys)
+                nx, ny = i[x] & (_PACK - 1), i[y] & (_PACK - 1)
+                fit = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+                x, y = x[fit], y[fit]
+                yield frame("p", r[x], r[y], np.ones(len(x), np.int64), i[x], i[y])
+
+        for batch in batches:
+            rows = np.stack([batch[c].to_numpy(np.int64) for c in ("key", "ref", "info")])
+            docs = rows[2] < 0
+            if docs.any():
+                k, r, i = rows[:, docs]
+                yield frame("d", k, r, -1 - i, np.zeros_like(k), np.zeros_like(k))
+                rows = rows[:, ~docs]
+            if rows.shape[1]:
+                yield from told(np.concatenate([tail, rows], axis=1), False)
+        if tail.shape[1]:
+            yield from told(tail, True)
 
     return run
 
@@ -230,33 +235,38 @@ def classes_and_links(docs: DataFrame, text: str = "text", width: int = WIDTH, p
     """
     docs = docs.select("doc_id", F.col(text).alias("text"))
     keys = docs.mapInPandas(_sketches(percent, width, "text"), "key long, ref long, info long")
-    found = cut(keys.repartition("key").sortWithinPartitions("key", "ref").mapInPandas(_pairs(percent, hot), "kind string, a long, b long, c long"))
+    found = cut(keys.repartition("key").sortWithinPartitions("key", "ref").mapInPandas(_pairs(percent, hot), FOUND))
 
     rows = found.where("kind = 'd'").select(F.col("a").alias("doc_id"), F.col("b").alias("ref"), F.col("c").alias("n_shingles"))
-    least = rows.where("n_shingles > 0").groupBy("ref", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    least = cut(least)
+    least = cut(rows.where("n_shingles > 0").groupBy("ref", "n_shingles").agg(F.min("doc_id").alias("class_id")))
     members = rows.join(least, ["ref", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
-
     of = least.select("ref", F.col("class_id").alias("id"), F.col("n_shingles").alias("n"))
-    pairs = found.where("kind = 'p'").select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
-    pairs = cut(pairs.join(of.select(F.col("ref").alias("x"), F.col("id").alias("i")), "x").join(of.select(F.col("ref").alias("y"), F.col("id").alias("j")), "y")
-                .select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")))
+
+    hots = found.where("kind = 'h'").select(F.col("a").alias("key"), F.col("b").alias("ref"), "band", F.col("sa").alias("spare"))
+    used = cut(hots.groupBy("ref", "band").agg(F.count("*").alias("used"), F.max("spare").alias("spare")))
+
+    # Matches by band; the pair's own band is among them. What hot keys took counts as matched.
+    matched = found.where("kind = 'p'").groupBy("a", "b", "band").agg(F.sum("c").alias("c"), F.max("sa").alias("sa"), F.max("sb").alias("sb"))
+    for x in ("a", "b"):
+        took = used.select(F.col("ref").alias(x), "band", F.col("used").alias(f"u{x}"))
+        matched = matched.where("c > 0").join(took, [x, "band"], "left")
+    enough = [F.col("c") + F.coalesce(f"u{x}", F.lit(0)) > F.col(f"s{x}") for x in ("a", "b")]
+    close = matched.where(enough[0] & enough[1]).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+
+    # Saturated members of hot keys, each with the key's least one.
+    saturated = cut(hots.join(used.where("used > spare").select("ref", "band"), ["ref", "band"], "left_semi").join(of, "ref").select("key", F.col("id").alias("doc"), "n"))
+    star = saturated.withColumn("low", F.min("doc").over(Window.partitionBy("key"))).where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
+
+    pairs = cut(close.join(of.select(F.col("ref").alias("x"), F.col("id").alias("i")), "x").join(of.select(F.col("ref").alias("y"), F.col("id").alias("j")), "y")
+                .select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).union(star).distinct())
 
     # One partner of each class first: in a group of near copies that connects nearly all.
     tree = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = cut(_verify(docs, tree, width, percent))
     reached = cut(components(links))
-    rest = cut(_joined(pairs.join(tree, ["a", "b"], "left_anti"), reached).where("ca <> cb").select("a", "b"))
-    links = cut(links.union(_verify(docs, rest, width, percent)))
-
-    band = F.shiftrightunsigned("c", 56)
-    spare = F.shiftrightunsigned("c", 32).bitwiseAND(F.lit((1 << 24) - 1))
-    hots = found.where("kind = 'h'").select(F.col("a").alias("key"), F.col("b").alias("ref"), band.alias("band"), spare.alias("spare"))
-    used = hots.groupBy("ref", "band").agg(F.count("*").alias("used"), F.max("spare").alias("spare")).where("used > spare").select("ref", "band")
-    saturated = cut(hots.join(used, ["ref", "band"], "left_semi").join(of, "ref").select("key", F.col("id").alias("doc"), "n"))
-    reached = cut(components(links))
-    apart = cut(_apart(saturated, reached, percent).join(pairs, ["a", "b"], "left_anti"))
-    return members, links.union(_verify(docs, apart, width, percent))
+    apart = _apart(saturated, reached, percent)
+    rest = _joined(pairs.union(apart).distinct().join(tree, ["a", "b"], "left_anti"), reached).where("ca <> cb").select("a", "b")
+    return members, links.union(cut(_verify(docs, cut(rest), width, percent)))
 
 
 def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:

@@ -1,10 +1,11 @@
 """Registered queries of this subpackage and the SQL that they are held against, where SQL can say it."""
 
-from . import bpe, decontamination, ngram_join, quality_rules
+from . import bpe, decontamination, line_dedup, ngram_join, quality_rules
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_ngram_jaccard": ngram_join.query,
+    "op3_line_dedup": line_dedup.query,
     "op5_bpe": bpe.query,
     "op7_quality_rules": quality_rules.query,
 }

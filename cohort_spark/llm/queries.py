@@ -1,16 +1,18 @@
 """Registered queries of this subpackage and the SQL that they are held against, where SQL can say it."""
 
-from . import bpe, decontamination, line_dedup, ngram_join, quality_rules
+from . import bpe, chat_format, decontamination, line_dedup, ngram_join, quality_rules
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_ngram_jaccard": ngram_join.query,
     "op3_line_dedup": line_dedup.query,
+    "op4_chat_format": chat_format.query,
     "op5_bpe": bpe.query,
     "op7_quality_rules": quality_rules.query,
 }
 
 ORACLE_SQL = {
+    "op4_chat_format": chat_format.SQL,
     "op2_ngram_jaccard": ngram_join.SQL,
     "op7_quality_rules": quality_rules.SQL,
 }

@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL that they are held against, where SQL can say it."""
 
-from . import bpe, chat_format, decontamination, line_dedup, ngram_join, quality_rules
+from . import bpe, chat_format, decontamination, line_dedup, ngram_join, quality_rules, token_counts
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_chat_format": chat_format.query,
     "op5_bpe": bpe.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_token_counts": token_counts.query,
 }
 
 ORACLE_SQL = {

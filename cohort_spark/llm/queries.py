@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and the SQL that they are held against, where SQL can say it."""
 
-from . import bpe, chat_format, decontamination, line_dedup, lm_scoring, ngram_join, quality_rules, token_counts, url_filter
+from . import bpe, chat_format, decontamination, html_extraction, line_dedup, lm_scoring, ngram_join, quality_rules, token_counts, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.query,
     "op4_chat_format": chat_format.query,
     "op5_bpe": bpe.query,
+    "op6_html_extraction": html_extraction.query,
     "op7_quality_rules": quality_rules.query,
     "op8_token_counts": token_counts.query,
     "op9_url_filter": url_filter.query,

@@ -1,5 +1,7 @@
 """Registered queries of this subpackage and the SQL that they are held against, where SQL can say it."""
 
+import corpus_pipeline
+
 from . import bpe, chat_format, decontamination, html_extraction, line_dedup, lm_scoring, ngram_join, quality_rules, token_counts, url_filter
 
 QUERIES = {
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_url_filter": url_filter.query,
     "op10_lm_scoring": lm_scoring.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

@@ -12,10 +12,11 @@ The Hamming bound is also the filter: a pair that agrees on fewer than K - D seg
 Hot keys. Many sets may share a segment (a passage that a third of all documents quote, a group of near copies,
 segments without shingles). A set can do without as many of its matching segments as K exceeds D + 1, so
 empty segments give no key, and the keys of hot groups are given up wherever that allowance covers them; the
-bound then asks for as many matches less. The sets whose allowance is used up ("saturated") are compared with
-the smallest saturated member of each of their hot groups, and then meet in a second pass that compares only
-members of different components. Nothing is capped: every pair that could be similar is verified, or its two
-ends are already connected.
+bound then asks for as many matches less. The sets whose allowance is used up ("saturated") meet on their rarest
+shingles instead: a similar pair shares one of the first n - ceil(s * n) + 1 of each, in ascending order of
+frequency. Only a set four fifths made of what many others hold has frequent ones among these; for groups of
+such sets each is compared with the group's smallest, and then members of different components with each other.
+Nothing is capped: every pair that could be similar is verified, or its two ends are already connected.
 
 Cost. Sets are found by one pass over the texts; what is shuffled is about half a key for each shingle. Equal
 sets are one class from the start: each task emits the keys of a class once. Verification reads texts again,
@@ -44,6 +45,8 @@ PERCENT = 80
 HOT = 16
 #: Ids of candidates that are broadcast at most (8 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Sets of a unit of the last pass, on average at most.
+UNIT = 256
 _BAND_STEP = 1.6
 _PACK = 1 << 32
 
@@ -187,6 +190,16 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return wanted.mapInPandas(run, "doc_id long, s array<long>").dropDuplicates(["doc_id"])
 
 
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, ref, info): of each set (doc_id, s) the rarest shingles, of which similar sets share one, as rows for
+    ``_pairs``; shingles of one set only are left out."""
+    rows = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("key"))
+    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("key")))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "key")))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return rows.where((F.col("at") <= first) & (F.col("df") > 1)).select("key", F.col("doc_id").alias("ref"), F.col("n").cast("long").alias("info"))
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of documents that are similar enough, on their whole sets."""
     ends = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -210,21 +223,49 @@ def _joined(pairs: DataFrame, reached: DataFrame) -> DataFrame:
             .withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}))
 
 
-def _apart(hot: DataFrame, reached: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of one hot key that lie in different components and may be similar by size.
+def _apart(frequent: DataFrame, reached: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a, b) between members of one frequent key (key, doc) that lie in different components.
 
-    A key all of whose members are connected gives none. Otherwise each member outside the key's largest component
-    is compared with the members of the other components.
+    Members are dealt into units of about UNIT: by their least frequent key, large components apart from the rest.
+    Two units that share a key, unless both are of one component, meet as a block, and a block's common shingles are
+    counted by products of incidence matrices. So what is shipped is sets by unit, not pairs of sets.
     """
-    rows = hot.join(reached, hot["doc"] == reached["node"], "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("c"))
-    sizes = rows.groupBy("key", "c").agg(F.count("*").alias("m"))
-    most = sizes.groupBy("key").agg(F.max(F.struct("m", "c"))["c"].alias("top"), F.count("*").alias("cs")).where("cs > 1")
-    rows = rows.join(most, "key")
-    x = rows.where("c <> top").select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = rows.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"), "top")
-    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    return (x.join(y, "key").where((F.col("ca") != F.col("cb")) & fits & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rows = cut(frequent.join(reached, frequent["doc"] == reached["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("c")))
+    open_keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    rows = cut(rows.join(open_keys, "key", "left_semi"))
+    docs = rows.groupBy("doc", "c").agg(F.min("key").alias("home"))
+    docs = docs.withColumn("uc", F.when(F.count("*").over(Window.partitionBy("home", "c")) >= UNIT // 4, F.col("c")))
+    docs = docs.withColumn("chunks", F.ceil(F.count("*").over(Window.partitionBy("home", "uc")) / UNIT))
+    unit = F.xxhash64("home", F.coalesce("uc", F.lit(-1)), F.pmod(F.xxhash64("doc"), F.col("chunks")))
+    docs = cut(docs.select("doc", "c", "uc", unit.alias("unit")))
+
+    keys = rows.select("key", "doc").join(docs, "doc").select("key", "unit", "uc").distinct()
+    x, y = keys.select("key", F.col("unit").alias("u"), F.col("uc").alias("x")), keys.select("key", F.col("unit").alias("v"), F.col("uc").alias("y"))
+    blocks = cut(x.join(y, "key").where((F.col("u") <= F.col("v")) & ~F.coalesce(F.col("x") == F.col("y"), F.lit(False))).select("u", "v").distinct())
+    sides = (blocks.join(docs, blocks["u"] == docs["unit"]).select("u", "v", "doc", "c", F.lit(0).alias("side"))
+             .union(blocks.where("u < v").join(docs, F.col("v") == docs["unit"]).select("u", "v", "doc", "c", F.lit(1).alias("side"))))
+
+    def meet(block: pd.DataFrame) -> pd.DataFrame:
+        n, own = len(block), block["side"].to_numpy()
+        size = block["s"].map(len).to_numpy()
+        _, column = np.unique(np.concatenate([np.asarray(s) for s in block["s"]]), return_inverse=True)
+        doc = np.repeat(np.arange(n), size)
+        common, width = np.zeros((n, n)), 4096
+        order = np.argsort(column, kind="stable")
+        column, doc = column[order], doc[order]
+        for at in range(0, int(column[-1]) + 1, width):
+            low, high = np.searchsorted(column, (at, at + width))
+            there = np.zeros((n, width), np.float32)
+            there[doc[low:high], column[low:high] - at] = 1
+            common += there @ there.T
+        close = np.triu(100 * common >= percent * (size[:, None] + size[None, :] - common), 1)
+        if own.any():
+            close &= own[:, None] != own[None, :]
+        a, b = np.nonzero(close)
+        ids, c = block["doc"].to_numpy(), block["c"].to_numpy()
+        return pd.DataFrame({"a": ids[a], "b": ids[b], "x": np.minimum(c[a], c[b]), "y": np.maximum(c[a], c[b])}).query("x < y").drop_duplicates(["x", "y"])[["a", "b"]]
+
+    return sides.join(sets.select(F.col("doc_id").alias("doc"), "s"), "doc").groupBy("u", "v").applyInPandas(meet, "a long, b long")
 
 
 def classes_and_links(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -253,20 +294,23 @@ def classes_and_links(docs: DataFrame, text: str = "text", width: int = WIDTH, p
     enough = [F.col("c") + F.coalesce(f"u{x}", F.lit(0)) > F.col(f"s{x}") for x in ("a", "b")]
     close = matched.where(enough[0] & enough[1]).select(F.col("a").alias("x"), F.col("b").alias("y")).distinct()
 
-    # Saturated members of hot keys, each with the key's least one.
-    saturated = cut(hots.join(used.where("used > spare").select("ref", "band"), ["ref", "band"], "left_semi").join(of, "ref").select("key", F.col("id").alias("doc"), "n"))
-    star = saturated.withColumn("low", F.min("doc").over(Window.partitionBy("key"))).where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
+    # Saturated sets meet on their rarest shingles.
+    tired = cut(hots.join(used.where("used > spare").select("ref", "band"), ["ref", "band"], "left_semi").join(of, "ref").select(F.col("id").alias("doc_id"), "n").distinct())
+    whole = cut(_sets(docs, tired.select("doc_id"), width))
+    second = cut(_rarest(whole, percent).repartition("key").sortWithinPartitions("key", "ref").mapInPandas(_pairs(percent, hot), FOUND))
+    frequent = cut(second.where("kind = 'h'").select(F.col("a").alias("key"), F.col("b").alias("doc")))
+    star = frequent.withColumn("low", F.min("doc").over(Window.partitionBy("key"))).where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b"))
 
-    pairs = cut(close.join(of.select(F.col("ref").alias("x"), F.col("id").alias("i")), "x").join(of.select(F.col("ref").alias("y"), F.col("id").alias("j")), "y")
-                .select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).union(star).distinct())
+    pairs = close.join(of.select(F.col("ref").alias("x"), F.col("id").alias("i")), "x").join(of.select(F.col("ref").alias("y"), F.col("id").alias("j")), "y").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    pairs = cut(pairs.union(second.where("kind = 'p'").select("a", "b")).union(star).distinct())
 
     # One partner of each class first: in a group of near copies that connects nearly all.
     tree = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = cut(_verify(docs, tree, width, percent))
     reached = cut(components(links))
-    apart = _apart(saturated, reached, percent)
-    rest = _joined(pairs.union(apart).distinct().join(tree, ["a", "b"], "left_anti"), reached).where("ca <> cb").select("a", "b")
-    return members, links.union(cut(_verify(docs, cut(rest), width, percent)))
+    rest = cut(_joined(pairs.join(tree, ["a", "b"], "left_anti"), reached).where("ca <> cb").select("a", "b"))
+    links = cut(links.union(_verify(docs, rest, width, percent)))
+    return members, links.union(cut(_apart(frequent, cut(components(links)), whole, percent)))
 
 
 def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:

@@ -5,9 +5,10 @@ THRESHOLD + 1 segments of even length; two lines within the threshold share at l
 shifted by no more characters than the threshold leaves room for. So each line gives keys (length, segment number,
 segment) of its own, and keys of its substrings for partners that are up to THRESHOLD characters shorter;
 for a partner's segment i only starts that leave i edits before it and THRESHOLD - i after it are probed. Keys
-with at least two different lines lead to candidate pairs; the pairs are verified on their whole texts by an
-edit distance over a band of 2 * THRESHOLD + 1 diagonals whose cells are bits of one number (Hyyro's banded
-form of Myers' algorithm).
+with at least two different lines lead to candidate pairs. An edit changes four of a line's character pairs at most, so
+lines whose 64-bit parity sketches of character pairs differ in more than 4 * THRESHOLD bits drop out inside the
+join. The rest are verified on their whole texts by an edit distance over a band of 2 * THRESHOLD + 1 diagonals
+whose cells are bits of one number (Hyyro's banded form of Myers' algorithm).
 
 A line goes if an equal line came before, by (doc_id, number), or if a different line whose first occurrence
 comes before is within the threshold, whether or not that line stays. Keys of very many lines (numbered
@@ -48,11 +49,12 @@ def lines(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
 def _cuts(n: Column, threshold: int) -> list[tuple[Column, Column]]:
     """(start, length), from 0, of each segment of a line of n characters: even, the longer ones last."""
     parts = threshold + 1
-    short, rest = F.floor(n / parts), n % parts
+    rest = n % parts
+    short = ((n - rest) / parts).cast("int")
     out = []
     for k in range(parts):
         longer = F.greatest(F.lit(0), rest - (parts - k))  # longer segments before this one
-        out.append(((short * k + longer).cast("int"), (short + F.when(F.lit(k) >= parts - rest, 1).otherwise(0)).cast("int")))
+        out.append((short * k + longer, short + F.when(F.lit(k) >= parts - rest, 1).otherwise(0)))
     return out
 
 
@@ -61,18 +63,19 @@ def _key(line: Column, n: Column, k: int, start: Column, size: Column) -> Column
 
 
 def segment_keys(line: Column, n: Column, threshold: int) -> list[Column]:
-    return [_key(line, n, k, start, size) for k, (start, size) in enumerate(_cuts(n, threshold))]
+    """Keys of a line's own segments; the lowest bit is 1."""
+    return [_key(line, n, k, start, size).bitwiseOR(F.lit(1)) for k, (start, size) in enumerate(_cuts(n, threshold))]
 
 
 def probe_keys(line: Column, n: Column, threshold: int) -> list[Column]:
-    """Keys of substrings that may be a segment of a line that is no longer than this one."""
+    """Keys of substrings that may be a segment of a line that is no longer than this one; the lowest bit is 0."""
     out = []
     for less in range(threshold + 1):
         for k, (start, size) in enumerate(_cuts(n - less, threshold)):
             # Shifts d with at most k edits before the segment and threshold - k after it.
             for d in range(max(-k, less - (threshold - k)), min(k, less + (threshold - k)) + 1):
                 at = start + d
-                out.append(F.when((at >= 0) & (at + size <= n), _key(line, n - less, k, at, size)))
+                out.append(F.when((at >= 0) & (at + size <= n), _key(line, n - less, k, at, size).bitwiseAND(F.lit(-2))))
     return out
 
 
@@ -118,24 +121,40 @@ def near(a: Column, b: Column, threshold: int) -> Column:
     return F.when(F.least(F.length(a), F.length(b)) <= threshold, F.levenshtein(a, b) <= threshold).otherwise(let(chars, verdict))
 
 
+def pair_sketch(line: Column) -> Column:
+    """64 bits, each the parity of how many of the line's neighbouring character pairs hash to it."""
+    def parity(c: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.size(c) - 2), F.lit(0).cast("long"), lambda s, i: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(F.get(c, i), F.get(c, i + 1)), F.lit(64)))))
+
+    return F.when(F.length(line) < 2, F.lit(0).cast("long")).otherwise(let(F.split(line, ""), parity))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, text: str, min_chars: int) -> DataFrame:
-    """(h1, h2, line) of the lines whose h1 is in ``wanted``, once each."""
+    """(h1, h2, line, n, sketch) of the lines whose h1 is in ``wanted``, once each."""
     few = wanted.count() <= BROADCAST_LINES
     found = lines(docs, text, min_chars).select("h1", "h2", "line")
-    return found.join(F.broadcast(wanted) if few else wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    once = found.join(F.broadcast(wanted) if few else wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    return once.withColumns({"n": F.length("line"), "sketch": pair_sketch(F.col("line"))})
+
 
+_SIDE = ("h1", "h2", "n", "sketch", "first")
 
-def _judged(pairs: DataFrame, texts: DataFrame, firsts: DataFrame, threshold: int) -> DataFrame:
-    """(h1, h2) of the lines that an earlier line of a pair (a, b), named by h1, is near to."""
-    side = texts.join(firsts, ["h1", "h2"])
 
-    def end(x: str) -> DataFrame:
-        return side.select(F.col("h1").alias(x), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"l{x}"), F.col("first").alias(f"f{x}"))
+def _meet(x: DataFrame, y: DataFrame, threshold: int) -> DataFrame:
+    """(a1, a2, b1, b2): different lines of one key, a before b, that may be near; the conditions hold inside the join."""
+    x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in (*_SIDE, "own")])
+    y = y.select(F.col("key").alias("_key"), *[F.col(c).alias(f"y_{c}") for c in (*_SIDE, "own")])
+    fits = (F.col("x_first") < F.col("y_first")) & (F.col("x_own") != F.col("y_own")) & (F.abs(F.col("x_n") - F.col("y_n")) <= threshold)
+    fits = fits & (F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) <= 4 * threshold)
+    return x.join(y, (F.col("key") == F.col("_key")) & fits).select(F.col("x_h1").alias("a1"), F.col("x_h2").alias("a2"), F.col("y_h1").alias("b1"), F.col("y_h2").alias("b2")).distinct()
 
-    both = pairs.join(end("a"), "a").join(end("b"), "b").where((F.col("la") != F.col("lb")) & (F.abs(F.length("la") - F.length("lb")) <= threshold))
-    late = F.col("fa") > F.col("fb")
-    return (both.where(near(F.col("la"), F.col("lb"), threshold))
-            .select(F.when(late, F.col("a")).otherwise(F.col("b")).alias("h1"), F.when(late, F.col("a2")).otherwise(F.col("b2")).alias("h2")).distinct())
+
+def _judged(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(h1, h2) of the later lines of the pairs that are near."""
+    a = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("la"))
+    b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("lb"))
+    return (pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(near(F.col("la"), F.col("lb"), threshold))
+            .select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct())
 
 
 def late_lines(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
@@ -144,37 +163,22 @@ def late_lines(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD,
     firsts = cut(here.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
 
     every = lines(docs, text, min_chars)
-    own, probes = F.array(*segment_keys(F.col("line"), F.col("n"), threshold)), F.array_compact(F.array(*probe_keys(F.col("line"), F.col("n"), threshold)))
     # A key's lowest bit says whether it is a line's own (1) or a probe (0); the rest is the key.
-    marked = F.array_distinct(F.concat(F.transform(own, lambda k: k.bitwiseOR(F.lit(1))), F.transform(probes, lambda k: k.bitwiseAND(F.lit(-2)))))
-    keys = every.select("h1", F.explode(marked).alias("k")).select(F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).cast("byte").alias("own"), "h1")
+    marked = F.array(*segment_keys(F.col("line"), F.col("n"), threshold), *probe_keys(F.col("line"), F.col("n"), threshold))
+    keys = every.select("h1", F.explode(marked).alias("k")).where("k is not null").select(F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).cast("byte").alias("own"), "h1")
     group = Window.partitionBy("key")
     shared = cut(keys.withColumns({"lo": F.min("h1").over(group), "hi": F.max("h1").over(group), "owned": F.max("own").over(group)})
                  .where("lo < hi and owned = 1").select("key", "own", "h1").distinct())
+    texts = cut(_texts(docs, cut(shared.select("h1").distinct()), text, min_chars))
+    shared = shared.join(texts.join(firsts, ["h1", "h2"]).select(*_SIDE), "h1")
+    shared = cut(shared.join(shared.groupBy("key").agg(F.count("*").alias("size")), "key"))
 
-    size = shared.groupBy("key").agg(F.count("*").alias("size"))
-    shared = shared.join(size, "key")
-
-    def pairs(rows: DataFrame, others: DataFrame) -> DataFrame:
-        x = rows.where("own = 1").select("key", F.col("h1").alias("a"))
-        y = others.where("own = 0").select("key", F.col("h1").alias("b"))
-        return x.join(y, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
+    # Hot keys: first each line with the key's first ones, then what stays with all earlier lines of the key.
     cold, warm = shared.where(F.col("size") <= hot), shared.where(F.col("size") > hot)
-    by_h1 = firsts.groupBy("h1").agg(F.min("first").alias("first"))
-    warm = cut(warm.join(by_h1, "h1"))
-    lead = warm.groupBy("key").agg(F.min(F.struct("first", "h1"))["h1"].alias("lead"))
-    star = warm.join(lead, "key").where("h1 <> lead").select(F.least("h1", "lead").alias("a"), F.greatest("h1", "lead").alias("b"))
-    near_by = cut(pairs(cold, cold).union(star).distinct())
-    wanted = near_by.select(F.col("a").alias("h1")).union(near_by.select("b")).union(warm.select("h1")).distinct()
-    texts = cut(_texts(docs, cut(wanted), text, min_chars))
-    gone = cut(_judged(near_by, texts, firsts, threshold))
-
-    # What stays of hot keys meets all earlier lines of the key.
-    left = warm.join(gone, "h1", "left_anti").select("key", "own", F.col("h1").alias("b"), F.col("first").alias("fb"))
-    rest = (left.join(warm.select("key", F.col("own").alias("o"), F.col("h1").alias("a"), F.col("first").alias("fa")), "key")
-            .where((F.col("own") != F.col("o")) & (F.col("fa") < F.col("fb"))).select("a", "b").distinct())
-    gone = gone.union(_judged(rest, texts, firsts, threshold)).distinct()
+    lead = warm.join(warm.groupBy("key").agg(F.min("first").alias("lead")), "key").where("first = lead")
+    gone = cut(_judged(_meet(cold, cold, threshold).union(_meet(lead, warm, threshold)).distinct(), texts, threshold))
+    left = warm.join(gone, ["h1", "h2"], "left_anti")
+    gone = gone.union(_judged(_meet(warm, left, threshold), texts, threshold)).distinct()
 
     judged = firsts.join(gone.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     return (here.join(judged, ["h1", "h2"]).where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first")))
@@ -183,10 +187,12 @@ def late_lines(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD,
 
 def dedup(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """``docs`` without the lines that go, and n_lines and removed (their numbers, ascending)."""
-    gone = cut(late_lines(docs, text, threshold, min_chars, hot).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("removed")))
+    late = cut(late_lines(docs, text, threshold, min_chars, hot))
+    few = late.count() <= BROADCAST_LINES
+    gone = cut(late.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("removed")))
     parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     kept = let(F.col("removed"), lambda r: F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(r, i)), "\n"))
-    return (docs.join(gone, "doc_id", "left")
+    return (docs.join(F.broadcast(gone) if few else gone, "doc_id", "left")
             .withColumns({"n_lines": F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(parts)).cast("long"),
                           text: F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept),
                           "removed": F.coalesce("removed", F.array().cast("array<int>"))}))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import read
+from .common import cut, read
 
 BLOCK = 1024
 
@@ -67,4 +67,4 @@ def truncated(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(read(spark, sf_dir, "documents")))
+    return suffix_sums(cut(histogram(read(spark, sf_dir, "documents"))))

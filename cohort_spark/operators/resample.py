@@ -28,7 +28,7 @@ def poisson_weight(u: Column) -> Column:
 
 def _weights(ids: np.ndarray, replicate: int) -> np.ndarray:
     """Poisson(1) weights from a scramble of id and replicate."""
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(replicate + 1) * np.uint64(0xD1B54A32D192ED03)
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((replicate + 1) * 0xD1B54A32D192ED03 % 2**64)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(float) / 2.0**53, "right")

@@ -102,7 +102,7 @@ def attributions(spark, d: str) -> DataFrame:
 
 
 ATTR = """ev AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS label, CAST(embedding AS DOUBLE[]) AS v, unnest(range(len(embedding))) AS i FROM embeddings),
-at AS (SELECT id, label, 'mean_f' || i AS feature, i, 'source' AS model, v[i + 1] AS value FROM ev UNION ALL SELECT id, label, 'mean_f' || i, i, 'adapted', v[(i + 1) % len(v) + 1] FROM ev)"""
+att AS (SELECT id, label, 'mean_f' || i AS feature, i, 'source' AS model, v[i + 1] AS value FROM ev UNION ALL SELECT id, label, 'mean_f' || i, i, 'adapted', v[(i + 1) % len(v) + 1] FROM ev)"""
 
 
 def vectors(spark, d: str, part: slice | None = None) -> tuple[DataFrame, DataFrame]:

@@ -10,7 +10,8 @@ notices and comments can still be cut out.
 
 Training needs no labelled pages: a bounded sample of SAMPLE pages (those of least hash) is labelled by what the tags and
 tokens say outright, and for half of the sampled nodes these give-aways are hidden, so that the trees learn the
-rest as well. Pages that shape alone can't settle are thus decided by density, depth and siblings.
+rest as well. Pages that shape alone can't settle are thus decided by density, depth and siblings. Each sampled
+page is also taken with its article renamed and a marked block (comments, a notice, ...) of its own words put in.
 
 Text: character references decoded; the text of a block (paragraph, heading, item, cell, ...) is joined, white space runs
 become one space, ends are trimmed; blocks are joined by an empty line in page order.
@@ -22,6 +23,7 @@ results; an empty table gives no row; other columns are kept by ``extract``. Ver
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -291,14 +293,24 @@ def text_of(tree: Tree, main: np.ndarray) -> str:
     return "\n\n".join(b for b in joined if b)
 
 
+def varied(html: str, k: int) -> str:
+    """The page with another container for its article, and a block that doesn't belong to it at its end or start."""
+    bad, good = sorted(BAD)[k % len(BAD)], sorted(GOOD - {"body"})[k % (len(GOOD) - 1)]
+    said = _space.sub(" ", re.sub(r"<[^>]*>", " ", html))[-400 - 37 * (k % 9) :]
+    tag = ("div", "section", "aside", "ul")[k % 4]
+    block = f'<{tag} class="{bad}"><p>{said[: 40 + 60 * (k % 7)]}</p></{tag}>'
+    html = html.replace("<article>", f'<div class="{good}">' + (block if k % 2 else "")).replace("</article>", ("" if k % 2 else block) + "</div>")
+    return html
+
+
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Trees:
     """Trees from the ``sample`` pages of least hash; a page's nodes are made into rows by tasks."""
     kind = "y double, hide boolean, x array<double>"
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for h in batch[html]:
-                t = Tree(h or "")
+            for h in (v for h in batch[html] for k in [zlib.crc32(h.encode("utf-8", "replace"))] for v in (h, varied(h, k), varied(h, k // 64))):
+                t = Tree(h)
                 x, y = features(t), outright(t)
                 yield pd.DataFrame({"y": y, "hide": np.arange(len(y)) % 2 == 1, "x": list(x)})
 

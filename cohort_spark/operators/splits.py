@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ranked(df: DataFrame, order: list[str], group: str) -> DataFrame:
+def _ranked(df: DataFrame, order: list[str], group: str, buckets: int = 64) -> DataFrame:
     """``df`` with its row number in ``order`` and the number of rows, over all groups.
 
-    ``group`` leads the order (an era, say): counts of whole groups come first, so only rows of one group are ranked
-    together. One group of very many rows still means one sorted task for its ids; rank a projection of ids only.
+    ``group`` leads the order (an era, say). Inside it, rows are dealt into buckets of ascending first order column, at
+    breaks that a quantile sketch proposes; counts of whole buckets come before, and only rows of one bucket are sorted
+    together. The breaks decide how even the buckets are, never the ranks.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_size"))
-    before = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    kind = dict(df.dtypes)[order[0]]
+    key = F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order[0])
+    rows = df.withColumn("_key", key.cast("double"))
+    breaks = sorted(set(rows.approxQuantile("_key", [k / buckets for k in range(1, buckets)], 0.002)))
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in breaks]).cast("array<double>"), lambda b: b <= F.col("_key")))
+    rows = rows.withColumn("_bucket", at).drop("_key")
+    sizes = rows.groupBy(group, "_bucket").agg(F.count("*").alias("_size"))
+    before = Window.orderBy(group, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(Window.partitionBy(F.lit(1)))})
-    inner = Window.partitionBy(group).orderBy(*order)
-    return df.join(F.broadcast(sizes), group).withColumn("_rank", F.row_number().over(inner) + F.col("_before"))  # one row for each era
+    inner = Window.partitionBy(group, "_bucket").orderBy(*order)
+    out = rows.withColumn("_rank", F.row_number().over(inner)).join(F.broadcast(sizes), [group, "_bucket"])  # one row for each era and bucket
+    return out.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket")
 
 
 def chronological(stays: DataFrame, share: float = 0.8, era: str = "era", order: tuple[str, ...] = ("intime", "stay_id"), names=("train", "val")) -> DataFrame:

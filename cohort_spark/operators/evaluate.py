@@ -13,12 +13,23 @@ def to_long_predictions(wide: DataFrame, ids: list[str], models: list[str]) -> D
     return wide.unpivot(ids, models, "model", "prob")
 
 
+#: Bands of scores whose rows are accumulated apart from each other.
+BANDS = 256
+
+
 def _cumulative(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """Per distinct score, descending: positives and negatives at it (p, n), up to it (tp, fp) and in all (np, nn)."""
+    """Per distinct score, descending: positives and negatives at it (p, n), up to it (tp, fp) and in all (np, nn).
+
+    Totals of whole score bands come first, so that no task sorts more than one band of one key.
+    """
     w = F.col(weight) if weight else F.lit(1)
     counts = df.where("prob is not null and y is not null").groupBy(*keys, "prob").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(w)).alias("n"))
-    upto, total = Window.partitionBy(*keys).orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    return counts.withColumns({"tp": F.sum("p").over(upto), "fp": F.sum("n").over(upto), "np": F.sum("p").over(total), "nn": F.sum("n").over(total)})
+    counts = counts.withColumn("_band", F.least(F.greatest(F.floor(F.col("prob") * BANDS), F.lit(0)), F.lit(BANDS - 1)))
+    above, total = Window.partitionBy(*keys).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    bands = counts.groupBy(*keys, "_band").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    bands = bands.select(*keys, "_band", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp"), F.sum("_p").over(total).alias("np"), F.sum("_n").over(total).alias("nn"))
+    upto = Window.partitionBy(*keys, "_band").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(bands, [*keys, "_band"]).withColumns({"tp": F.col("_tp") + F.sum("p").over(upto), "fp": F.col("_fp") + F.sum("n").over(upto)}).drop("_band", "_tp", "_fp")
 
 
 def auroc(df: DataFrame, keys: list[str] = KEYS, weight: str | None = None) -> DataFrame:

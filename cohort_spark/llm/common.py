@@ -16,12 +16,15 @@ BREAKS = r"[\x20\x09-\x0D]+"
 _MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="cohort-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        folder = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="cohort-shared-"))
     return folder
 
 

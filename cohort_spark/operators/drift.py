@@ -70,7 +70,7 @@ def psi_quantile(long: DataFrame, ref: str, cur: str, bins: int = 10) -> DataFra
               .groupBy("feature", "bin", (F.size("b") > 1).alias("ok")).agg(F.count_if(~F.col("is_cur")).alias("n_ref"), F.count_if("is_cur").alias("n_cur")))
     total = Window.partitionBy("feature")
     shares = counts.withColumns({"tr": F.sum("n_ref").over(total), "tc": F.sum("n_cur").over(total)})
-    psi = F.sum(_psi(_clip(F.col("n_ref") / F.col("tr")), _clip(F.col("n_cur") / F.col("tc"))))
+    psi = F.sum(_psi(_clip(F.col("n_ref") / F.greatest("tr", F.lit(1))), _clip(F.col("n_cur") / F.greatest("tc", F.lit(1)))))
     return shares.groupBy("feature").agg(F.when(F.bool_and("ok") & (F.min("tr") > 0) & (F.min("tc") > 0), psi).otherwise(0.0).alias("psi"))
 
 
@@ -97,13 +97,19 @@ def rate_shift(long: DataFrame, ref: str, cur: str) -> DataFrame:
     return moments(long, ref, cur).select("feature", F.col("mean_ref").alias("rate_ref"), F.col("mean_cur").alias("rate_cur"), d.alias("shift"), F.abs(d).alias("abs_shift"), (F.abs(d) / (F.col("mean_ref") + 1e-6)).alias("rel_shift"))
 
 
-def ks_two_sample(long: DataFrame, ref: str, cur: str, least: int = 5) -> DataFrame:
-    """(feature, ks, n_ref, n_cur): largest distance of the two distribution functions. Rows are counted by distinct value
-    before they are sorted. 0 where a group has fewer than ``least`` rows."""
+def ks_two_sample(long: DataFrame, ref: str, cur: str, least: int = 5, bands: int = 256) -> DataFrame:
+    """(feature, ks, n_ref, n_cur): largest distance of the two distribution functions. 0 where a group has fewer than
+    ``least`` rows. Rows are counted by distinct value first; values are then accumulated in bands of equal width, on top of
+    the totals of the bands below, so that no task sorts a whole feature."""
     counts = _pair(long, ref, cur).groupBy("feature", "value").agg(F.count_if(~F.col("is_cur")).alias("r"), F.count_if("is_cur").alias("c"))
-    upto, total = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("feature")
-    rows = counts.select("feature", F.sum("r").over(upto).alias("r"), F.sum("c").over(upto).alias("c"), F.sum("r").over(total).alias("n_ref"), F.sum("c").over(total).alias("n_cur"))
-    gap = F.max(F.abs(F.col("r") / F.col("n_ref") - F.col("c") / F.col("n_cur")))
+    span = counts.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
+    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bands)
+    rows = counts.join(span, "feature").withColumn("band", F.coalesce(F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bands - 1)), F.lit(0)))
+    below = Window.partitionBy("feature").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("feature", "band").agg(F.sum("r").alias("r"), F.sum("c").alias("c")).select("feature", "band", *[F.coalesce(F.sum(x).over(below), F.lit(0)).alias(f"{x}0") for x in "rc"])
+    upto = Window.partitionBy("feature", "band").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(base, ["feature", "band"]).select("feature", "n_ref", "n_cur", *[(F.col(f"{x}0") + F.sum(x).over(upto)).alias(x) for x in "rc"])
+    gap = F.max(F.abs(F.col("r") / F.greatest("n_ref", F.lit(1)) - F.col("c") / F.greatest("n_cur", F.lit(1))))
     return rows.groupBy("feature", "n_ref", "n_cur").agg(F.when(F.least("n_ref", "n_cur") < least, 0.0).otherwise(gap).alias("ks"))
 
 
@@ -130,7 +136,7 @@ def chi2_pvalues(chi2: DataFrame) -> DataFrame:
 def cohen_d(long: DataFrame, ref: str, cur: str) -> DataFrame:
     """(feature, d) with the pooled sample deviation; 0 where that is under 1e-9 or unknown."""
     m = moments(long, ref, cur)
-    pooled = F.sqrt(((F.col("n_ref") - 1) * F.col("var_ref") + (F.col("n_cur") - 1) * F.col("var_cur")) / (F.col("n_ref") + F.col("n_cur") - 2))
+    pooled = F.sqrt(((F.col("n_ref") - 1) * F.col("var_ref") + (F.col("n_cur") - 1) * F.col("var_cur")) / F.greatest(F.col("n_ref") + F.col("n_cur") - 2, F.lit(1)))
     return m.select("feature", F.coalesce(F.when(pooled >= 1e-9, (F.col("mean_cur") - F.col("mean_ref")) / pooled), F.lit(0.0)).alias("d"))
 
 

@@ -86,8 +86,8 @@ def placements(df: DataFrame, keys: list[str] = ("model", "label")) -> DataFrame
     half."""
     keys = list(keys)
     c = evaluate._cumulative(df, keys).select(*keys, "prob", "p", "n", "tp", "fp", "np", "nn")
-    below = (F.col("nn") - F.col("fp") + F.col("n") / 2) / F.col("nn")
-    above = (F.col("tp") - F.col("p") / 2) / F.col("np")
+    below = (F.col("nn") - F.col("fp") + F.col("n") / 2) / F.when(F.col("nn") > 0, F.col("nn"))
+    above = (F.col("tp") - F.col("p") / 2) / F.when(F.col("np") > 0, F.col("np"))
     return df.join(c, [*keys, "prob"]).withColumn("v", F.when(F.col("y") == 1, below).otherwise(above)).drop("p", "n", "tp", "fp")
 
 

@@ -59,6 +59,15 @@ def test_psi_properties(spark):
     assert k["few"] == 0 and k["same"] == 0
 
 
+def test_group_without_rows(spark):
+    long = spark.createDataFrame([("a", "x", float(v)) for v in range(20)], "grp string, feature string, value double")
+    assert [r.psi for r in drift.psi_quantile(long, "a", "b").collect()] == [0.0]
+    assert [r.ks for r in drift.ks_two_sample(long, "a", "b").collect()] == [0.0]
+    assert [r.d for r in drift.cohen_d(long.limit(1), "a", "b").collect()] == [0.0]
+    one_class = spark.createDataFrame([(i, "l", "m", 1, 0.5) for i in range(3)], "id long, label string, model string, y int, prob double")
+    assert all(r.loo is None for r in resample.jackknife(one_class).collect())
+
+
 def test_auroc_corner_cases(spark):
     rows = [(i, "l", "one", 1, i / 10) for i in range(5)] + [(i, "l", "tied", i % 2, 0.5) for i in range(10)]
     df = spark.createDataFrame(rows, "id long, label string, model string, y int, prob double")

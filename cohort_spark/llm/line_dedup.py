@@ -5,8 +5,8 @@ THRESHOLD + 1 segments of even length; two lines within the threshold share at l
 shifted by no more characters than the threshold leaves room for. So each line gives keys (length, segment number,
 segment) of its own, and keys of its substrings for partners that are up to THRESHOLD characters shorter;
 for a partner's segment i only starts that leave i edits before it and THRESHOLD - i after it are probed. Keys
-with at least two different lines lead to candidate pairs. An edit changes four of a line's character pairs at most, so
-lines whose 64-bit parity sketches of character pairs differ in more than 4 * THRESHOLD bits drop out inside the
+with at least two different lines, one of which has the segment as its own, lead to candidate pairs. An edit
+changes four of a line's character pairs at most, so lines whose 64-bit parity sketches of character pairs differ in more than 4 * THRESHOLD bits drop out inside the
 join. The rest are verified on their whole texts by an edit distance over a band of 2 * THRESHOLD + 1 diagonals
 whose cells are bits of one number (Hyyro's banded form of Myers' algorithm).
 
@@ -74,6 +74,8 @@ def probe_keys(line: Column, n: Column, threshold: int) -> list[Column]:
         for k, (start, size) in enumerate(_cuts(n - less, threshold)):
             # Shifts d with at most k edits before the segment and threshold - k after it.
             for d in range(max(-k, less - (threshold - k)), min(k, less + (threshold - k)) + 1):
+                if less == 0 and d == 0:
+                    continue  # the line's own segment, whose key is there already
                 at = start + d
                 out.append(F.when((at >= 0) & (at + size <= n), _key(line, n - less, k, at, size).bitwiseAND(F.lit(-2))))
     return out
@@ -144,7 +146,7 @@ def _meet(x: DataFrame, y: DataFrame, threshold: int) -> DataFrame:
     """(a1, a2, b1, b2): different lines of one key, a before b, that may be near; the conditions hold inside the join."""
     x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in (*_SIDE, "own")])
     y = y.select(F.col("key").alias("_key"), *[F.col(c).alias(f"y_{c}") for c in (*_SIDE, "own")])
-    fits = (F.col("x_first") < F.col("y_first")) & (F.col("x_own") != F.col("y_own")) & (F.abs(F.col("x_n") - F.col("y_n")) <= threshold)
+    fits = (F.col("x_first") < F.col("y_first")) & (F.greatest("x_own", "y_own") == 1) & (F.abs(F.col("x_n") - F.col("y_n")) <= threshold)
     fits = fits & (F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) <= 4 * threshold)
     return x.join(y, (F.col("key") == F.col("_key")) & fits).select(F.col("x_h1").alias("a1"), F.col("x_h2").alias("a2"), F.col("y_h1").alias("b1"), F.col("y_h2").alias("b2")).distinct()
 

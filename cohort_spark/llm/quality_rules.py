@@ -157,10 +157,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go. Whole rows never shuffle; only the counts of
-    labelled documents do."""
-    labels = read(spark, sf_dir, "labels")
-    cutoffs = fit_cutoffs(measure(docs.select("doc_id", "lang", "text")).drop("text"), labels)
-    return judge(measure(docs), cutoffs).where("kept").select(docs.columns)
+    labelled documents do. Measures are written once with the rows: in one plan with the verdict, Catalyst would
+    copy their expressions into every rule that filters by them."""
+    facts = cut(measure(docs))
+    return judge(facts, fit_cutoffs(facts, read(spark, sf_dir, "labels"))).where("kept").select(docs.columns)
 
 
 SQL = f"""

@@ -1,10 +1,12 @@
 """Line deduplication within a small edit distance (DataFrame functions only).
 
-Equal lines are found by a 128-bit hash. For near ones, a line of at least MIN_CHARS characters is cut into
+Equal lines are found by a 128-bit hash. For near ones, a line of more than THRESHOLD characters is cut into
 THRESHOLD + 1 segments of even length; two lines within the threshold share at least one segment unchanged,
 shifted by no more characters than the threshold leaves room for. So each line gives keys (length, segment number,
 segment) of its own, and keys of its substrings for partners that are up to THRESHOLD characters shorter;
-for a partner's segment i only starts that leave i edits before it and THRESHOLD - i after it are probed. Keys
+for a partner's segment i only starts that leave i edits before it and THRESHOLD - i after it are probed. Lines of at
+most THRESHOLD characters are all near each other and have one key in common; a longer line that is near one of them
+has a character in common with it, which is their key. Keys
 with at least two different lines, one of which has the segment as its own, lead to candidate pairs. An edit
 changes four of a line's character pairs at most, so lines whose 64-bit parity sketches of character pairs differ in more than 4 * THRESHOLD bits drop out inside the
 join. The rest are verified on their whole texts by an edit distance over a band of 2 * THRESHOLD + 1 diagonals
@@ -17,8 +19,10 @@ lines of the key.
 
 Only hashes, keys and numbers shuffle; texts of candidate lines are fetched in a second pass.
 
-Defined results: null and empty texts have no lines that count; lines shorter than MIN_CHARS (after trimming white
-space at both ends) never go; repeated ids give lines of one document, those of equal number being the same
+The registered query judges every line that has a word. The functions and the pipeline's stage leave lines of fewer than
+``min_chars`` characters (after trimming white space at both ends) alone, MIN_CHARS of them unless told otherwise.
+
+Defined results: null and empty texts have no lines that count; blank lines never go; repeated ids give lines of one document, those of equal number being the same
 line; null ids are kept untouched; empty tables give empty tables; other columns are kept by ``dedup``.
 """
 
@@ -35,6 +39,8 @@ MIN_CHARS = 20
 HOT = 64
 #: Line hashes that are broadcast at most (16 MB); more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
+#: Copies of a line from which on its hash is broadcast, so that they stay in their tasks.
+MANY = 10_000
 
 _BLANKS = " \t\n\r\x0b\x0c"
 
@@ -64,7 +70,7 @@ def _key(line: Column, n: Column, k: int, start: Column, size: Column) -> Column
 
 def segment_keys(line: Column, n: Column, threshold: int) -> list[Column]:
     """Keys of a line's own segments; the lowest bit is 1."""
-    return [_key(line, n, k, start, size).bitwiseOR(F.lit(1)) for k, (start, size) in enumerate(_cuts(n, threshold))]
+    return [F.when(n > threshold, _key(line, n, k, start, size).bitwiseOR(F.lit(1))) for k, (start, size) in enumerate(_cuts(n, threshold))]
 
 
 def probe_keys(line: Column, n: Column, threshold: int) -> list[Column]:
@@ -77,7 +83,17 @@ def probe_keys(line: Column, n: Column, threshold: int) -> list[Column]:
                 if less == 0 and d == 0:
                     continue  # the line's own segment, whose key is there already
                 at = start + d
-                out.append(F.when((at >= 0) & (at + size <= n), _key(line, n - less, k, at, size).bitwiseAND(F.lit(-2))))
+                out.append(F.when((n - less > threshold) & (at >= 0) & (at + size <= n), _key(line, n - less, k, at, size).bitwiseAND(F.lit(-2))))
+    return out
+
+
+def tiny_keys(line: Column, n: Column, threshold: int) -> list[Column]:
+    """Keys of lines of at most ``threshold`` characters (the lowest bit is 1) and of their longer partners (0)."""
+    tiny = n <= threshold
+    out = [F.when(tiny, F.xxhash64(F.lit("tiny")).bitwiseOR(F.lit(1)))]
+    for at in range(1, 2 * threshold + 1):
+        key = F.xxhash64(F.lit("tiny"), line.substr(at, 1))
+        out.append(F.when((n <= 2 * threshold) & (n >= at), F.when(tiny, key.bitwiseOR(F.lit(1))).otherwise(key.bitwiseAND(F.lit(-2)))))
     return out
 
 
@@ -162,11 +178,12 @@ def _judged(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
 def late_lines(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """(doc_id, pos) of the lines that go, numbered from 0."""
     here = cut(lines(docs, text, min_chars).select("doc_id", "pos", "h1", "h2"))
-    firsts = cut(here.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first")))
+    firsts = cut(here.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies")))
 
     every = lines(docs, text, min_chars)
     # A key's lowest bit says whether it is a line's own (1) or a probe (0); the rest is the key.
-    marked = F.array(*segment_keys(F.col("line"), F.col("n"), threshold), *probe_keys(F.col("line"), F.col("n"), threshold))
+    kinds = [segment_keys, probe_keys] + [tiny_keys] * (min_chars <= 2 * threshold)
+    marked = F.array(*[k for kind in kinds for k in kind(F.col("line"), F.col("n"), threshold)])
     keys = every.select("h1", F.explode(marked).alias("k")).where("k is not null").select(F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).cast("byte").alias("own"), "h1")
     group = Window.partitionBy("key")
     shared = cut(keys.withColumns({"lo": F.min("h1").over(group), "hi": F.max("h1").over(group), "owned": F.max("own").over(group)})
@@ -182,9 +199,14 @@ def late_lines(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD,
     left = warm.join(gone, ["h1", "h2"], "left_anti")
     gone = gone.union(_judged(_meet(warm, left, threshold), texts, threshold)).distinct()
 
-    judged = firsts.join(gone.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-    return (here.join(judged, ["h1", "h2"]).where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first")))
-            .select("doc_id", "pos").distinct())
+    # Of lines that occur once and are not near an earlier one, none go. The most frequent ones are not dealt by their hash.
+    judged = cut(firsts.join(gone.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where(F.col("near") | (F.col("copies") > 1)))
+    if judged.count() <= BROADCAST_LINES:
+        met = here.join(F.broadcast(judged), ["h1", "h2"])
+    else:
+        top = F.broadcast(judged.where(F.col("copies") > MANY))
+        met = here.join(top, ["h1", "h2"]).unionByName(here.join(top, ["h1", "h2"], "left_anti").join(judged.where(F.col("copies") <= MANY), ["h1", "h2"]))
+    return met.where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first"))).select("doc_id", "pos").distinct()
 
 
 def dedup(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
@@ -202,7 +224,7 @@ def dedup(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, min_c
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
+    return dedup(docs, min_chars=1).select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", "text")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

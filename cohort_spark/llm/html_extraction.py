@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -41,6 +42,8 @@ TREES, DEPTH, SHRINK, LEAST = 40, 3, 0.3, 10
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 SILENT = frozenset("head iframe noscript object script style svg template textarea title".split())
+#: What a head may hold; any other tag, or text, ends it.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NO_PARAGRAPH = BLOCKS - {"body", "html", "option", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt", "summary", "figcaption"}
 TAGS = ("article", "main", "section", "div", "p", "h1", "h2", "h3", "ul", "ol", "li", "table", "td", "blockquote", "pre", "figure", "a", "b", "span", "body", "nav", "aside", "header", "footer", "form", "button")
@@ -72,6 +75,10 @@ class Tree(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
+        if tag == "body" and self.silent[-2:] == ["head", "noscript"]:
+            self.silent.pop()
+        if self.silent and self.silent[-1] == "head" and tag not in HEAD:
+            self.silent.pop()
         if tag in SILENT:
             self.silent.append(tag)
         if self.silent:
@@ -111,8 +118,9 @@ class Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
+            if tag in self.silent:
+                while self.silent.pop() != tag:
+                    pass
             elif tag in ("head", "body"):
                 self.silent.clear()
             return
@@ -125,11 +133,17 @@ class Tree(HTMLParser):
             self.at = x.parent
 
     def handle_startendtag(self, tag, attrs):
+        drawn = tag == "svg" or "svg" in self.silent  # only there "/>" closes what HTML leaves open
         self.handle_starttag(tag, attrs)
+        if drawn and self.silent[-1] == tag:
+            self.silent.pop()
+            return
         if tag not in VOID and self.at.tag == tag and not self.silent:
             self.at = self.at.parent
 
     def handle_data(self, data):
+        if self.silent and self.silent[-1] == "head" and data.strip(" \t\n\r\f"):
+            self.silent.pop()
         if not self.silent:
             self.at.text.append(data)
             self.parts.append((self.at.index, self.block, data))
@@ -144,15 +158,14 @@ def features(tree: Tree) -> np.ndarray:
     nodes = tree.nodes
     n = len(nodes)
     own, links, commas, stops, digits = (np.zeros(n) for _ in range(5))
+    linked = [False] * n
     for k, x in enumerate(nodes):
         t = "".join(x.text)
         own[k] = len(t) - sum(map(t.count, " \n\t"))
         commas[k], stops[k] = t.count(","), t.count(".") + t.count("!") + t.count("?")
-        digits[k] = sum(map(str.isdigit, t)) if len(t) < 200 else 0
-        y = x
-        while y is not None and y.tag != "a" and y.depth and k and x.depth - y.depth < 4:
-            y = y.parent
-        links[k] = own[k] if y is not None and y.tag == "a" else 0
+        digits[k] = sum(map(str.isdigit, t))
+        linked[k] = x.tag == "a" or x.parent is not None and linked[x.parent.index]
+        links[k] = own[k] if linked[k] else 0
     count, chars, below = np.ones(n), own.copy(), [a.copy() for a in (links, commas, stops)]
     for k in range(n - 1, 0, -1):
         p = nodes[k].parent.index
@@ -165,12 +178,13 @@ def features(tree: Tree) -> np.ndarray:
     good, bad = np.zeros(n), np.zeros(n)
     out = np.zeros((n, len(PLAIN) + len(GIVEN_AWAY)))
     place = np.zeros(n)
+    tags = [Counter(c.tag for c in x.children) for x in nodes]
     for x in nodes:
         for k, c in enumerate(x.children):
             place[c.index] = k
     for k, x in enumerate(nodes):
         p = x.parent
-        same = sum(c.tag == x.tag for c in p.children) if p and len(p.children) < 200 else len(p.children) if p else 1
+        same = tags[p.index][x.tag] if p else 1
         good[k] = (x.tag in MAIN_TAGS) + len(x.words & GOOD) + (good[p.index] if p else 0)
         bad[k] = (x.tag in OTHER_TAGS) + len(x.words & BAD) + (bad[p.index] if p else 0)
         m = len(p.children) if p else 1

@@ -2,7 +2,9 @@
 
 import random
 
-from cohort_spark.llm import line_dedup
+import pytest
+
+from cohort_spark.llm import html_extraction, line_dedup
 
 from .test_operators import edits
 from .test_pipeline import SF, duck
@@ -39,3 +41,26 @@ def test_line_dedup_query_takes_short_copies(spark):
     copies = {(i, p) for i, p, x in lines if first[x] != (i, p)}
     removed = {(x.doc_id, p) for x in line_dedup.query(spark, SF).collect() for p in x.removed}
     assert copies and copies <= removed
+
+
+@pytest.mark.parametrize("html", [
+    "<html><head><title>t</title><meta charset=x><body><p>some text</p></body></html>",
+    "<head><title>t</title>\n<p>some text</p>",
+    "<head><title>t</title>\nsome text",
+    "<head><noscript><link href=x><body>some text",
+    "<head><title>t</title></head><body><svg/><p>some text</p>",
+    "<body><svg><title/></svg><p>some text</p><svg><g><title>a</svg>",
+    "<head><script>var a = '<p>no</p>';</script><style>p {}</style></head><p>some text</p>",
+])
+def test_html_heads_and_drawings_end(html):
+    assert "".join(t for _, _, t in html_extraction.Tree(html).parts).strip() == "some text"
+
+
+def test_html_features_have_no_limits():
+    html = "<body><div>" + "<p>a</p><b>b</b>" * 150 + "</div><p>" + "7" * 250 + "</p><a><b><i><b><i><b>deep</b></i></b></i></b></a>"
+    tree = html_extraction.Tree(html)
+    x = dict(zip(html_extraction.PLAIN, html_extraction.features(tree).T))
+    at = {"".join(n.text): k for k, n in enumerate(tree.nodes)}
+    assert x["same_tag"][at["a"]] == x["same_tag"][at["b"]] == 0.5
+    assert x["digits"][at["7" * 250]] == 250
+    assert x["link_chars"][at["deep"]] == 4

@@ -4,8 +4,12 @@ Host and path are cut out of the URL with string functions. A rule names a host
 path prefix; the longest that fits decides. For the rest, host names are split into words: the labels' runs of letters
 and digits by the most likely split (Viterbi) under unigram counts of the corpus, with a length penalty for
 unknown words. A multinomial naive Bayes over segmented host words and path tokens gives the verdict. It learns
-from the URLs themselves: those with a blocked seed word in the segmented host are its blocked class, the others
-its allowed class; so words that keep company with the seeds count too.
+from the URLs themselves: those with a word of LEXICON in the host, segmented or as it stands, are its blocked class,
+the others its allowed class; so words that keep company with the lexicon's count too. The rules' verdicts are no
+labels: rules test top-level domains, and the model would take those for the reason. A bad host none of whose words
+is in the lexicon is among the allowed ones.
+
+Segmentation knows the corpus' counts alone. A host's run that it splits is a token beside its parts.
 
 The counts that segmentation needs are those of substrings of host names, so they are joined to the distinct
 substrings of distinct host runs; the whole vocabulary goes nowhere. Segmentation runs once for each distinct run.
@@ -27,11 +31,15 @@ from .common import cut, read
 
 #: Fixed: the rules to apply, host/path prefix and verdict.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
-#: Words that mark a host as one of the blocked class when they stand in it.
-SEEDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "viagra", "xxx")
-#: How often a seed word, and each word that often goes with them in host names, counts as seen at least.
-SEED_COUNT = 1000
-COMPANIONS = ("blog", "cheap", "example", "farm", "free", "shop", "track", "win")
+#: Fixed: words of what URL filters commonly block, by category. A host with one of them is of the blocked class.
+LEXICON = tuple("""
+adult cams erotic escort escorts fetish hentai hookup milf nude nudes porn porno sex sexy webcam xxx
+bet bets betting bingo blackjack casino casinos gamble gambling jackpot lottery poker roulette slots wager
+cialis pharma pill pills steroids viagra
+ads adserver adtech advert adverts banner banners doubleclick popup popups tracker trackers tracking
+botnet crack cracked keygen malware phish phishing ransomware scam scams spam spyware torrent torrents warez
+payday
+""".split())
 LONGEST = 24
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,9 +100,6 @@ def segment(run: str, counts: dict[str, int], total: int) -> list[str]:
 
 def segments(names: DataFrame, counts: DataFrame) -> DataFrame:
     """(run, words) of the distinct runs of ``names`` (run)."""
-    spark = names.sparkSession
-    given = [(w, SEED_COUNT) for w in (*SEEDS, *COMPANIONS)]
-    counts = counts.union(spark.createDataFrame(given, counts.schema)).groupBy("word").agg(F.sum("c").alias("c"))
     names = cut(names.distinct())
     starts = F.sequence(F.lit(1), F.length("run"))
     inside = F.array_distinct(F.flatten(F.transform(starts, lambda a: F.transform(
@@ -107,7 +112,7 @@ def segments(names: DataFrame, counts: DataFrame) -> DataFrame:
     def split(run: pd.Series, counts: pd.Series, total: pd.Series) -> pd.Series:
         return pd.Series([segment(r, dict(c) if c is not None else {}, int(t)) for r, c, t in zip(run, counts, total)], dtype=object)
 
-    return names.join(known, "run", "left").crossJoin(total).select("run", split("run", "counts", "total").alias("words"))
+    return names.join(known, "run", "left").crossJoin(total).select("run", split("run", "counts", F.coalesce("total", F.lit(1))).alias("words"))
 
 
 def judge(urls: DataFrame, counts: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
@@ -116,9 +121,10 @@ def judge(urls: DataFrame, counts: DataFrame, url: str = "url", rules=RULES) ->
     hosts = cut(urls.groupBy("host").agg(F.count("*").alias("n")))
     parts = hosts.select("host", "n", F.posexplode(runs(F.col("host"))).alias("k", "run"))
     split = parts.join(segments(parts.select("run"), counts), "run")
+    split = split.withColumn("words", F.when(F.size("words") > 1, F.array_append("words", F.col("run"))).otherwise(F.col("words")))
     words = split.groupBy("host").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "words"))), lambda x: x["words"])).alias("words"))
     hosts = cut(hosts.join(words, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
-                .withColumn("bad", F.arrays_overlap("words", F.array(*[F.lit(s) for s in SEEDS]))))
+                .withColumn("bad", F.arrays_overlap("words", F.array(*[F.lit(s) for s in LEXICON]))))
 
     # Paths by host class: the hosts' table is joined once, its rows are few for most inputs and AQE splits hot hosts.
     rows = cut(urls.groupBy("host", F.array_join(runs(F.col("path")), " ").alias("tokens")).agg(F.count("*").alias("n")).join(hosts.select("host", "bad"), "host"))

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from cohort_spark.llm import html_extraction, line_dedup
+from cohort_spark.llm import html_extraction, line_dedup, url_filter
 
 from .test_operators import edits
 from .test_pipeline import SF, duck
@@ -64,3 +64,15 @@ def test_html_features_have_no_limits():
     assert x["same_tag"][at["a"]] == x["same_tag"][at["b"]] == 0.5
     assert x["digits"][at["7" * 250]] == 250
     assert x["link_chars"][at["deep"]] == 4
+
+
+def test_url_filter_knows_corpus_counts_and_a_lexicon(spark):
+    names = spark.createDataFrame([("freeshop",), ("example",)], "run string")
+    counts = [("freeshop", 5), ("ex", 500), ("ample", 500), ("free", 1), ("shop", 1)]
+    got = {x.run: x.words for x in url_filter.segments(names, spark.createDataFrame(counts, "word string, c long")).collect()}
+    assert got == {"freeshop": ["freeshop"], "example": ["ex", "ample"]}
+    urls = [(1, "http://best-poker.xyz/"), (2, "http://garden.xyz/"), (3, "http://tea.xyz/"), (4, "http://casino.xyz/")]
+    letters = spark.createDataFrame([(c, 1000) for c in "abcdefghijklmnopqrstuvwxyz"], "word string, c long")
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    assert {x.page_id: x.verdict for x in url_filter.judge(df, letters.union(spark.createDataFrame([("best", 10**6), ("xyz", 10**6)], letters.schema))).collect()} == {1: "block", 2: "allow", 3: "allow", 4: "block"}
+    assert url_filter.judge(df, letters.limit(0)).count() == 4

@@ -14,16 +14,19 @@ whose cells are bits of one number (Hyyro's banded form of Myers' algorithm).
 
 A line goes if an equal line came before, by (doc_id, number), or if a different line whose first occurrence
 comes before is within the threshold, whether or not that line stays. Keys of very many lines (numbered
-lines, say) are hot: their lines meet the key's first line alone, and only those that still stay meet all earlier
-lines of the key.
+lines, lines with a third in common) are hot: their lines meet the key's first line alone, and of those that still stay
+only the ones that share one of 4 * THRESHOLD + 1 sketch blocks meet, by the same bound on changed character pairs.
 
-Only hashes, keys and numbers shuffle; texts of candidate lines are fetched in a second pass.
+Only hashes, keys and numbers shuffle; texts of candidate lines are fetched in a second pass. Keys are written once and
+counted by an aggregate that combines before its shuffle; no window holds the lines of a key together.
 
 The registered query judges every line that has a word. The functions and the pipeline's stage leave lines of fewer than
 ``min_chars`` characters (after trimming white space at both ends) alone, MIN_CHARS of them unless told otherwise.
 
-Defined results: null and empty texts have no lines that count; blank lines never go; repeated ids give lines of one document, those of equal number being the same
-line; null ids are kept untouched; empty tables give empty tables; other columns are kept by ``dedup``.
+Defined results: null and empty texts have no lines that count; blank lines never go; rows of one id are one document,
+whose equal lines of equal number are the same line, while each row loses only lines that it has itself; rows with a null
+id are kept untouched; empty tables give empty tables; other columns are kept by ``dedup``, which replaces n_lines and
+removed.
 """
 
 from __future__ import annotations
@@ -37,7 +40,9 @@ THRESHOLD = 2
 MIN_CHARS = 20
 #: Lines under one key from which on it is hot.
 HOT = 64
-#: Line hashes that are broadcast at most (16 MB); more are joined by shuffle.
+#: Lines of a hot key that meet its first line in one task.
+SPREAD = 1024
+#: Line hashes and keys that are broadcast at most (16 MB); more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
 #: Copies of a line from which on its hash is broadcast, so that they stay in their tasks.
 MANY = 10_000
@@ -64,37 +69,46 @@ def _cuts(n: Column, threshold: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def _key(line: Column, n: Column, k: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(n, F.lit(k), line.substr(start + 1, size))
+def _probes(threshold: int, tiny: bool) -> Column:
+    """An array with a struct for each key of a line.
 
-
-def segment_keys(line: Column, n: Column, threshold: int) -> list[Column]:
-    """Keys of a line's own segments; the lowest bit is 1."""
-    return [F.when(n > threshold, _key(line, n, k, start, size).bitwiseOR(F.lit(1))) for k, (start, size) in enumerate(_cuts(n, threshold))]
-
-
-def probe_keys(line: Column, n: Column, threshold: int) -> list[Column]:
-    """Keys of substrings that may be a segment of a line that is no longer than this one; the lowest bit is 0."""
-    out = []
+    ``part`` is the segment's number, ``less`` by how many characters the partner is shorter, ``shift`` how far the
+    partner's segment starts from where it would start there; ``own`` marks the line's own segments. At most ``part`` edits
+    lie before the segment and threshold - part after it. With ``tiny``, lines of at most ``threshold`` characters (part -1)
+    and their longer partners' characters (part -2, at ``shift``) have keys too.
+    """
+    rows = [(k, 0, 0, 1) for k in range(threshold + 1)]
     for less in range(threshold + 1):
-        for k, (start, size) in enumerate(_cuts(n - less, threshold)):
-            # Shifts d with at most k edits before the segment and threshold - k after it.
-            for d in range(max(-k, less - (threshold - k)), min(k, less + (threshold - k)) + 1):
-                if less == 0 and d == 0:
-                    continue  # the line's own segment, whose key is there already
-                at = start + d
-                out.append(F.when((n - less > threshold) & (at >= 0) & (at + size <= n), _key(line, n - less, k, at, size).bitwiseAND(F.lit(-2))))
-    return out
+        for k in range(threshold + 1):
+            low, high = max(-k, less - (threshold - k)), min(k, less + (threshold - k))
+            rows += [(k, less, d, 0) for d in range(low, high + 1) if (less, d) != (0, 0)]
+    if tiny:
+        rows += [(-1, 0, 0, 1)] + [(-2, 0, at, 0) for at in range(2 * threshold)]
+    names = ("part", "less", "shift", "own")
+    return F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(names, r)]) for r in rows])
 
 
-def tiny_keys(line: Column, n: Column, threshold: int) -> list[Column]:
-    """Keys of lines of at most ``threshold`` characters (the lowest bit is 1) and of their longer partners (0)."""
-    tiny = n <= threshold
-    out = [F.when(tiny, F.xxhash64(F.lit("tiny")).bitwiseOR(F.lit(1)))]
-    for at in range(1, 2 * threshold + 1):
-        key = F.xxhash64(F.lit("tiny"), line.substr(at, 1))
-        out.append(F.when((n <= 2 * threshold) & (n >= at), F.when(tiny, key.bitwiseOR(F.lit(1))).otherwise(key.bitwiseAND(F.lit(-2)))))
-    return out
+def line_keys(rows: DataFrame, threshold: int, tiny: bool, keep: tuple[str, ...] = ("h1",)) -> DataFrame:
+    """(key, own, *keep) of ``rows`` (line, n, *keep): a row for each segment or probe that fits.
+
+    The probes are rows of a short table rather than columns, so one small expression makes every key and the JVM compiles
+    it; as columns of one projection they exceed the method size that the JVM compiles.
+    """
+    parts = threshold + 1
+    one = rows.select("line", "n", *keep, F.explode(_probes(threshold, tiny)).alias("p")).select("line", "n", *keep, "p.*")
+    m = F.col("n") - F.col("less")  # the partner's length
+    short, rest = F.floor(m / parts).cast("int"), m % parts
+    start = short * F.col("part") + F.greatest(F.lit(0), rest - (parts - F.col("part")))  # the longer segments come last
+    one = one.withColumns({"m": m, "at": start + F.col("shift"), "size": short + (F.col("part") >= parts - rest).cast("int")})
+    segment = (F.col("part") >= 0) & (F.col("m") > threshold) & (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))
+    key = F.xxhash64("m", "part", F.substring("line", F.col("at") + 1, F.col("size")))
+    if tiny:
+        small = F.col("n") <= threshold
+        one = one.withColumn("own", F.when(F.col("part") == -2, small.cast("int")).otherwise(F.col("own")))
+        segment = segment | ((F.col("part") == -1) & small) | ((F.col("part") == -2) & (F.col("n") <= 2 * threshold) & (F.col("shift") < F.col("n")))
+        key = (F.when(F.col("part") >= 0, key).when(F.col("part") == -1, F.xxhash64(F.lit("tiny")))
+               .otherwise(F.xxhash64(F.lit("tiny"), F.substring("line", F.col("shift") + 1, F.lit(1)))))
+    return one.where(segment).select(key.alias("key"), F.col("own").cast("byte").alias("own"), *keep)
 
 
 def near(a: Column, b: Column, threshold: int) -> Column:
@@ -147,6 +161,23 @@ def pair_sketch(line: Column) -> Column:
     return F.when(F.length(line) < 2, F.lit(0).cast("long")).otherwise(let(F.split(line, ""), parity))
 
 
+def sketch_blocks(line: Column, threshold: int) -> Column:
+    """4 * threshold + 1 numbers, parities of the hashed character pairs that fall to each: lines within the threshold
+    agree on one at least, since an edit changes four pairs at most."""
+    count = 4 * threshold + 1
+
+    def pairs(c: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.pmod(F.xxhash64(F.get(c, i), F.get(c, i + 1)), F.lit(count * 60)))
+
+    def block(h: Column, j: Column) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.floor(x / count).cast("int"))
+        return F.aggregate(F.filter(h, lambda x: x % count == j), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+
+    none = F.array_repeat(F.lit(0).cast("long"), count)
+    blocks = let(F.split(line, ""), lambda c: let(pairs(c), lambda h: F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: block(h, j))))
+    return F.when(F.length(line) < 2, none).otherwise(blocks)
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, text: str, min_chars: int) -> DataFrame:
     """(h1, h2, line, n, sketch) of the lines whose h1 is in ``wanted``, once each."""
     few = wanted.count() <= BROADCAST_LINES
@@ -155,71 +186,105 @@ def _texts(docs: DataFrame, wanted: DataFrame, text: str, min_chars: int) -> Dat
     return once.withColumns({"n": F.length("line"), "sketch": pair_sketch(F.col("line"))})
 
 
-_SIDE = ("h1", "h2", "n", "sketch", "first")
+_SIDE = ("h1", "h2", "n", "sketch", "first", "own", "parts")
 
 
-def _meet(x: DataFrame, y: DataFrame, threshold: int) -> DataFrame:
-    """(a1, a2, b1, b2): different lines of one key, a before b, that may be near; the conditions hold inside the join."""
-    x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in (*_SIDE, "own")])
-    y = y.select(F.col("key").alias("_key"), *[F.col(c).alias(f"y_{c}") for c in (*_SIDE, "own")])
+def _meet(x: DataFrame, y: DataFrame, threshold: int, on: tuple[str, ...] = ("key",)) -> DataFrame:
+    """(a1, a2, b1, b2, salt): different lines of one key, a before b, that may be near. The conditions hold inside the
+    join. ``salt`` deals the partners of a over its ``parts``."""
+    x = x.select(*on, *[F.col(c).alias(f"x_{c}") for c in _SIDE])
+    y = y.select(*[F.col(c).alias(f"_{c}") for c in on], *[F.col(c).alias(f"y_{c}") for c in _SIDE])
     fits = (F.col("x_first") < F.col("y_first")) & (F.greatest("x_own", "y_own") == 1) & (F.abs(F.col("x_n") - F.col("y_n")) <= threshold)
     fits = fits & (F.bit_count(F.col("x_sketch").bitwiseXOR(F.col("y_sketch"))) <= 4 * threshold)
-    return x.join(y, (F.col("key") == F.col("_key")) & fits).select(F.col("x_h1").alias("a1"), F.col("x_h2").alias("a2"), F.col("y_h1").alias("b1"), F.col("y_h2").alias("b2")).distinct()
+    for c in on:
+        fits = fits & (F.col(c) == F.col(f"_{c}"))
+    ends = [F.col(f"{side}_{h}").alias(name) for name, side, h in (("a1", "x", "h1"), ("a2", "x", "h2"), ("b1", "y", "h1"), ("b2", "y", "h2"))]
+    return x.join(y, fits).select(*ends, F.pmod("y_h2", "x_parts").alias("salt")).distinct()
 
 
-def _judged(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(h1, h2) of the later lines of the pairs that are near."""
+def _judged(pairs: DataFrame, texts: DataFrame, threshold: int, dealt: DataFrame | None = None) -> DataFrame:
+    """(h1, h2) of the later lines of the pairs that are near. ``dealt`` (h1, h2, parts) are earlier lines that so many
+    later ones meet that their texts are copied to several tasks."""
     a = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("line").alias("la"))
     b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("line").alias("lb"))
-    return (pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"]).where(near(F.col("la"), F.col("lb"), threshold))
-            .select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct())
+    if dealt is None:
+        a = a.withColumn("salt", F.lit(0).cast("long"))
+    else:
+        copies = dealt.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("salt"))
+        a = a.join(copies, ["a1", "a2"])
+    near_ones = pairs.join(b, ["b1", "b2"]).join(a, ["a1", "a2", "salt"]).where(near(F.col("la"), F.col("lb"), threshold))
+    return near_ones.select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct()
+
+
+def _meet_hot(warm: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(h1, h2) of the later lines that are near an earlier one of the same hot key.
+
+    First every line meets its key's first line, which is copied to as many tasks as the key has thousands of lines. What
+    is left meets all earlier lines of the key that share a block of its wide sketch, too.
+    """
+    warm = warm.withColumn("parts", F.ceil(F.col("size") / SPREAD))
+    lead = warm.groupBy("key").agg(F.min_by(F.struct(*[c for c in _SIDE if c != "parts"], "size"), "first").alias("l")).select("key", "l.*")
+    lead = lead.withColumn("_parts", F.ceil(F.col("size") / SPREAD))
+    widest = cut(lead.groupBy("h1", "h2").agg(F.max("_parts").alias("parts")))
+    lead = lead.join(widest, ["h1", "h2"]).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    first = _meet(lead, warm.withColumn("salt", F.pmod("h2", "parts")), threshold, ("key", "salt"))
+    gone = cut(_judged(first, texts, threshold, widest))
+
+    wide = cut(texts.join(warm.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").select("h1", "h2", sketch_blocks(F.col("line"), threshold).alias("b")))
+    split = warm.withColumn("parts", F.lit(1).cast("long")).join(wide, ["h1", "h2"]).select("*", F.posexplode("b").alias("j", "block")).drop("b")
+    left = split.join(gone, ["h1", "h2"], "left_anti")
+    return gone.union(_judged(_meet(split, left, threshold, ("key", "j", "block")), texts, threshold))
 
 
 def late_lines(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """(doc_id, pos) of the lines that go, numbered from 0."""
+    """(doc_id, pos, h1) of the lines that go, numbered from 0, with their hashes."""
     here = cut(lines(docs, text, min_chars).select("doc_id", "pos", "h1", "h2"))
     firsts = cut(here.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies")))
 
-    every = lines(docs, text, min_chars)
-    # A key's lowest bit says whether it is a line's own (1) or a probe (0); the rest is the key.
-    kinds = [segment_keys, probe_keys] + [tiny_keys] * (min_chars <= 2 * threshold)
-    marked = F.array(*[k for kind in kinds for k in kind(F.col("line"), F.col("n"), threshold)])
-    keys = every.select("h1", F.explode(marked).alias("k")).where("k is not null").select(F.shiftright("k", 1).alias("key"), F.col("k").bitwiseAND(F.lit(1)).cast("byte").alias("own"), "h1")
-    group = Window.partitionBy("key")
-    shared = cut(keys.withColumns({"lo": F.min("h1").over(group), "hi": F.max("h1").over(group), "owned": F.max("own").over(group)})
-                 .where("lo < hi and owned = 1").select("key", "own", "h1").distinct())
+    # A key counts if two different lines have it, one as its own segment. Aggregates combine before the shuffle, so a line
+    # in every document is one row for each task.
+    keys = cut(line_keys(lines(docs, text, min_chars), threshold, min_chars <= 2 * threshold))
+    spans = keys.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi"), F.max("own").alias("owned"))
+    met = cut(spans.where("lo < hi and owned = 1").select("key"))
+    few = met.count() <= BROADCAST_LINES
+    shared = cut(keys.join(F.broadcast(met) if few else met, "key", "left_semi").groupBy("key", "h1").agg(F.max("own").alias("own")))
     texts = cut(_texts(docs, cut(shared.select("h1").distinct()), text, min_chars))
-    shared = shared.join(texts.join(firsts, ["h1", "h2"]).select(*_SIDE), "h1")
-    shared = cut(shared.join(shared.groupBy("key").agg(F.count("*").alias("size")), "key"))
+    sizes = cut(shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > hot))
+    shared = cut(shared.join(texts.join(firsts, ["h1", "h2"]).select("h1", "h2", "n", "sketch", "first"), "h1").join(sizes, "key", "left"))
 
-    # Hot keys: first each line with the key's first ones, then what stays with all earlier lines of the key.
-    cold, warm = shared.where(F.col("size") <= hot), shared.where(F.col("size") > hot)
-    lead = warm.join(warm.groupBy("key").agg(F.min("first").alias("lead")), "key").where("first = lead")
-    gone = cut(_judged(_meet(cold, cold, threshold).union(_meet(lead, warm, threshold)).distinct(), texts, threshold))
-    left = warm.join(gone, ["h1", "h2"], "left_anti")
-    gone = gone.union(_judged(_meet(warm, left, threshold), texts, threshold)).distinct()
+    cold = shared.where("size is null").withColumn("parts", F.lit(1).cast("long"))
+    gone = _judged(_meet(cold, cold, threshold), texts, threshold)
+    gone = cut(gone.union(_meet_hot(shared.where("size is not null"), texts, threshold)).distinct())
 
     # Of lines that occur once and are not near an earlier one, none go. The most frequent ones are not dealt by their hash.
     judged = cut(firsts.join(gone.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where(F.col("near") | (F.col("copies") > 1)))
     if judged.count() <= BROADCAST_LINES:
         met = here.join(F.broadcast(judged), ["h1", "h2"])
     else:
-        top = F.broadcast(judged.where(F.col("copies") > MANY))
+        top = F.broadcast(judged.where(F.col("copies") > MANY))  # fewer than all lines / MANY
         met = here.join(top, ["h1", "h2"]).unionByName(here.join(top, ["h1", "h2"], "left_anti").join(judged.where(F.col("copies") <= MANY), ["h1", "h2"]))
-    return met.where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first"))).select("doc_id", "pos").distinct()
+    return met.where(F.col("near") | (F.struct("doc_id", "pos") != F.col("first"))).select("doc_id", "pos", "h1").distinct()
 
 
-def dedup(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """``docs`` without the lines that go, and n_lines and removed (their numbers, ascending)."""
-    late = cut(late_lines(docs, text, threshold, min_chars, hot))
+def _without_late(docs: DataFrame, text: str, threshold: int, min_chars: int, hot: int) -> DataFrame:
+    """``docs`` without the lines that go, and _ld_removed, the numbers of those."""
+    late = cut(late_lines(docs.select("doc_id", text), text, threshold, min_chars, hot))
     few = late.count() <= BROADCAST_LINES
-    gone = cut(late.groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("removed")))
+    gone = cut(late.groupBy(F.col("doc_id").alias("_ld_id")).agg(F.sort_array(F.collect_list(F.struct("pos", "h1"))).alias("_ld_gone")))
     parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    kept = let(F.col("removed"), lambda r: F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(r, i)), "\n"))
-    return (docs.join(F.broadcast(gone) if few else gone, "doc_id", "left")
-            .withColumns({"n_lines": F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(parts)).cast("long"),
-                          text: F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept),
-                          "removed": F.coalesce("removed", F.array().cast("array<int>"))}))
+    # Of rows with one id and different texts, each loses the lines that it has.
+    here = F.transform(F.filter("_ld_gone", lambda g: F.xxhash64(F.get(parts, g["pos"])) == g["h1"]), lambda g: g["pos"])
+    kept = let(F.col("_ld_removed"), lambda r: F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(r, i)), "\n"))
+    return (docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("_ld_id"), "left")
+            .withColumn("_ld_removed", F.coalesce(here, F.array().cast("array<int>")))
+            .withColumn(text, F.when(F.size("_ld_removed") == 0, F.col(text)).otherwise(kept)).drop("_ld_id", "_ld_gone"))
+
+
+def dedup(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+    """``docs`` without the lines that go, and n_lines (before) and removed (their numbers, ascending); columns of these
+    two names are replaced, all others kept."""
+    n = F.when(F.coalesce(F.col(text), F.lit("")) == "", 0).otherwise(F.size(F.split(text, "\n"))).cast("long")
+    return _without_late(docs.withColumn("n_lines", n), text, threshold, min_chars, hot).drop("removed").withColumnRenamed("_ld_removed", "removed")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -229,4 +294,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts lose the lines that came before; n_chars follows. All documents stay."""
-    return dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    out = _without_late(docs, "text", THRESHOLD, MIN_CHARS, HOT)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)

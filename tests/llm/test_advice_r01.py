@@ -29,7 +29,7 @@ def test_line_dedup_short_lines(spark, monkeypatch):
     for hot, limit in ((64, 10**6), (2, 10**6), (64, 0)):
         monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
         monkeypatch.setattr(line_dedup, "MANY", 3)
-        assert {tuple(x) for x in line_dedup.late_lines(df, min_chars=1, hot=hot).collect()} == gone_lines(docs)
+        assert {(x.doc_id, x.pos) for x in line_dedup.late_lines(df, min_chars=1, hot=hot).collect()} == gone_lines(docs)
 
 
 def test_line_dedup_query_takes_short_copies(spark):

@@ -112,7 +112,7 @@ def test_line_dedup(spark, edge, empty):
     expected = {(i, p) for i, p, x in lines if x in late or first[x] != (i, p)}
     df = spark.createDataFrame(docs, "doc_id long, text string")
     for hot in (64, 2):
-        assert {tuple(x) for x in line_dedup.late_lines(df, hot=hot).collect()} == expected
+        assert {(x.doc_id, x.pos) for x in line_dedup.late_lines(df, hot=hot).collect()} == expected
     out = line_dedup.dedup(edge.withColumn("removed_by", F.lit(1)))
     assert out.count() == len(EDGE) and "removed_by" in out.columns
     assert line_dedup.dedup(empty).count() == 0

@@ -3,7 +3,8 @@
 A pair of neighbouring bytes that occurs inside no vocabulary token can never be merged over, so a text may be
 cut there before any merge is tried: the fragments are encoded on their own and their ids concatenated. Inside
 the pieces that the vocabulary's splitting pattern makes, a table of 65,536 flags marks those pairs. Equal
-pieces and fragments repeat constantly, so each worker keeps a bounded table of what it has encoded.
+pieces and fragments repeat constantly, so each worker keeps a bounded table of what it has encoded. Very long
+fragments (a megabyte of one letter, say) are merged by a heap, in time that grows with n log n.
 
 Special tokens written in a text become their own id, as the tokenizers library does by default.
 Null texts count as empty; empty texts have no ids. Rows are handled one by one: repeated rows give repeated
@@ -14,6 +15,7 @@ a column of the name they are given for their result).
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from functools import lru_cache
 
@@ -29,6 +31,8 @@ from .common import read
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces that a worker remembers; beyond it forgets all and starts anew, which costs time, not results.
 REMEMBERED = 300_000
+#: Bytes of a fragment, and characters of a piece, beyond which they are merged by a heap and not remembered.
+LONG = 256
 NONE = 1 << 40
 
 
@@ -68,6 +72,8 @@ class Codec:
 
     def fragment(self, data: bytes) -> tuple[int, ...]:
         """Ids of a fragment: the merge of lowest rank first, the leftmost of equals."""
+        if len(data) > LONG:
+            return self.long_fragment(data)
         ids, rank = [self.first[b] for b in data], self.rank
         ranks = [rank(pair, NONE) for pair in zip(ids, ids[1:])]
         while ranks:
@@ -83,6 +89,28 @@ class Codec:
                 ranks[at] = rank((ids[at], ids[at + 1]), NONE)
         return tuple(ids)
 
+    def long_fragment(self, data: bytes) -> tuple[int, ...]:
+        """The same by a heap of (rank, place) over linked places, so that time grows with n log n."""
+        n, rank = len(data), self.rank
+        ids = [self.first[b] for b in data]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, k) for k in range(n - 1) if (r := rank((ids[k], ids[k + 1]), NONE)) != NONE]
+        heapq.heapify(heap)
+        while heap:
+            r, k = heapq.heappop(heap)
+            right = after[k]
+            if ids[k] < 0 or right == n or rank((ids[k], ids[right]), NONE) != r:
+                continue  # a merge has changed this pair since
+            ids[k], ids[right] = self.merged[r], -1
+            after[k] = after[right]
+            if after[k] < n:
+                before[after[k]] = k
+                if (r := rank((ids[k], ids[after[k]]), NONE)) != NONE:
+                    heapq.heappush(heap, (r, k))
+            if before[k] >= 0 and (r := rank((ids[before[k]], ids[k]), NONE)) != NONE:
+                heapq.heappush(heap, (r, before[k]))
+        return tuple(i for i in ids if i >= 0)
+
     def piece(self, text: str) -> tuple[int, ...]:
         """Ids of a piece of the splitting pattern: of its fragments between forced boundaries."""
         data, inside, start, ids = text.encode("utf-8", "surrogatepass"), self.inside, 0, []
@@ -90,7 +118,9 @@ class Codec:
             if at == len(data) or not inside[data[at - 1]][data[at]]:
                 part = data[start:at]
                 if (known := self.fragments.get(part)) is None:
-                    known = self.fragments[part] = self.fragment(part)
+                    known = self.fragment(part)
+                    if len(part) <= LONG:
+                        self.fragments[part] = known
                 ids += known
                 start = at
         return tuple(ids)
@@ -108,7 +138,9 @@ class Codec:
             for p in self.split(plain):
                 known = pieces.get(p)
                 if known is None:
-                    known = pieces[p] = self.piece(p)
+                    known = self.piece(p)
+                    if len(p) <= LONG:
+                        pieces[p] = known
                 ids += known
         return ids
 

@@ -24,7 +24,7 @@ of candidate classes only, first for one partner of each class, then for pairs n
 
 Defined results: null and empty texts, and texts of white space, have an empty set and link with nothing (a
 component of their own); texts of fewer than five words are one shingle; repeated rows and ties fall into the
-same class; rows with a null id are left out; a class is told by a 64-bit hash of its set together with its size.
+same class; rows with a null id are left out of ``groups`` and ``links`` (``stage`` keeps them); a class is told by a 64-bit hash of its set together with its size.
 """
 
 from __future__ import annotations
@@ -88,8 +88,6 @@ def _sketches(percent: int, width: int, text: str):
         for batch in batches:
             out, own = [], ([], [], [])
             for doc, content in zip(batch["doc_id"], batch[text]):
-                if pd.isna(doc):
-                    continue
                 shingles = shingle_set(content, width)
                 n = len(shingles)
                 ref = class_hash(shingles) if n else 0
@@ -268,13 +266,14 @@ def _apart(frequent: DataFrame, reached: DataFrame, sets: DataFrame, percent: in
     return sides.join(sets.select(F.col("doc_id").alias("doc"), "s"), "doc").groupBy("u", "v").applyInPandas(meet, "a long, b long")
 
 
-def classes_and_links(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def classes_and_links(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, class_id) of every document, and verified links (a, b) between classes.
 
     A class is the smallest id of the documents with that set. The links connect exactly what similarity
-    connects; links between classes that others already connect may be absent.
+    connects; links between classes that others already connect may be absent, unless ``every`` asks for all.
     """
-    docs = docs.select("doc_id", F.col(text).alias("text"))
+    # Rows without an id go before ids pass through Python, where a null would turn a batch's ids into doubles.
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     keys = docs.mapInPandas(_sketches(percent, width, "text"), "key long, ref long, info long")
     found = cut(keys.repartition("key").sortWithinPartitions("key", "ref").mapInPandas(_pairs(percent, hot), FOUND))
 
@@ -302,7 +301,12 @@ def classes_and_links(docs: DataFrame, text: str = "text", width: int = WIDTH, p
     star = frequent.withColumn("low", F.min("doc").over(Window.partitionBy("key"))).where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b"))
 
     pairs = close.join(of.select(F.col("ref").alias("x"), F.col("id").alias("i")), "x").join(of.select(F.col("ref").alias("y"), F.col("id").alias("j")), "y").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    pairs = cut(pairs.union(second.where("kind = 'p'").select("a", "b")).union(star).distinct())
+    pairs = pairs.union(second.where("kind = 'p'").select("a", "b"))
+    if every:
+        none = cut(components(docs.sparkSession.createDataFrame([], "a long, b long")))
+        found = _verify(docs, cut(pairs.distinct()), width, percent).union(_apart(frequent, none, whole, percent))
+        return members, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = cut(pairs.union(star).distinct())
 
     # One partner of each class first: in a group of near copies that connects nearly all.
     tree = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
@@ -313,6 +317,19 @@ def classes_and_links(docs: DataFrame, text: str = "text", width: int = WIDTH, p
     return members, links.union(cut(_apart(frequent, cut(components(links)), whole, percent)))
 
 
+def links(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class_id, n_links) of every document and all links (a, b) between classes.
+
+    A class is one set; n_links counts the other classes that it links with. Every candidate pair is verified, so the
+    result grows with the number of links: groups of m different similar texts have up to m * m / 2.
+    """
+    members, found = classes_and_links(docs, text, width, percent, hot, every=True)
+    found = cut(found)
+    counts = found.select(F.col("a").alias("_c")).union(found.select("b")).groupBy("_c").agg(F.count("*").alias("n_links"))
+    out = members.join(counts, members["class_id"] == counts["_c"], "left").drop("_c")
+    return out.withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long"))), found
+
+
 def groups(docs: DataFrame, text: str = "text", width: int = WIDTH, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document."""
     members, links = classes_and_links(docs, text, width, percent, hot)
@@ -326,11 +343,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, the one with the smallest id; of rows with
-    equal ids, the one with the least text."""
-    keep = groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_first() for c in docs.columns if c != "doc_id"])
-    return docs.join(keep, "doc_id", "left_semi").withColumn("_k", F.row_number().over(one)).where("_k = 1").select(docs.columns)
+    """Pipeline stage: one document of each group stays, the first by (doc_id, hash of the text, position in the
+    input).
+
+    Rows are told by numbers of their own, so rows without an id and rows of one id with different
+    texts are documents like any other; rows without an id come last."""
+    rows = cut(docs.withColumn("_ng_row", F.monotonically_increasing_id()))
+    found = cut(groups(rows.select(F.col("_ng_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_ng_id"), "component_id"))
+    # Groups of one need no election; the others are an aggregate that combines before its shuffle.
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    voters = cut(found.join(several, "component_id", "left_semi"))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.xxhash64("text").alias("h"), F.col("_ng_row"))
+    ranked = voters.join(rows.select(F.col("_ng_row").alias("_ng_id"), key.alias("k")), "_ng_id")
+    lost = cut(ranked.select("_ng_id", "component_id", "k").join(ranked.groupBy("component_id").agg(F.min("k").alias("best")), "component_id").where("k <> best").select(F.col("_ng_id").alias("_ng_row")))
+    return rows.join(lost, "_ng_row", "left_anti").select(docs.columns)
 
 
 SQL = f"""

@@ -7,22 +7,23 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Abbreviations of measurements and what they stand for.
+#: How abbreviations of measurements are written out.
 ABBREVIATIONS = {
-    "map": "mean arterial pressure",
+    "map": "MAP",
+    "spo2": "SpO2",
+    "fio2": "FiO2",
+    "peep": "PEEP",
+    "wbc": "WBC",
     "hr": "heart rate",
     "rr": "respiratory rate",
-    "spo2": "oxygen saturation",
-    "wbc": "white blood cell count",
-    "bun": "blood urea nitrogen",
-    "inr": "international normalized ratio",
-    "fio2": "fraction of inspired oxygen",
-    "gcs": "glasgow coma scale",
+    "sbp": "systolic blood pressure",
+    "dbp": "diastolic blood pressure",
 }
-#: Statistic prefixes, role prefixes and unit suffixes of feature names.
+#: Statistic prefixes, rolling-window statistics, role prefixes and suffixes of feature names.
 STATISTICS = ("last", "mean", "std", "min", "max")
+ROLLING = ("mean", "std", "min", "max", "sum")
 ROLES = ("has", "early", "high", "total")
-UNITS = ("ml", "mg", "mcg", "hrs", "hours")
+SUFFIXES = ("obs", "flag", "mask", "ml", "hrs", "first", "last", "invasive", "noninvasive")
 
 
 def any_keyword(column: Column, keywords) -> Column:
@@ -34,12 +35,11 @@ def any_keyword(column: Column, keywords) -> Column:
 
 
 def normalize_feature_name(name: Column, abbreviations: dict[str, str] = ABBREVIATIONS) -> Column:
-    """A readable name: stream and statistic prefixes, rolling-window, role and unit marks go, ``_`` becomes a
-    space and a known abbreviation is spelt out."""
-    steps = [(r"^[^:]*:", ""), (rf"^({'|'.join(STATISTICS)})_", ""), (r"^roll[A-Za-z]*_?\d+_", ""), (rf"^({'|'.join(ROLES)})_", ""), (rf"_({'|'.join(UNITS)})$", "")]
-    out = name
-    for pattern, by in steps:
-        out = F.regexp_replace(out, pattern, by)
+    """A readable name: what follows the last colon, without statistic prefix, rolling-window marks (anywhere), role prefix
+    and suffix; ``_`` becomes a space and a known abbreviation, in any case, is written out."""
+    out = F.element_at(F.split(name, ":"), -1)
+    for pattern in (rf"^({'|'.join(STATISTICS)})_", rf"_?roll({'|'.join(ROLLING)})_?\d*", rf"^({'|'.join(ROLES)})_", rf"_({'|'.join(SUFFIXES)})$"):
+        out = F.regexp_replace(out, pattern, "")
     out = F.trim(F.regexp_replace(out, "_", " "))
     table = F.create_map(*[F.lit(x) for kv in abbreviations.items() for x in kv])
     return F.coalesce(F.try_element_at(table, F.lower(out)), out)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name
+from . import ranks
 
 
 def tag_stream(feature: Column, treatment: list[str]) -> Column:
@@ -43,7 +44,8 @@ def normalized_delta(attr: DataFrame, source: str, adapted: str) -> DataFrame:
     """(id, label, feature, shift): each row's change over the 95th percentile of absolute source attributions of its label,
     1e-6 at least."""
     pairs = attr.groupBy("id", "label", "feature").agg(*[F.max(F.when(F.col("model") == m, F.col("value"))).alias(c) for m, c in ((source, "s"), (adapted, "a"))])
-    scale = attr.where(F.col("model") == source).groupBy("label").agg(F.greatest(F.percentile(F.abs("value"), F.lit(0.95)), F.lit(1e-6)).alias("scale"))
+    sizes = attr.where(F.col("model") == source).select("label", F.abs("value").alias("size"))
+    scale = ranks.exact_quantiles(sizes, ["label"], "size", [0.95]).select("label", F.greatest(F.col("q")[0], F.lit(1e-6)).alias("scale"))
     return pairs.join(F.broadcast(scale), "label").select("id", "label", "feature", ((F.col("a") - F.col("s")) / F.col("scale")).alias("shift"))  # one row for each label
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_pvalue, ks_pvalue
+from . import ranks
 
 CLIP = 1e-6
 
@@ -35,9 +36,10 @@ def _pair(long: DataFrame, ref: str, cur: str) -> DataFrame:
 def equal_width_bins(long: DataFrame, ref: str, cur: str, bins: int = 10, pad: float = 1e-6) -> DataFrame:
     """(feature, bin, n_ref, n_cur) over ``bins`` equal bins of the joint range; empty bins have rows too."""
     rows = _pair(long, ref, cur)
+    # A row for each feature, that is, for each column of the table the rows were unpivoted from.
     span = rows.groupBy("feature").agg((F.min("value") - pad).alias("lo"), (F.max("value") + pad).alias("hi"))
     at = F.least(F.floor((F.col("value") - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins)), F.lit(bins - 1)).cast("int")
-    counts = rows.join(span, "feature").groupBy("feature", at.alias("bin")).agg(F.count_if(~F.col("is_cur")).alias("n_ref"), F.count_if("is_cur").alias("n_cur"))
+    counts = rows.join(F.broadcast(span), "feature").groupBy("feature", at.alias("bin")).agg(F.count_if(~F.col("is_cur")).alias("n_ref"), F.count_if("is_cur").alias("n_cur"))
     grid = span.select("feature", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, ["feature", "bin"], "left").fillna(0, ["n_ref", "n_cur"])
 
@@ -59,19 +61,40 @@ def histogram(long: DataFrame, ref: str, cur: str, bins: int = 20) -> DataFrame:
                          *[(F.col(f"n_{g}") / (F.greatest(F.sum(f"n_{g}").over(total), F.lit(1)) * width)).alias(f"density_{g}") for g in ("ref", "cur")])
 
 
+def value_counts(long: DataFrame, ref: str, cur: str) -> DataFrame:
+    """(feature, value, r, c) by distinct value, with r_upto, r_all, c_upto, c_all: what breaks and KS are read from."""
+    rows = _pair(long, ref, cur)
+    counts = rows.groupBy("feature", "value").agg(F.count_if(~F.col("is_cur")).alias("r"), F.count_if("is_cur").alias("c"))
+    return ranks.running(counts, ["feature"], "value", ["r", "c"], ranks.band_of(rows, "value"))
+
+
+def _bin(breaks: Column, value: Column) -> Column:
+    """The bin of ``value`` between distinct ascending breaks, the outer ones open."""
+    inner = F.slice(breaks, F.lit(2), F.greatest(F.size(breaks) - 2, F.lit(0)))
+    return F.size(F.filter(inner, lambda x: x <= value))
+
+
+def _psi_of_bins(binned: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, psi) of (keys, bin, ok, r, c); shares clipped; 0 where not ok or where a side is empty."""
+    total = Window.partitionBy(*keys)
+    shares = binned.withColumns({"tr": F.sum("r").over(total), "tc": F.sum("c").over(total)})
+    psi = F.sum(_psi(_clip(F.col("r") / F.greatest("tr", F.lit(1))), _clip(F.col("c") / F.greatest("tc", F.lit(1)))))
+    return shares.groupBy(*keys).agg(F.when(F.bool_and("ok") & (F.min("tr") > 0) & (F.min("tc") > 0), psi).otherwise(0.0).alias("psi"))
+
+
+def _psi_of_counts(ranked: DataFrame, bins: int) -> DataFrame:
+    tenths = ranks.quantiles(ranked.where("r > 0"), ["feature"], "value", "r", [k / bins for k in range(bins + 1)])
+    breaks = tenths.select("feature", F.array_distinct("q").alias("b"))
+    # A row for each feature, that is, for each column of the table the rows were unpivoted from.
+    rows = ranked.select("feature", "value", "r", "c").join(F.broadcast(breaks), "feature", "left").withColumn("b", F.coalesce("b", F.array().cast("array<double>")))
+    binned = rows.groupBy("feature", _bin(F.col("b"), F.col("value")).alias("bin"), (F.size("b") > 1).alias("ok")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    return _psi_of_bins(binned, ["feature"])
+
+
 def psi_quantile(long: DataFrame, ref: str, cur: str, bins: int = 10) -> DataFrame:
     """(feature, psi) over the reference's distinct quantile breaks, the outer ones open; shares clipped; 0 for fewer than
     two breaks or an empty group."""
-    rows = _pair(long, ref, cur)
-    cuts = F.array(*[F.lit(k / bins) for k in range(bins + 1)])
-    breaks = rows.where(~F.col("is_cur")).groupBy("feature").agg(F.array_distinct(F.percentile("value", cuts)).alias("b"))
-    inner = F.slice("b", F.lit(2), F.greatest(F.size("b") - 2, F.lit(0)))
-    counts = (rows.join(breaks, "feature").withColumn("bin", F.size(F.filter(inner, lambda x: x <= F.col("value"))))
-              .groupBy("feature", "bin", (F.size("b") > 1).alias("ok")).agg(F.count_if(~F.col("is_cur")).alias("n_ref"), F.count_if("is_cur").alias("n_cur")))
-    total = Window.partitionBy("feature")
-    shares = counts.withColumns({"tr": F.sum("n_ref").over(total), "tc": F.sum("n_cur").over(total)})
-    psi = F.sum(_psi(_clip(F.col("n_ref") / F.greatest("tr", F.lit(1))), _clip(F.col("n_cur") / F.greatest("tc", F.lit(1)))))
-    return shares.groupBy("feature").agg(F.when(F.bool_and("ok") & (F.min("tr") > 0) & (F.min("tc") > 0), psi).otherwise(0.0).alias("psi"))
+    return _psi_of_counts(value_counts(long, ref, cur), bins)
 
 
 def moments(long: DataFrame, ref: str, cur: str) -> DataFrame:
@@ -83,12 +106,15 @@ def moments(long: DataFrame, ref: str, cur: str) -> DataFrame:
     return long.where(F.col("grp").isin(ref, cur)).groupBy("feature").agg(*out)
 
 
-def psi_binary(long: DataFrame, ref: str, cur: str) -> DataFrame:
-    """(feature, psi) of 0/1 features from the two shares."""
-    m = moments(long, ref, cur)
+def _binary_psi() -> Column:
     p, q = F.coalesce("mean_ref", F.lit(0.0)), F.coalesce("mean_cur", F.lit(0.0))
     both = _psi(_clip(p), _clip(q)) + _psi(_clip(1 - p), _clip(1 - q))
-    return m.select("feature", F.when((F.col("n_ref") > 0) & (F.col("n_cur") > 0), both).otherwise(0.0).alias("psi"))
+    return F.when((F.col("n_ref") > 0) & (F.col("n_cur") > 0), both).otherwise(0.0)
+
+
+def psi_binary(long: DataFrame, ref: str, cur: str) -> DataFrame:
+    """(feature, psi) of 0/1 features from the two shares."""
+    return moments(long, ref, cur).select("feature", _binary_psi().alias("psi"))
 
 
 def rate_shift(long: DataFrame, ref: str, cur: str) -> DataFrame:
@@ -97,20 +123,16 @@ def rate_shift(long: DataFrame, ref: str, cur: str) -> DataFrame:
     return moments(long, ref, cur).select("feature", F.col("mean_ref").alias("rate_ref"), F.col("mean_cur").alias("rate_cur"), d.alias("shift"), F.abs(d).alias("abs_shift"), (F.abs(d) / (F.col("mean_ref") + 1e-6)).alias("rel_shift"))
 
 
-def ks_two_sample(long: DataFrame, ref: str, cur: str, least: int = 5, bands: int = 256) -> DataFrame:
-    """(feature, ks, n_ref, n_cur): largest distance of the two distribution functions. 0 where a group has fewer than
-    ``least`` rows. Rows are counted by distinct value first; values are then accumulated in bands of equal width, on top of
-    the totals of the bands below, so that no task sorts a whole feature."""
-    counts = _pair(long, ref, cur).groupBy("feature", "value").agg(F.count_if(~F.col("is_cur")).alias("r"), F.count_if("is_cur").alias("c"))
-    span = counts.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("r").alias("n_ref"), F.sum("c").alias("n_cur"))
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bands)
-    rows = counts.join(span, "feature").withColumn("band", F.coalesce(F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bands - 1)), F.lit(0)))
-    below = Window.partitionBy("feature").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("feature", "band").agg(F.sum("r").alias("r"), F.sum("c").alias("c")).select("feature", "band", *[F.coalesce(F.sum(x).over(below), F.lit(0)).alias(f"{x}0") for x in "rc"])
-    upto = Window.partitionBy("feature", "band").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.join(base, ["feature", "band"]).select("feature", "n_ref", "n_cur", *[(F.col(f"{x}0") + F.sum(x).over(upto)).alias(x) for x in "rc"])
-    gap = F.max(F.abs(F.col("r") / F.greatest("n_ref", F.lit(1)) - F.col("c") / F.greatest("n_cur", F.lit(1))))
-    return rows.groupBy("feature", "n_ref", "n_cur").agg(F.when(F.least("n_ref", "n_cur") < least, 0.0).otherwise(gap).alias("ks"))
+def _ks_of_counts(ranked: DataFrame, least: int) -> DataFrame:
+    gap = F.max(F.abs(F.col("r_upto") / F.greatest("r_all", F.lit(1)) - F.col("c_upto") / F.greatest("c_all", F.lit(1))))
+    out = ranked.groupBy("feature", F.col("r_all").alias("n_ref"), F.col("c_all").alias("n_cur")).agg(gap.alias("gap"))
+    return out.select("feature", "n_ref", "n_cur", F.when(F.least("n_ref", "n_cur") < least, 0.0).otherwise(F.col("gap")).alias("ks"))
+
+
+def ks_two_sample(long: DataFrame, ref: str, cur: str, least: int = 5) -> DataFrame:
+    """(feature, n_ref, n_cur, ks): largest distance of the two distribution functions. 0 where a group has fewer than
+    ``least`` rows."""
+    return _ks_of_counts(value_counts(long, ref, cur), least)
 
 
 def ks_pvalues(ks: DataFrame, least: int = 5) -> DataFrame:
@@ -119,25 +141,34 @@ def ks_pvalues(ks: DataFrame, least: int = 5) -> DataFrame:
     return ks.withColumn("ks_p", f("ks", "n_ref", "n_cur"))
 
 
-def chi2_2x2(long: DataFrame, ref: str, cur: str) -> DataFrame:
-    """(feature, chi2) of the 2 x 2 table of group and value, with Yates' correction; null for an empty margin."""
-    m = moments(long, ref, cur)
+def _chi2() -> Column:
     a, b = F.col("ones_ref").cast("double"), (F.col("n_ref") - F.col("ones_ref")).cast("double")
     c, d = F.col("ones_cur").cast("double"), (F.col("n_cur") - F.col("ones_cur")).cast("double")
     n, margins = a + b + c + d, (a + b) * (c + d) * (a + c) * (b + d)
     gap = F.greatest(F.abs(a * d - b * c) - F.least(n / 2, F.abs(a * d - b * c)), F.lit(0.0))
-    return m.select("feature", F.when(margins > 0, n * gap * gap / margins).alias("chi2"))
+    return F.when(margins > 0, n * gap * gap / margins)
+
+
+def chi2_2x2(long: DataFrame, ref: str, cur: str) -> DataFrame:
+    """(feature, chi2) of the 2 x 2 table of group and value, with Yates' correction; null for an empty margin."""
+    return moments(long, ref, cur).select("feature", _chi2().alias("chi2"))
 
 
 def chi2_pvalues(chi2: DataFrame) -> DataFrame:
     return chi2.withColumn("chi2_p", F.udf(chi2_pvalue, "double")("chi2"))
 
 
+def _cohen_d() -> Column:
+    squares = (F.col("n_ref") - 1) * F.col("var_ref") + (F.col("n_cur") - 1) * F.col("var_cur")
+    pooled = F.sqrt(squares / F.greatest(F.col("n_ref") + F.col("n_cur") - 2, F.lit(1)))
+    enough = (F.col("n_ref") >= 2) & (F.col("n_cur") >= 2) & (pooled >= 1e-9)
+    return F.coalesce(F.when(enough, (F.col("mean_ref") - F.col("mean_cur")) / pooled), F.lit(0.0))
+
+
 def cohen_d(long: DataFrame, ref: str, cur: str) -> DataFrame:
-    """(feature, d) with the pooled sample deviation; 0 where that is under 1e-9 or unknown."""
-    m = moments(long, ref, cur)
-    pooled = F.sqrt(((F.col("n_ref") - 1) * F.col("var_ref") + (F.col("n_cur") - 1) * F.col("var_cur")) / F.greatest(F.col("n_ref") + F.col("n_cur") - 2, F.lit(1)))
-    return m.select("feature", F.coalesce(F.when(pooled >= 1e-9, (F.col("mean_cur") - F.col("mean_ref")) / pooled), F.lit(0.0)).alias("d"))
+    """(feature, d): reference mean less current mean over the pooled sample deviation; 0 where that is under 1e-9 or a
+    group has fewer than two rows."""
+    return moments(long, ref, cur).select("feature", _cohen_d().alias("d"))
 
 
 def severity(psi: Column) -> Column:
@@ -148,24 +179,38 @@ def severity_binary(abs_shift: Column, rel_shift: Column) -> Column:
     return F.when((abs_shift > 0.10) | (rel_shift > 0.40), "severe").when((abs_shift > 0.05) | (rel_shift > 0.20), "moderate").when(abs_shift > 0.02, "minor").otherwise("stable")
 
 
-def audit(long: DataFrame, ref: str, cur: str, binary: list[str] = (), alpha: float = 0.05) -> DataFrame:
-    """One row for each feature: PSI (by kind), KS or chi-square, Cohen's d, means, shifts, severity, drifted and, with
-    Bonferroni's correction, significant."""
+def audit(long: DataFrame, ref: str, cur: str, binary: list[str] = (), alpha: float = 0.05, least: int = 5) -> DataFrame:
+    """One row for each feature with ``least`` rows or more in both groups: PSI (by kind), KS or chi-square, Cohen's d,
+    means, shifts, severity, drifted and, with Bonferroni's correction, significant.
+
+    Two aggregates read the rows: one takes all moments, the other counts distinct values, from which breaks, PSI and KS
+    follow."""
     is_binary = F.col("feature").isin(list(binary)) if binary else F.lit(False)
-    cont, bin_ = long.where(~is_binary), long.where(is_binary)
-    psi = psi_quantile(cont, ref, cur).unionByName(psi_binary(bin_, ref, cur))
-    ks = ks_pvalues(ks_two_sample(cont, ref, cur)).select("feature", "ks", "ks_p")
-    chi = chi2_pvalues(chi2_2x2(bin_, ref, cur))
-    m = moments(long, ref, cur).select("feature", "n_ref", "n_cur", "mean_ref", "mean_cur", "sd_ref", "sd_cur")
-    out = m.join(psi, "feature").join(cohen_d(long, ref, cur), "feature").join(ks, "feature", "left").join(chi, "feature", "left")
+    m = moments(long, ref, cur).where((F.col("n_ref") >= least) & (F.col("n_cur") >= least))
+    ranked = value_counts(long.where(~is_binary), ref, cur)
+    both = _psi_of_counts(ranked, 10).join(ks_pvalues(_ks_of_counts(ranked, least)).select("feature", "ks", "ks_p"), "feature")
     gap = F.abs(F.col("mean_cur") - F.col("mean_ref"))
-    out = out.withColumns({"kind": F.when(is_binary, "binary").otherwise("continuous"), "abs_shift": gap, "rel_shift": gap / (F.abs(F.col("mean_ref")) + 1e-6)})
-    out = out.withColumns({
+    out = m.join(both.withColumnRenamed("psi", "_psi"), "feature", "left").withColumns({
+        "psi": F.when(is_binary, _binary_psi()).otherwise(F.col("_psi")), "d": _cohen_d(), "chi2": F.when(is_binary, _chi2()),
+        "kind": F.when(is_binary, "binary").otherwise("continuous"), "abs_shift": gap, "rel_shift": gap / (F.abs(F.col("mean_ref")) + 1e-6)})
+    out = chi2_pvalues(out).withColumns({
         "severity": F.when(is_binary, severity_binary(F.col("abs_shift"), F.col("rel_shift"))).otherwise(severity(F.col("psi"))),
         "drifted": F.when(is_binary, (F.col("abs_shift") > 0.05) | (F.col("rel_shift") > 0.20)).otherwise(F.col("psi") > 0.20)})
     p = F.coalesce("ks_p", "chi2_p")
     tests = F.count(p).over(Window.partitionBy(F.lit(1)))  # a row for each feature
-    return out.withColumns({"significant": F.coalesce(p < alpha / tests, F.lit(False)), "drift_score": F.when(is_binary, F.col("abs_shift")).otherwise(F.col("psi"))})
+    out = out.withColumns({"significant": F.coalesce(p < alpha / tests, F.lit(False)), "drift_score": F.when(is_binary, F.col("abs_shift")).otherwise(F.col("psi"))})
+    return out.select("feature", "n_ref", "n_cur", "mean_ref", "mean_cur", "sd_ref", "sd_cur", "psi", "d", "ks", "ks_p", "chi2", "chi2_p",
+                      "kind", "abs_shift", "rel_shift", "severity", "drifted", "significant", "drift_score")
+
+
+def audit_table(long: DataFrame, train: str, pre: str, post: str, binary: list[str] = ()) -> DataFrame:
+    """The audit of train against post, with psi_train_pre, psi_pre_post and mean_pre of the same features; null where
+    ``pre`` lacks rows."""
+    def psi(a: str, b: str, name: str, *more: str) -> DataFrame:
+        return audit(long, a, b, binary).select("feature", F.col("psi").alias(name), *[F.col(c).alias(f"{c[:-4]}_pre") for c in more])
+
+    out = audit(long, train, post, binary).withColumnRenamed("psi", "psi_train_post")
+    return out.join(psi(train, pre, "psi_train_pre", "mean_cur"), "feature", "left").join(psi(pre, post, "psi_pre_post"), "feature", "left")
 
 
 def summary(audited: DataFrame) -> DataFrame:
@@ -194,17 +239,26 @@ def consecutive_pairs(df: DataFrame, era: str = "era") -> DataFrame:
     return df.select(era).distinct().select(F.col(era).alias("era"), F.lead(era).over(Window.orderBy(era)).alias("next_era")).where("next_era is not null")
 
 
-def scan_eras(long: DataFrame, k: float = 2.0, train: list[str] | None = None) -> DataFrame:
+def scan_eras(long: DataFrame, k: float = 2.0, train: list[str] | None = None, bins: int = 10) -> DataFrame:
     """(era, next_era, distance, threshold, drift) over consecutive eras, ``grp`` being the era: mean PSI over features, held
-    against ``k`` times the largest distance within the training eras (the first pair if none are named)."""
-    eras = [r[0] for r in long.select("grp").distinct().orderBy("grp").collect()]  # a handful of eras
-    out = None
-    for a, b in zip(eras, eras[1:]):
-        d = psi_quantile(long, a, b).agg(F.avg("psi").alias("distance")).select(F.lit(a).alias("era"), F.lit(b).alias("next_era"), "distance")
-        out = d if out is None else out.unionByName(d)
-    base = [p for p in zip(eras, eras[1:]) if train is None or (p[0] in train and p[1] in train)]
-    base = base[:1] if train is None else base
-    limit = out.where(F.col("next_era").isin([b for _, b in base])).agg((F.lit(k) * F.max("distance")).alias("threshold"))
+    against ``k`` times the largest distance within the training eras (the first pair if none are named).
+
+    One aggregate counts distinct values by feature and era; each era's breaks bin its own counts and the next era's."""
+    counts = long.groupBy("feature", "grp", "value").agg(F.count("*").alias("n"))
+    ranked = ranks.running(counts, ["feature", "grp"], "value", ["n"], ranks.band_of(long, "value"))
+    tenths = ranks.quantiles(ranked, ["feature", "grp"], "value", "n", [j / bins for j in range(bins + 1)])
+    pairs = consecutive_pairs(long, "grp").select(F.col("era").alias("e"), F.col("next_era").alias("f"))  # a handful of eras
+    breaks = tenths.join(F.broadcast(pairs), F.col("grp") == F.col("e")).select(F.col("feature").alias("g"), "e", "f", F.array_distinct("q").alias("b"))
+    hits = (F.col("feature") == F.col("g")) & ((F.col("grp") == F.col("e")) | (F.col("grp") == F.col("f")))
+    rows = counts.join(F.broadcast(breaks), hits)  # a row of breaks for each feature and era
+    own = F.col("grp") == F.col("e")
+    binned = rows.groupBy("feature", "e", "f", _bin(F.col("b"), F.col("value")).alias("bin"), (F.size("b") > 1).alias("ok")).agg(
+        F.sum(F.when(own, F.col("n")).otherwise(0)).alias("r"), F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("c"))
+    out = _psi_of_bins(binned, ["feature", "e", "f"]).groupBy(F.col("e").alias("era"), F.col("f").alias("next_era")).agg(F.avg("psi").alias("distance"))
+    if train is None:
+        limit = out.agg((F.lit(k) * F.min_by("distance", "era")).alias("threshold"))
+    else:
+        limit = out.where(F.col("era").isin(train) & F.col("next_era").isin(train)).agg((F.lit(k) * F.max("distance")).alias("threshold"))
     return out.crossJoin(F.broadcast(limit)).withColumn("drift", F.col("distance") > F.col("threshold"))  # one row
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 KEYS = ["model", "label"]
 
 
@@ -13,23 +15,13 @@ def to_long_predictions(wide: DataFrame, ids: list[str], models: list[str]) -> D
     return wide.unpivot(ids, models, "model", "prob")
 
 
-#: Bands of scores whose rows are accumulated apart from each other.
-BANDS = 256
-
-
 def _cumulative(df: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """Per distinct score, descending: positives and negatives at it (p, n), up to it (tp, fp) and in all (np, nn).
-
-    Totals of whole score bands come first, so that no task sorts more than one band of one key.
-    """
+    """Per distinct score, descending: positives and negatives at it (p, n), up to it (tp, fp) and in all (np, nn)."""
     w = F.col(weight) if weight else F.lit(1)
-    counts = df.where("prob is not null and y is not null").groupBy(*keys, "prob").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(w)).alias("n"))
-    counts = counts.withColumn("_band", F.least(F.greatest(F.floor(F.col("prob") * BANDS), F.lit(0)), F.lit(BANDS - 1)))
-    above, total = Window.partitionBy(*keys).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
-    bands = counts.groupBy(*keys, "_band").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    bands = bands.select(*keys, "_band", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp"), F.sum("_p").over(total).alias("np"), F.sum("_n").over(total).alias("nn"))
-    upto = Window.partitionBy(*keys, "_band").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.join(bands, [*keys, "_band"]).withColumns({"tp": F.col("_tp") + F.sum("p").over(upto), "fp": F.col("_fp") + F.sum("n").over(upto)}).drop("_band", "_tp", "_fp")
+    known = df.where("prob is not null and y is not null")
+    counts = known.groupBy(*keys, "prob").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(w)).alias("n"))
+    out = ranks.running(counts, list(keys), "prob", ["p", "n"], ranks.band_of(known, "prob"), descending=True)
+    return out.withColumnsRenamed({"p_upto": "tp", "n_upto": "fp", "p_all": "np", "n_all": "nn"})
 
 
 def auroc(df: DataFrame, keys: list[str] = KEYS, weight: str | None = None) -> DataFrame:
@@ -117,15 +109,19 @@ def check_alignment(df: DataFrame, x: str, y: str) -> DataFrame:
     return a.join(b, ["id", "label"], "full").agg(F.count_if(F.col("yb").isNull()).alias("only_x"), F.count_if(F.col("ya").isNull()).alias("only_y"), F.count_if(F.col("ya") != F.col("yb")).alias("label_differs"))
 
 
-def worked_examples(df: DataFrame, x: str, y: str) -> DataFrame:
-    """(label, id, px, py): the positive where x exceeds y most; the smaller id of equals."""
-    rows = wide_models(df, [x, y]).where("y = 1").select("label", "id", F.col(x).alias("px"), F.col(y).alias("py"))
-    best = F.max_by(F.struct("id", "px", "py"), F.struct(F.col("px") - F.col("py"), -F.col("id")))
-    return rows.where("px is not null and py is not null").groupBy("label").agg(best.alias("b")).select("label", "b.*")
+def worked_examples(df: DataFrame, x: str, y: str, hi: float = 0.5, lo: float = 0.1) -> DataFrame:
+    """(label, kind, id, px, py) of positives: "largest_gap", where x exceeds y most; "both_catch", both at ``hi`` or above
+    with the largest sum; "only_x", x at ``hi`` or above and y under ``lo``, with the largest gap. The smaller id of equals;
+    a kind without a case has no row."""
+    rows = wide_models(df, [x, y]).where("y = 1").select("label", "id", F.col(x).alias("px"), F.col(y).alias("py")).where("px is not null and py is not null")
+    px, py = F.col("px"), F.col("py")
+    kinds = {"largest_gap": (F.lit(True), px - py), "both_catch": ((px >= hi) & (py >= hi), px + py), "only_x": ((px >= hi) & (py < lo), px - py)}
+    best = [F.max_by(F.struct(F.lit(k).alias("kind"), "id", "px", "py"), F.when(ok, F.struct(by.alias("s"), (-F.col("id")).alias("i")))).alias(k) for k, (ok, by) in kinds.items()]
+    return rows.groupBy("label").agg(*best).select("label", F.explode(F.array(*kinds)).alias("b")).where("b is not null").select("label", "b.*")
 
 
 def wording(delta: Column) -> Column:
-    return F.when(F.abs(delta) < 0.005, "negligible").when(F.abs(delta) < 0.015, "small").when(F.abs(delta) < 0.03, "moderate").otherwise("large")
+    return F.when(delta.isNull(), "n/a").when(F.abs(delta) < 0.005, "negligible").when(F.abs(delta) < 0.015, "small").when(F.abs(delta) < 0.03, "moderate").otherwise("large")
 
 
 def gains(table: DataFrame, base: str, metric: str = "auroc", keys: list[str] = ("label",)) -> DataFrame:

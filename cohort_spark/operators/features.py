@@ -80,13 +80,13 @@ def first_observed(df: DataFrame, columns: list[str], key: str = "stay_id", orde
 
 def delta_ratio(df: DataFrame, columns: list[str], suffix: str = "_baseline", cap: float = 10.0) -> DataFrame:
     """{c}_delta and {c}_ratio to the baseline. The ratio is 1 for a zero baseline or if it isn't finite, and ``cap`` at
-    most; there is no lower cap."""
+    most; a null value or baseline leaves both null. There is no lower cap."""
     out = {}
     for c in columns:
         v, b = F.col(c), F.col(f"{c}{suffix}")
         ratio = F.when(b == 0, 1.0).otherwise(v / b)
         out[f"{c}_delta"] = v - b
-        out[f"{c}_ratio"] = F.when(F.isnan(ratio) | (F.abs(ratio) == float("inf")), 1.0).otherwise(F.least(F.lit(cap), ratio))
+        out[f"{c}_ratio"] = F.when(F.isnan(ratio) | (F.abs(ratio) == float("inf")), 1.0).when(ratio > cap, float(cap)).otherwise(ratio)
     return df.withColumns(out)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def add_masks(df: DataFrame, columns: list[str]) -> DataFrame:
     """{c}_mask: 1 where the value is there."""
@@ -35,7 +37,10 @@ def fill_both(df: DataFrame, columns: list[str], key: str = "stay_id", order: st
 def train_medians(train: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
     """One row of medians, nulls skipped: exact with linear interpolation, or a sketch for very large inputs."""
     if exact:
-        return train.agg(*[F.expr(f"percentile(`{c}`, 0.5)").alias(c) for c in columns])
+        typed = train.select(*[F.col(c).cast("double").alias(c) for c in columns])
+        long = typed.unpivot([], columns, "column", "value")
+        medians = ranks.exact_quantiles(long, ["column"], "value", [0.5])
+        return medians.groupBy().agg(*[F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(c) for c in columns])
     return train.agg(*[F.percentile_approx(c, 0.5, 100_000).alias(c) for c in columns])
 
 

@@ -39,7 +39,7 @@ def _binned(df: DataFrame, bins: int | None) -> DataFrame:
     return df if bins is None else df.withColumn("prob", F.round(F.col("prob") * bins) / bins)
 
 
-def replicate_metric(df: DataFrame, replicates: int, metric: str = "auroc", bins: int | None = 10_000) -> DataFrame:
+def replicate_metric(df: DataFrame, replicates: int, metric: str = "auroc", bins: int | None = None) -> DataFrame:
     """(model, label, b, value): the weighted metric of each bootstrap replicate.
 
     Each task turns its rows into weighted counts by (model, label, score, y) for all replicates, so what shuffles is a row
@@ -64,20 +64,23 @@ def replicate_metric(df: DataFrame, replicates: int, metric: str = "auroc", bins
     return f(counts, ["model", "label", "b"], "w").withColumnRenamed("auroc" if metric == "auroc" else "ap", "value")
 
 
-def paired_bootstrap(df: DataFrame, a: str, b: str, replicates: int = 1000, metric: str = "auroc", level: float = 0.95, bins: int | None = 10_000) -> DataFrame:
-    """(label, point, low, high, p, win, n): the difference b - a with its percentile interval, the share of replicates at or
-    below 0 and above it. Replicates without both classes are left out of the counts."""
+def paired_bootstrap(df: DataFrame, a: str, b: str, replicates: int = 1000, metric: str = "auroc", level: float = 0.95, bins: int | None = None) -> DataFrame:
+    """(label, value_a, low_a, high_a, value_b, low_b, high_b, point, low, high, p, win, n): both models' metrics and the
+    difference b - a with percentile intervals, the share of replicates whose difference is at or below 0 and above it.
+    Replicates without both classes are left out of the counts."""
     f = evaluate.auroc if metric == "auroc" else evaluate.average_precision
     name = "auroc" if metric == "auroc" else "ap"
 
-    def diff(t: DataFrame, keys: list[str], value: str) -> DataFrame:
-        return t.groupBy(*keys).agg((F.max(F.when(F.col("model") == b, F.col(value))) - F.max(F.when(F.col("model") == a, F.col(value)))).alias("d"))
+    def both(t: DataFrame, keys: list[str], value: str) -> DataFrame:
+        sides = [F.max(F.when(F.col("model") == m, F.col(value))).alias(c) for m, c in ((a, "value_a"), (b, "value_b"))]
+        return t.groupBy(*keys).agg(*sides).withColumn("d", F.col("value_b") - F.col("value_a"))
 
     two = df.where(F.col("model").isin(a, b))
-    point = diff(f(two), ["label"], name).select("label", F.col("d").alias("point"))
-    reps = diff(replicate_metric(two, replicates, metric, bins), ["label", "b"], "value").where("d is not null")
+    point = both(f(two), ["label"], name).withColumnRenamed("d", "point")
+    reps = both(replicate_metric(two, replicates, metric, bins), ["label", "b"], "value").where("d is not null")
     tail = (1 - level) / 2
-    out = reps.groupBy("label").agg(F.percentile("d", F.lit(tail)).alias("low"), F.percentile("d", F.lit(1 - tail)).alias("high"), F.avg((F.col("d") <= 0).cast("double")).alias("p"), F.avg((F.col("d") > 0).cast("double")).alias("win"), F.count("*").alias("n"))
+    ends = [F.percentile(c, F.lit(q)).alias(f"{e}{s}") for c, s in (("value_a", "_a"), ("value_b", "_b"), ("d", "")) for e, q in (("low", tail), ("high", 1 - tail))]  # of the replicates
+    out = reps.groupBy("label").agg(*ends, F.avg((F.col("d") <= 0).cast("double")).alias("p"), F.avg((F.col("d") > 0).cast("double")).alias("win"), F.count("*").alias("n"))
     return point.join(out, "label")
 
 
@@ -99,7 +102,7 @@ def jackknife(df: DataFrame, keys: list[str] = ("model", "label")) -> DataFrame:
     return placements(df, keys).join(area, keys).where(m > 1).select(*keys, "id", "y", ((m * F.col("auroc") - F.col("v")) / (m - 1)).alias("loo"))
 
 
-def bca(df: DataFrame, a: str, b: str, replicates: int = 1000, level: float = 0.95, bins: int | None = 10_000) -> DataFrame:
+def bca(df: DataFrame, a: str, b: str, replicates: int = 1000, level: float = 0.95, bins: int | None = None) -> DataFrame:
     """(label, point, low, high): bias-corrected and accelerated interval of the AUROC difference b - a."""
     two = df.where(F.col("model").isin(a, b))
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import correlation_pvalue
 from ..functions.text import label_anchor, normalize_feature_name
+from . import ranks
 
 #: Query vectors that one pass over the documents takes: a block is broadcast to the scan (64 MB at 1024 doubles).
 QUERY_BLOCK = 8192
@@ -18,14 +20,18 @@ QUERY_BLOCK = 8192
 
 def build_queries(top: DataFrame, limits: dict[str, int]) -> DataFrame:
     """(id, label, model, stream, query): anchor and the distinct readable names of the strongest features by rank; and the
-    stream "combined" with the names of all."""
+    stream "combined", the first stream's query followed by the names of the other streams, as they are."""
     rows = top.withColumn("name", normalize_feature_name(F.col("feature")))
     keys = ["id", "label", "model"]
-    by = rows.groupBy(*keys, "stream").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"])).alias("names"))
-    cut = F.coalesce(*[F.when(F.col("stream") == s, F.slice("names", 1, n)) for s, n in limits.items()], F.col("names"))
-    by = by.withColumn("names", cut)
-    both = by.groupBy(*keys).agg(F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("stream", "names"))), lambda r: r["names"]))).alias("names")).withColumn("stream", F.lit("combined"))
-    return by.unionByName(both).select(*keys, "stream", F.concat_ws(" ", label_anchor(F.col("label")), F.concat_ws(" ", "names")).alias("query"))
+    most = F.coalesce(*[F.when(F.col("stream") == s, F.lit(n)) for s, n in limits.items()], F.lit(1 << 30))
+    rows = rows.where((F.col("rank") <= most) & (F.col("name") != ""))
+    ranked = F.transform(F.sort_array(F.collect_list(F.struct("rank", "name"))), lambda r: r["name"])  # limits bound a case's names
+    by = rows.groupBy(*keys, "stream").agg(ranked.alias("names"))
+    by = by.withColumn("query", F.concat_ws(" ", label_anchor(F.col("label")), F.concat_ws(" ", F.array_distinct("names"))))
+    lead, *rest = limits
+    parts = [F.max(F.when(F.col("stream") == lead, F.col("query")))] + [F.max(F.when(F.col("stream") == s, F.concat_ws(" ", "names"))) for s in rest]
+    both = by.groupBy(*keys).agg(F.trim(F.concat_ws(" ", F.coalesce(parts[0], label_anchor(F.first("label"))), *parts[1:])).alias("query"))
+    return by.select(*keys, "stream", "query").unionByName(both.select(*keys, F.lit("combined").alias("stream"), "query"))
 
 
 def l2_normalize(vector: Column, floor: float = 1e-9) -> Column:
@@ -43,35 +49,68 @@ def rank_hits(hits: DataFrame, k: int, query: list[str] = ("query_id",), doc: st
 def topk(queries: DataFrame, docs: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, doc_id, sim, rank) by dot product of ``vec`` columns, all queries against all documents.
 
-    Queries come in blocks of a bounded size; a block is broadcast, each task multiplies it with its batch of documents
-    and keeps k candidates for each query, so only those shuffle.
+    Queries are dealt into blocks of a bounded size. A block is broadcast; each task multiplies it with its batches of
+    documents and keeps k candidates for each query, so only those shuffle. Where there are several blocks, each one's hits
+    are written before the next is read.
     """
     spark = docs.sparkSession
     parts = max(1, -(-queries.count() // block))
+    there = docs.select("doc_id", "vec").where("vec is not null")
     out = None
     for p in range(parts):
-        chunk = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).select("query_id", "vec").toPandas()
-        if chunk.empty:
+        chunk = queries.where((F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p) & F.col("vec").isNotNull()).select("query_id", "vec").toArrow()
+        if not chunk.num_rows:
             continue
-        shared = spark.sparkContext.broadcast((chunk["query_id"].to_numpy(), np.stack([np.asarray(v, float) for v in chunk["vec"]])))
+        vecs = chunk["vec"].combine_chunks()
+        matrix = vecs.values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(chunk.num_rows, -1)
+        shared = spark.sparkContext.broadcast((chunk["query_id"].to_numpy(), matrix))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
             for b in batches:
-                if b.empty:
+                if not b.num_rows:
                     continue
-                d = b.sort_values("doc_id")
-                sims = q @ np.stack([np.asarray(v, float) for v in d["vec"]]).T
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "doc_id": d["doc_id"].to_numpy()[best.ravel()], "sim": np.take_along_axis(sims, best, 1).ravel()})
-
-        hits = docs.select("doc_id", "vec").where("vec is not null").mapInPandas(run, "query_id long, doc_id long, sim double")
+                doc = b.column("doc_id").to_numpy(zero_copy_only=False)
+                order = np.argsort(doc, kind="stable")
+                d = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(doc), -1)[order]
+                sims = q @ d.T
+                best = _largest(sims, k)
+                row = np.repeat(np.arange(len(ids)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(doc[order][best.ravel()]), pa.array(sims[row, best.ravel()])], ["query_id", "doc_id", "sim"])
+
+        hits = there.mapInArrow(run, "query_id long, doc_id long, sim double")
+        if parts > 1:  # one block at a time in memory anywhere
+            path = f"{_shared_folder(spark)}/tables/{uuid.uuid4().hex}"
+            rank_hits(hits, k).drop("rank").write.parquet(path)
+            hits = spark.read.schema("query_id long, doc_id long, sim double").parquet(path)
+            shared.destroy()
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         out = spark.createDataFrame([], "query_id long, doc_id long, sim double")
     return rank_hits(out, k)
 
 
+def _largest(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest of each row, largest first; of equal ones the first, since columns are in order of id."""
+    k = min(k, sims.shape[1])
+    if sims.shape[1] > 4 * k:
+        # The k-th largest as a floor, then a stable order of the few at or above it.
+        floor = np.partition(sims, -k, axis=1)[:, -k][:, None]
+        out = np.empty((len(sims), k), np.int64)
+        for r, keep in enumerate(sims >= floor):
+            at = np.flatnonzero(keep)
+            out[r] = at[np.argsort(-sims[r, at], kind="stable")[:k]]
+        return out
+    return np.argsort(-sims, axis=1, kind="stable")[:, :k]
+
+
+def _shared_folder(spark) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise ValueError("more than one block of queries needs spark.checkpoint.dir, a folder that all executors share")
+    return folder
+
+
 def merge_streams(hits: list[DataFrame], k: int = 5, query: list[str] = ("query_id",)) -> DataFrame:
     """Hits of several streams as one list: each document once, with its largest similarity, ranked anew."""
     union = hits[0]
@@ -147,21 +186,42 @@ def summarize(cases: DataFrame, metrics: list[str], label: str = "label") -> Dat
     return out.withColumn(label, F.when(F.col("_g") == 1, "overall").otherwise(F.col(label))).drop("_g")
 
 
+def spearman_all(pairs: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
+    """(n, rho) over all rows: mid-ranks come from counts of distinct values in bands, so no task sorts all rows."""
+    def mid(c: str) -> DataFrame:
+        counts = pairs.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")).withColumn("g", F.lit(1))
+        at = ranks.running(counts, ["g"], "v", ["n"], ranks.band_of(pairs.select(F.col(c).alias("v")), "v"))
+        return at.select(F.col("v").alias(f"_v{c}"), (F.col("n_upto") - (F.col("n") - 1) / 2).alias(f"_r{c}"))
+
+    known = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = known
+    both = known.join(mid(x), F.col(x) == F.col(f"_v{x}")).join(mid(y), F.col(y) == F.col(f"_v{y}"))
+    out = both.agg(F.count("*").alias("n"), F.corr(f"_r{x}", f"_r{y}").alias("r"), F.stddev_pop(f"_r{x}").alias("sx"), F.stddev_pop(f"_r{y}").alias("sy"))
+    return out.select("n", F.when((F.col("n") >= least) & (F.col("sx") > 0) & (F.col("sy") > 0), F.col("r")).otherwise(float("nan")).alias("rho"))
+
+
 def divergence_correlation(cases: DataFrame, delta: str, jacc: str, label: str = "label") -> DataFrame:
-    """(label or "overall", n, rho, p): Spearman of attribution change against lost overlap."""
-    rows = cases.withColumn("_lost", 1 - F.col(jacc))
-    both = spearman(rows, delta, "_lost", [label]).unionByName(spearman(rows.withColumn(label, F.lit("overall")), delta, "_lost", [label]))
+    """(label or "overall", n, rho, p): Spearman of attribution change against lost overlap. Labels are a handful; each is
+    ranked in bands like the whole."""
+    rows = cases.select(F.col(label).alias("label"), F.col(delta).alias("delta"), (1 - F.col(jacc)).alias("lost"))
+    out = spearman_all(rows, "delta", "lost").withColumn("label", F.lit("overall"))
+    for r in rows.select("label").distinct().where("label is not null").orderBy("label").collect():  # a handful of labels
+        out = out.unionByName(spearman_all(rows.where(F.col("label") == r[0]), "delta", "lost").withColumn("label", F.lit(r[0])))
     p = F.udf(lambda r, n: correlation_pvalue(None if r is None or r != r else r, n), "double")  # a row for each label
-    return both.withColumn("p", p("rho", "n"))
+    return out.select(F.col("label").alias(label), "n", "rho", p("rho", "n").alias("p"))
 
 
 def relevance(terms: Column, relevant: Column) -> Column:
     return F.arrays_overlap(F.transform(terms, lambda t: F.lower(t)), F.transform(relevant, lambda t: F.lower(t)))
 
 
-def precision_at_k(hits: DataFrame, k: int = 5, query: list[str] = ("query_id",)) -> DataFrame:
-    """(query, precision): share of relevant hits among the k first that there are. Queries without hits have no row."""
-    return hits.where(F.col("rank") <= k).groupBy(*query).agg(F.avg(F.col("rel").cast("double")).alias("precision"))
+def precision_at_k(hits: DataFrame, k: int = 5, query: list[str] = ("query_id",), queries: DataFrame | None = None) -> DataFrame:
+    """(query, precision): share of relevant hits among the k first that there are. Queries without hits have NaN, if
+    ``queries`` names all of them, else no row."""
+    out = hits.where(F.col("rank") <= k).groupBy(*query).agg(F.avg(F.col("rel").cast("double")).alias("precision"))
+    if queries is None:
+        return out
+    return queries.select(*query).distinct().join(out, list(query), "left").withColumn("precision", F.coalesce("precision", F.lit(float("nan"))))
 
 
 def ndcg_at_k(hits: DataFrame, k: int = 5, query: list[str] = ("query_id",)) -> DataFrame:

@@ -141,10 +141,11 @@ def train_median_impute(spark, d):
     return rounded(impute.fill_medians(g, m, N))
 
 
+_RATIO = "CASE WHEN {c}_baseline = 0 THEN 1 WHEN {c} / {c}_baseline > 10 THEN 10 ELSE {c} / {c}_baseline END"
+
+
 @query(f"""WITH {st.HOURLY}, b AS (SELECT stay_id, min_by(views, hr) FILTER (views IS NOT NULL) AS views_baseline, min_by(click, hr) FILTER (click IS NOT NULL) AS click_baseline FROM h GROUP BY 1)
-SELECT h.stay_id, h.hr, views_baseline, click_baseline, round(views - views_baseline, 6) AS views_delta, round(CASE WHEN views_baseline = 0 THEN 1 ELSE least(10, views / views_baseline) END, 6) AS views_ratio,
-round(click - click_baseline, 6) AS click_delta, round(CASE WHEN click_baseline = 0 THEN 1 WHEN click / click_baseline IS NULL THEN 10 ELSE least(10, click / click_baseline) END, 6) AS click_ratio FROM h JOIN b USING (stay_id)""".replace(
-    "CASE WHEN views_baseline = 0 THEN 1 ELSE least(10, views / views_baseline) END", "CASE WHEN views_baseline = 0 THEN 1 WHEN views / views_baseline IS NULL THEN 10 ELSE least(10, views / views_baseline) END"))
+SELECT h.stay_id, h.hr, views_baseline, click_baseline, {', '.join(f'round({c} - {c}_baseline, 6) AS {c}_delta, round({_RATIO.format(c=c)}, 6) AS {c}_ratio' for c in ('views', 'click'))} FROM h JOIN b USING (stay_id)""")
 def baseline_delta_ratio(spark, d):
     h = st.hourly(spark, d)
     out = features.delta_ratio(h.join(features.first_observed(h, ["views", "click"]), "stay_id"), ["views", "click"])

@@ -62,7 +62,7 @@ def chi2(spark, d):
 
 MOMENTS = """mo AS (SELECT feature, count(*) FILTER (grp = '1996') AS n_ref, count(*) FILTER (grp = '1999') AS n_cur, avg(value) FILTER (grp = '1996') AS mean_ref, avg(value) FILTER (grp = '1999') AS mean_cur,
   stddev_pop(value) FILTER (grp = '1996') AS sd_ref, stddev_pop(value) FILTER (grp = '1999') AS sd_cur, var_samp(value) FILTER (grp = '1996') AS vr, var_samp(value) FILTER (grp = '1999') AS vc FROM lp GROUP BY 1),
-co AS (SELECT feature, (mean_cur - mean_ref) / sqrt(((n_ref - 1) * vr + (n_cur - 1) * vc) / (n_ref + n_cur - 2)) AS d FROM mo)"""
+co AS (SELECT feature, (mean_ref - mean_cur) / sqrt(((n_ref - 1) * vr + (n_cur - 1) * vc) / (n_ref + n_cur - 2)) AS d FROM mo)"""
 
 
 @query(f"WITH {st.LONG}, {MOMENTS} SELECT feature, round(d, 6) AS d FROM co")
@@ -85,14 +85,28 @@ def _audit(spark, d):
     return drift.audit(st.drift_long(spark, d), A, B, ["returned"])
 
 
-@query(f"WITH {st.LONG}, {AUDIT} SELECT feature, n_ref, n_cur, round(mean_ref, 6) AS mean_ref, round(mean_cur, 6) AS mean_cur, round(sd_ref, 6) AS sd_ref, round(sd_cur, 6) AS sd_cur, round(psi, 6) AS psi, round(d, 6) AS d, round(ks, 6) AS ks, round(chi2, 6) AS chi2, kind, round(abs_shift, 6) AS abs_shift, round(rel_shift, 6) AS rel_shift, severity, drifted, round(drift_score, 6) AS drift_score FROM av")
+#: Upper tail of chi-square with one degree of freedom and of Kolmogorov's distribution, as series.
+_ERFC = """CASE WHEN {x} >= 6 THEN 0 WHEN {x} <= 0 THEN 1 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) *
+  list_sum(list_transform(range(0, 160), lambda n: exp(2 * n * ln(2) + lgamma(n + 1) + (2 * n + 1) * ln({x}) - lgamma(2 * n + 2))))) END"""
+_KOLMOGOROV = """CASE WHEN {t} < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k:
+  (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * (k * {t}) * (k * {t})))))) END"""
+TESTED = f"""{AUDIT}, aw AS (SELECT *, CASE WHEN NOT bin THEN {_KOLMOGOROV.format(t="(ks * sqrt(n_ref * n_cur / (n_ref + n_cur)))")} END AS ks_p,
+  CASE WHEN bin THEN {_ERFC.format(x="sqrt(chi2 / 2)")} END AS chi2_p FROM av),
+ax AS (SELECT *, coalesce(coalesce(ks_p, chi2_p) < 0.05 / count(coalesce(ks_p, chi2_p)) OVER (), false) AS significant FROM aw)"""
+_SIX = ["mean_ref", "mean_cur", "sd_ref", "sd_cur", "psi", "d", "ks", "ks_p", "chi2", "chi2_p", "abs_shift", "rel_shift", "drift_score"]
+
+
+@query(f"""WITH {st.LONG}, {TESTED} SELECT feature, n_ref, n_cur, {', '.join(f'round({c}, 6) AS {c}' for c in _SIX)},
+kind, severity, drifted, significant FROM ax""")
 def drift_audit(spark, d):
-    return rounded(_audit(spark, d).drop("ks_p", "chi2_p", "significant"))
+    return rounded(_audit(spark, d))
 
 
-@query(f"WITH {st.LONG}, {AUDIT} SELECT count(*) AS n_features, count(*) FILTER (drifted) AS n_drifted, round(avg(psi), 6) AS mean_psi, round(max(psi), 6) AS max_psi, CASE WHEN avg(psi) < 0.1 THEN 'stable' WHEN avg(psi) < 0.2 THEN 'minor' WHEN avg(psi) < 0.35 THEN 'moderate' ELSE 'severe' END AS level FROM av")
+@query(f"""WITH {st.LONG}, {TESTED} SELECT count(*) AS n_features, count(*) FILTER (drifted) AS n_drifted, count(*) FILTER (significant) AS n_significant,
+round(avg(psi), 6) AS mean_psi, round(max(psi), 6) AS max_psi,
+CASE WHEN avg(psi) < 0.1 THEN 'stable' WHEN avg(psi) < 0.2 THEN 'minor' WHEN avg(psi) < 0.35 THEN 'moderate' ELSE 'severe' END AS level FROM ax""")
 def drift_summary(spark, d):
-    return rounded(drift.summary(_audit(spark, d)).drop("n_significant"))
+    return rounded(drift.summary(_audit(spark, d)))
 
 
 @query(f"WITH {st.LONG}, {AUDIT} SELECT feature, round(length(feature) / 10.0 * drift_score, 6) AS combined FROM av ORDER BY 2 DESC, 1 LIMIT 15")
@@ -180,27 +194,31 @@ def false_alarms(spark, d):
 
 
 @query(f"""WITH {st.PREDICTIONS}, {CUM}, dl AS (SELECT x.label, x.model, x.auroc - b.auroc AS delta FROM ar x JOIN ar b ON b.label = x.label AND b.model = 'a' WHERE x.model <> 'a')
-SELECT label, model, round(delta, 6) AS delta, CASE WHEN abs(delta) < 0.005 THEN 'negligible' WHEN abs(delta) < 0.015 THEN 'small' WHEN abs(delta) < 0.03 THEN 'moderate' ELSE 'large' END AS size, delta > 0 AS improved FROM dl""")
+SELECT label, model, round(delta, 6) AS delta, CASE WHEN delta IS NULL THEN 'n/a' WHEN abs(delta) < 0.005 THEN 'negligible' WHEN abs(delta) < 0.015 THEN 'small' WHEN abs(delta) < 0.03 THEN 'moderate' ELSE 'large' END AS size, delta > 0 AS improved FROM dl""")
 def metric_gains(spark, d):
     return rounded(evaluate.gains(evaluate.auroc(st.predictions(spark, d)), "a"))
 
 
-@query(f"WITH {st.PREDICTIONS}, {_WIDE} SELECT label, max_by(id, (a - b, -id)) AS id FROM wm WHERE y = 1 GROUP BY 1")
+@query(f"""WITH {st.PREDICTIONS}, {_WIDE}, v AS (SELECT label, id, a, b FROM wm WHERE y = 1)
+SELECT label, 'largest_gap' AS kind, max_by(id, (a - b, -id)) AS id FROM v GROUP BY ALL
+UNION ALL SELECT label, 'both_catch', max_by(id, (a + b, -id)) FROM v WHERE a >= 0.5 AND b >= 0.5 GROUP BY ALL
+UNION ALL SELECT label, 'only_x', max_by(id, (a - b, -id)) FROM v WHERE a >= 0.5 AND b < 0.1 GROUP BY ALL""")
 def worked_examples(spark, d):
-    return evaluate.worked_examples(st.predictions(spark, d), "a", "b").select("label", "id")
+    return evaluate.worked_examples(st.predictions(spark, d), "a", "b").select("label", "kind", "id")
 
 
 _POIS = " + ".join(f"(u >= {float(x)!r})::INTEGER" for x in resample._POISSON)
 
 
-@query(f"""WITH {st.PREDICTIONS}, rw AS (SELECT p.*, b, ('0x' || substr(md5(id || ':' || b), 1, 8))::BIGINT / 4294967296 AS u FROM p, (SELECT unnest(range(20)) AS b) WHERE label = 'quality' AND model = 'a'),
-c0 AS (SELECT b, prob, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS n FROM (SELECT *, {_POIS} AS w FROM rw) GROUP BY ALL),
-cu AS (SELECT *, sum(p) OVER u AS tp, sum(p) OVER t AS np, sum(n) OVER t AS nn FROM c0 WINDOW u AS (PARTITION BY b ORDER BY prob DESC ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY b))
-SELECT b::INTEGER AS b, round(sum(n * (tp - p / 2)) / (max(np) * max(nn)), 6) AS auroc FROM cu GROUP BY 1""")
+@query(f"""WITH {st.PREDICTIONS}, rw AS (SELECT p.*, b, ('0x' || substr(md5(id || ':' || b), 1, 8))::BIGINT / 4294967296 AS u FROM p, (SELECT unnest(range(100)) AS b)),
+c0 AS (SELECT model, label, b, prob, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS n FROM (SELECT *, {_POIS} AS w FROM rw) GROUP BY ALL),
+cu AS (SELECT *, sum(p) OVER u AS tp, sum(p) OVER t AS np, sum(n) OVER t AS nn FROM c0 WINDOW u AS (PARTITION BY model, label, b ORDER BY prob DESC ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY model, label, b))
+SELECT model, label, b::INTEGER AS b, CASE WHEN max(np) > 0 AND max(nn) > 0 THEN round(sum(n * (tp - p / 2)) / (max(np) * max(nn)), 6) END AS auroc FROM cu GROUP BY ALL""")
 def bootstrap_auroc(spark, d):
-    rows = st.predictions(spark, d).where("label = 'quality' and model = 'a'").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    """A hundred replicates of every model and label."""
+    rows = st.predictions(spark, d).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(99))))
     weighted = rows.withColumn("w", resample.poisson_weight(resample.uniform(F.col("id"), F.col("b"))))
-    return rounded(evaluate.auroc(weighted, ["b"], "w"))
+    return rounded(evaluate.auroc(weighted, ["model", "label", "b"], "w"))
 
 
 @query(f"""WITH {st.PREDICTIONS}, {CUM}, v AS (SELECT p.id, p.model, p.label, p.y, cu.np, cu.nn, CASE WHEN y = 1 THEN (nn - fp + n / 2) / nn ELSE (tp - cu.p / 2) / np END AS v FROM p JOIN cu ON cu.model = p.model AND cu.label = p.label AND cu.prob = p.prob)
@@ -209,14 +227,74 @@ def jackknife(spark, d):
     return rounded(resample.jackknife(st.predictions(spark, d)))
 
 
-@query()
+REPLICATES = 1000
+
+
+def _mixed(x: str, shift: int, factor: int) -> str:
+    return f"(((xor({x}, {x} >> {shift}))::UHUGEINT * {factor}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def weights_sql(ids: str, replicates: int = REPLICATES) -> str:
+    """(id, b, w): the weights of resample's replicates over the ids of a table."""
+    start = "((id::UHUGEINT * 11400714819323198485::UHUGEINT + ((b + 1)::UHUGEINT * 15111065706836454659::UHUGEINT) % 18446744073709551616::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    poisson = " + ".join(f"(u >= {float(x)!r})::BIGINT" for x in resample._POISSON)
+    return f"""w0 AS (SELECT id, b, {start} AS x FROM (SELECT DISTINCT id FROM {ids}), (SELECT unnest(range({replicates})) AS b)),
+w1 AS (SELECT id, b, {_mixed('x', 30, 0xBF58476D1CE4E5B9)} AS x FROM w0), w2 AS (SELECT id, b, {_mixed('x', 27, 0x94D049BB133111EB)} AS x FROM w1),
+wt AS (SELECT id, b, {poisson} AS w FROM (SELECT id, b, (xor(x, x >> 31) >> 11)::DOUBLE / 9007199254740992 AS u FROM w2))"""
+
+
+def _replicates(metric: str) -> str:
+    value = "sum(n * (tp - p / 2)) / (max(np) * max(nn))" if metric == "auroc" else "sum(CASE WHEN p > 0 THEN p * tp / (tp + fp) ELSE 0 END) / max(np)"
+    ok = "max(np) > 0 AND max(nn) > 0" if metric == "auroc" else "max(np) > 0"
+    part, order = "PARTITION BY model, label, b", "ORDER BY prob DESC ROWS UNBOUNDED PRECEDING"
+    return f"""k0 AS (SELECT model, label, b, prob, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS n
+  FROM p JOIN wt USING (id) WHERE model IN ('a', 'c') AND w > 0 GROUP BY ALL),
+k1 AS (SELECT *, sum(p) OVER u AS tp, sum(n) OVER u AS fp, sum(p) OVER t AS np, sum(n) OVER t AS nn FROM k0 WINDOW u AS ({part} {order}), t AS ({part})),
+kr AS (SELECT model, label, b, CASE WHEN {ok} THEN {value} END AS v FROM k1 GROUP BY ALL),
+kd AS (SELECT label, b, max(v) FILTER (model = 'a') AS va, max(v) FILTER (model = 'c') AS vb FROM kr GROUP BY ALL),
+ki AS (SELECT label, quantile_cont(va, 0.025) AS low_a, quantile_cont(va, 0.975) AS high_a, quantile_cont(vb, 0.025) AS low_b, quantile_cont(vb, 0.975) AS high_b,
+  quantile_cont(vb - va, 0.025) AS low, quantile_cont(vb - va, 0.975) AS high, avg((vb - va <= 0)::INTEGER) AS p, avg((vb - va > 0)::INTEGER) AS win, count(*) AS n
+  FROM kd WHERE va IS NOT NULL AND vb IS NOT NULL GROUP BY 1)"""
+
+
+_INTERVALS = ["low_a", "high_a", "low_b", "high_b", "low", "high", "p", "win"]
+_VERDICT = "CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'undecided' END AS verdict"
+
+
+@query(f"""WITH {st.PREDICTIONS}, {CUM}, {weights_sql('p')}, {_replicates('auroc')},
+pt AS (SELECT label, max(auroc) FILTER (model = 'a') AS value_a, max(auroc) FILTER (model = 'c') AS value_b FROM ar GROUP BY 1)
+SELECT label, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b, round(value_b - value_a, 6) AS point, {', '.join(f'round({c}, 6) AS {c}' for c in _INTERVALS)}, n, {_VERDICT} FROM pt JOIN ki USING (label)""")
 def bootstrap_delta(spark, d):
-    return rounded(resample.verdict(resample.paired_bootstrap(st.predictions(spark, d), "a", "c", 200)))
+    return rounded(resample.verdict(resample.paired_bootstrap(st.predictions(spark, d), "a", "c", REPLICATES)))
 
 
-@query()
+@query(f"""WITH {st.PREDICTIONS}, {CUM}, {weights_sql('p')}, {_replicates('ap')}, ax AS (SELECT model, label, sum(p * tp / (tp + fp)) / max(np) AS ap FROM cu GROUP BY ALL),
+pt AS (SELECT label, max(ap) FILTER (model = 'a') AS value_a, max(ap) FILTER (model = 'c') AS value_b FROM ax GROUP BY 1)
+SELECT label, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b, round(value_b - value_a, 6) AS point, {', '.join(f'round({c}, 6) AS {c}' for c in _INTERVALS)}, n, {_VERDICT} FROM pt JOIN ki USING (label)""")
+def bootstrap_auprc(spark, d):
+    return rounded(resample.verdict(resample.paired_bootstrap(st.predictions(spark, d), "a", "c", REPLICATES, metric="ap")))
+
+
+BOOT = f"""{weights_sql('att')},
+b0 AS (SELECT label, feature, model, b, sum(w * abs(value)) / nullif(sum(w), 0) AS phi FROM att JOIN wt USING (id) GROUP BY ALL),
+b1 AS (SELECT label, feature, b, max(phi) FILTER (model = 'adapted') - max(phi) FILTER (model = 'source') AS d FROM b0 GROUP BY ALL),
+b2 AS (SELECT label, feature, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM b1 WHERE d IS NOT NULL GROUP BY ALL),
+b3 AS (SELECT label, feature, avg(abs(value)) FILTER (model = 'adapted') - avg(abs(value)) FILTER (model = 'source') AS delta FROM att GROUP BY ALL)"""
+
+
+@query(f"WITH {st.ATTR}, {BOOT} SELECT label, feature, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high FROM b2 JOIN b3 USING (label, feature)")
 def bootstrap_attribution(spark, d):
-    return rounded(resample.bootstrap_mean_delta(st.attributions(spark, d), "source", "adapted", 100))
+    return rounded(resample.bootstrap_mean_delta(st.attributions(spark, d), "source", "adapted", REPLICATES))
+
+
+@query(f"WITH {st.ATTR}, {BOOT} SELECT label, count(*) AS n, count(*) FILTER (low > 0) AS up, count(*) FILTER (high < 0) AS down FROM b2 GROUP BY 1")
+def attribution_significance(spark, d):
+    return resample.significance(resample.bootstrap_mean_delta(st.attributions(spark, d), "source", "adapted", REPLICATES), ["label"])
+
+
+@query()
+def bca_interval(spark, d):
+    return rounded(resample.bca(st.predictions(spark, d), "a", "c", REPLICATES))
 
 
 DELTA = f"dt AS (SELECT label, feature, avg(abs(value)) FILTER (model = 'source') AS phi_source, avg(abs(value)) FILTER (model = 'adapted') AS phi_adapted, CASE WHEN feature IN ({', '.join(chr(39) + f'mean_f{i}' + chr(39) for i in range(8))}) THEN 'treat' ELSE 'physio' END AS stream FROM att GROUP BY ALL)"
@@ -301,9 +379,19 @@ def token_jaccard(spark, d):
     return rounded(st.table(spark, d, "part").select("p_partkey", text.token_jaccard(F.col("p_name"), F.col("p_type")).alias("jaccard")))
 
 
-@query("""SELECT event_id, 'last_roll' || 'Mean_3_' || event_type || '_ml' AS feature, event_type AS name, 'error ' || event_type || ' ICU' AS anchor FROM events""")
+_NAMES = ["physio:last_map", "last_spo2", "treat:x:mean_fio2_obs", "has_total_crystalloid_ml", "resp_rate_rollmean_3", "rollstd_4_hr", "max_peep_flag", "early_antibiotic_hrs", "WBC", "total_sbp_noninvasive", "std_dbp_last", "min_rr_first", "a:high_lactate_mask"]
+
+
+@query(f"""WITH n AS (SELECT event_id, event_type, list_value({', '.join(repr(x) for x in _NAMES)})[event_id % {len(_NAMES)} + 1] || CASE WHEN event_id % 3 = 0 THEN '_' || event_type ELSE '' END AS feature FROM events),
+a AS (SELECT *, regexp_replace(split_part(feature, ':', -1), '^(last|mean|std|min|max)_', '') AS x FROM n),
+b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(x, '_?roll(mean|std|min|max|sum)_?[0-9]*', '', 'g'), '^(has_|early_|high_|total_)', ''), '_(obs|flag|mask|ml|hrs|first|last|invasive|noninvasive)$', '') AS z FROM a),
+c AS (SELECT *, trim(replace(z, '_', ' ')) AS q FROM b)
+SELECT event_id, feature, CASE lower(q) WHEN 'map' THEN 'MAP' WHEN 'spo2' THEN 'SpO2' WHEN 'fio2' THEN 'FiO2' WHEN 'peep' THEN 'PEEP' WHEN 'wbc' THEN 'WBC' WHEN 'hr' THEN 'heart rate' WHEN 'rr' THEN 'respiratory rate'
+WHEN 'sbp' THEN 'systolic blood pressure' WHEN 'dbp' THEN 'diastolic blood pressure' ELSE q END AS name, 'error ' || event_type || ' ICU' AS anchor FROM c""")
 def name_normalize(spark, d):
-    e = st.table(spark, d, "events").withColumn("feature", F.concat(F.lit("last_rollMean_3_"), F.col("event_type"), F.lit("_ml")))
+    names = F.array(*[F.lit(x) for x in _NAMES])
+    end = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("_"), F.col("event_type"))).otherwise("")
+    e = st.table(spark, d, "events").withColumn("feature", F.concat(F.get(names, (F.col("event_id") % len(_NAMES)).cast("int")), end))
     return e.select("event_id", "feature", text.normalize_feature_name(F.col("feature")).alias("name"), text.label_anchor(F.concat(F.lit("label_error_"), F.col("event_type"))).alias("anchor"))
 
 
@@ -338,7 +426,13 @@ def gbt_scores(spark, d):
     return rounded(train.score(model, h, feats, "y", "gbt"))
 
 
-@query()
+_SCORE = "1 / (1 + exp(-(0.01 * ({c}) - 0.005 * ({v}))))"
+
+
+@query(f"""WITH {st.HOURLY}, x AS (SELECT coalesce(click, 0)::DOUBLE AS click, coalesce(views, 0)::DOUBLE AS views, avg(coalesce(click, 0)) OVER () AS mc, avg(coalesce(views, 0)) OVER () AS mv FROM h),
+y AS (SELECT avg(abs({_SCORE.format(c='mc', v='views')} - {_SCORE.format(c='click', v='views')})) AS a, avg(abs({_SCORE.format(c='click', v='mv')} - {_SCORE.format(c='click', v='views')})) AS b FROM x),
+z AS (SELECT 'click' AS feature, a AS raw FROM y UNION ALL SELECT 'views', b FROM y UNION ALL SELECT 'signup', 0 FROM y)
+SELECT feature, round(raw, 6) AS raw, round(raw / greatest(max(raw) OVER (), 1e-12), 6) AS importance FROM z""")
 def ablation_importance(spark, d):
     h = st.hourly(spark, d).fillna(0.0).withColumn("id", F.col("stay_id") * 10 + F.col("hr"))
     return rounded(attribution.ablation_importance(h, ["click", "views", "signup"], lambda x: x.withColumn("score", 1 / (1 + F.exp(-(0.01 * F.col("click") - 0.005 * F.col("views")))))))
@@ -346,5 +440,8 @@ def ablation_importance(spark, d):
 
 @query()
 def hashing_embed(spark, d):
-    docs, _ = retrieval.embed(st.table(spark, d, "documents").select("doc_id", F.col("text").alias("t")), "t", 256)
-    return docs.select("doc_id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm2"))
+    """A digest of each unit vector: entries that aren't 0, the largest and its place, the sum."""
+    docs, _ = retrieval.embed(st.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t")), "t")
+    top = F.array_max("vec")
+    return docs.select("doc_id", F.size(F.filter("vec", lambda x: x != 0)).alias("n_terms"), F.round(top, 6).alias("largest"), (F.array_position("vec", top) - 1).alias("place"),
+                       F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))

@@ -106,15 +106,16 @@ att AS (SELECT id, label, 'mean_f' || i AS feature, i, 'source' AS model, v[i +
 
 
 def vectors(spark, d: str, part: slice | None = None) -> tuple[DataFrame, DataFrame]:
-    """Queries (vec_id < 50) and documents, as unit vectors of all or a part of the dimensions."""
+    """Queries (every row whose id is divisible by 50) and documents (all rows), as unit vectors of all or a part of the
+    dimensions."""
     from ..operators.retrieval import l2_normalize
 
     v = F.col("embedding") if part is None else F.slice("embedding", part.start + 1, part.stop - part.start)
     e = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("lab"), l2_normalize(v).alias("vec"))
-    return (e.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "lab", "vec"), e.where("vec_id >= 50").select(F.col("vec_id").alias("doc_id"), "lab", "vec"))
+    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "lab", "vec"), e.select(F.col("vec_id").alias("doc_id"), "lab", "vec")
 
 
 def hits_sql(name: str, low: int, high: int, k: int = 5) -> str:
     return f"""{name}v AS (SELECT vec_id, label, list_transform(x, lambda z: z / greatest(sqrt(list_dot_product(x, x)), 1e-9)) AS x FROM (SELECT vec_id, label, CAST(embedding[{low + 1}:{high}] AS DOUBLE[]) AS x FROM embeddings)),
 {name} AS (SELECT * FROM (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, q.label = d.label AS rel, list_dot_product(q.x, d.x) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.x, d.x) DESC, d.vec_id) AS rank
-  FROM {name}v q JOIN {name}v d ON q.vec_id < 50 AND d.vec_id >= 50) WHERE rank <= {k})"""
+  FROM {name}v q JOIN {name}v d ON q.vec_id % 50 = 0) WHERE rank <= {k})"""

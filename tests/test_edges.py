@@ -119,8 +119,8 @@ def test_sequences_pad_and_cut(spark):
 
 
 def test_ratio_rules(spark):
-    df = spark.createDataFrame([(1.0, 0.0), (500.0, 10.0), (-3.0, 1.0)], "x double, x_baseline double")
-    assert [r.x_ratio for r in features.delta_ratio(df, ["x"]).collect()] == [1.0, 10.0, -3.0]
+    df = spark.createDataFrame([(1.0, 0.0), (500.0, 10.0), (-3.0, 1.0), (None, 2.0), (2.0, None)], "x double, x_baseline double")
+    assert [r.x_ratio for r in features.delta_ratio(df, ["x"]).collect()] == [1.0, 10.0, -3.0, None, None]
 
 
 def test_splits_are_disjoint(spark):
@@ -134,7 +134,7 @@ def test_splits_are_disjoint(spark):
 
 def test_names_and_tokens(spark):
     df = spark.createDataFrame([("physio:last_map",), ("has_total_crystalloid_ml",), ("mean_roll_3_hr",)], "f string")
-    assert [r[0] for r in df.select(text.normalize_feature_name(F.col("f"))).collect()] == ["mean arterial pressure", "total crystalloid", "heart rate"]
+    assert [r[0] for r in df.select(text.normalize_feature_name(F.col("f"))).collect()] == ["MAP", "total crystalloid", "roll 3 hr"]
     assert one(spark.range(1).select(text.token_jaccard(F.lit("a b"), F.lit("B c")).alias("j")))["j"] == pytest.approx(1 / 3)
 
 

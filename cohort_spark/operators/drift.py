@@ -65,36 +65,39 @@ def value_counts(long: DataFrame, ref: str, cur: str) -> DataFrame:
     """(feature, value, r, c) by distinct value, with r_upto, r_all, c_upto, c_all: what breaks and KS are read from."""
     rows = _pair(long, ref, cur)
     counts = rows.groupBy("feature", "value").agg(F.count_if(~F.col("is_cur")).alias("r"), F.count_if("is_cur").alias("c"))
-    return ranks.running(counts, ["feature"], "value", ["r", "c"], ranks.band_of(rows, "value"))
+    return ranks.running(counts, ["feature"], "value", ["r", "c"], ranks.breaks_of(rows, "value"))
 
 
-def _bin(breaks: Column, value: Column) -> Column:
-    """The bin of ``value`` between distinct ascending breaks, the outer ones open."""
-    inner = F.slice(breaks, F.lit(2), F.greatest(F.size(breaks) - 2, F.lit(0)))
-    return F.size(F.filter(inner, lambda x: x <= value))
+def _bin(breaks: Column, value: Column, bins: int) -> Column:
+    """The bin of ``value`` between at most bins + 1 distinct ascending breaks, the outer ones open."""
+    inside = [((F.size(breaks) - 1 > k) & (F.get(breaks, F.lit(k)) <= value)) for k in range(1, bins)]
+    return sum((F.when(x, 1).otherwise(0) for x in inside), F.lit(0))
 
 
-def _psi_of_bins(binned: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, psi) of (keys, bin, ok, r, c); shares clipped; 0 where not ok or where a side is empty."""
+def _psi_of_bins(binned: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """(keys, psi, more) of (keys, bin, ok, r, c); shares clipped; 0 where not ok or where a side is empty."""
     total = Window.partitionBy(*keys)
     shares = binned.withColumns({"tr": F.sum("r").over(total), "tc": F.sum("c").over(total)})
     psi = F.sum(_psi(_clip(F.col("r") / F.greatest("tr", F.lit(1))), _clip(F.col("c") / F.greatest("tc", F.lit(1)))))
-    return shares.groupBy(*keys).agg(F.when(F.bool_and("ok") & (F.min("tr") > 0) & (F.min("tc") > 0), psi).otherwise(0.0).alias("psi"))
+    return shares.groupBy(*keys).agg(F.when(F.bool_and("ok") & (F.min("tr") > 0) & (F.min("tc") > 0), psi).otherwise(0.0).alias("psi"), *more)
 
 
-def _psi_of_counts(ranked: DataFrame, bins: int) -> DataFrame:
+def _psi_and_ks(ranked: DataFrame, bins: int, least: int = 5) -> DataFrame:
+    """(feature, psi, n_ref, n_cur, ks) of ``value_counts`` rows, which are read twice: for the breaks, and for the rest."""
     tenths = ranks.quantiles(ranked.where("r > 0"), ["feature"], "value", "r", [k / bins for k in range(bins + 1)])
     breaks = tenths.select("feature", F.array_distinct("q").alias("b"))
     # A row for each feature, that is, for each column of the table the rows were unpivoted from.
-    rows = ranked.select("feature", "value", "r", "c").join(F.broadcast(breaks), "feature", "left").withColumn("b", F.coalesce("b", F.array().cast("array<double>")))
-    binned = rows.groupBy("feature", _bin(F.col("b"), F.col("value")).alias("bin"), (F.size("b") > 1).alias("ok")).agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
-    return _psi_of_bins(binned, ["feature"])
+    rows = ranked.join(F.broadcast(breaks), "feature", "left").withColumn("b", F.coalesce("b", F.array().cast("array<double>")))
+    binned = rows.groupBy("feature", _bin(F.col("b"), F.col("value"), bins).alias("bin"), (F.size("b") > 1).alias("ok")).agg(
+        F.sum("r").alias("r"), F.sum("c").alias("c"), F.max(_gap()).alias("gap"), F.max("r_all").alias("n_ref"), F.max("c_all").alias("n_cur"))
+    out = _psi_of_bins(binned, ["feature"], F.max("n_ref").alias("n_ref"), F.max("n_cur").alias("n_cur"), F.max("gap").alias("gap"))
+    return out.withColumn("ks", F.when(F.least("n_ref", "n_cur") < least, 0.0).otherwise(F.col("gap"))).drop("gap")
 
 
 def psi_quantile(long: DataFrame, ref: str, cur: str, bins: int = 10) -> DataFrame:
     """(feature, psi) over the reference's distinct quantile breaks, the outer ones open; shares clipped; 0 for fewer than
     two breaks or an empty group."""
-    return _psi_of_counts(value_counts(long, ref, cur), bins)
+    return _psi_and_ks(value_counts(long, ref, cur), bins).select("feature", "psi")
 
 
 def moments(long: DataFrame, ref: str, cur: str) -> DataFrame:
@@ -123,16 +126,15 @@ def rate_shift(long: DataFrame, ref: str, cur: str) -> DataFrame:
     return moments(long, ref, cur).select("feature", F.col("mean_ref").alias("rate_ref"), F.col("mean_cur").alias("rate_cur"), d.alias("shift"), F.abs(d).alias("abs_shift"), (F.abs(d) / (F.col("mean_ref") + 1e-6)).alias("rel_shift"))
 
 
-def _ks_of_counts(ranked: DataFrame, least: int) -> DataFrame:
-    gap = F.max(F.abs(F.col("r_upto") / F.greatest("r_all", F.lit(1)) - F.col("c_upto") / F.greatest("c_all", F.lit(1))))
-    out = ranked.groupBy("feature", F.col("r_all").alias("n_ref"), F.col("c_all").alias("n_cur")).agg(gap.alias("gap"))
-    return out.select("feature", "n_ref", "n_cur", F.when(F.least("n_ref", "n_cur") < least, 0.0).otherwise(F.col("gap")).alias("ks"))
+def _gap() -> Column:
+    return F.abs(F.col("r_upto") / F.greatest("r_all", F.lit(1)) - F.col("c_upto") / F.greatest("c_all", F.lit(1)))
 
 
 def ks_two_sample(long: DataFrame, ref: str, cur: str, least: int = 5) -> DataFrame:
     """(feature, n_ref, n_cur, ks): largest distance of the two distribution functions. 0 where a group has fewer than
     ``least`` rows."""
-    return _ks_of_counts(value_counts(long, ref, cur), least)
+    out = value_counts(long, ref, cur).groupBy("feature", F.col("r_all").alias("n_ref"), F.col("c_all").alias("n_cur")).agg(F.max(_gap()).alias("gap"))
+    return out.select("feature", "n_ref", "n_cur", F.when(F.least("n_ref", "n_cur") < least, 0.0).otherwise(F.col("gap")).alias("ks"))
 
 
 def ks_pvalues(ks: DataFrame, least: int = 5) -> DataFrame:
@@ -187,8 +189,7 @@ def audit(long: DataFrame, ref: str, cur: str, binary: list[str] = (), alpha: fl
     follow."""
     is_binary = F.col("feature").isin(list(binary)) if binary else F.lit(False)
     m = moments(long, ref, cur).where((F.col("n_ref") >= least) & (F.col("n_cur") >= least))
-    ranked = value_counts(long.where(~is_binary), ref, cur)
-    both = _psi_of_counts(ranked, 10).join(ks_pvalues(_ks_of_counts(ranked, least)).select("feature", "ks", "ks_p"), "feature")
+    both = ks_pvalues(_psi_and_ks(value_counts(long.where(~is_binary), ref, cur), 10, least)).select("feature", "psi", "ks", "ks_p")
     gap = F.abs(F.col("mean_cur") - F.col("mean_ref"))
     out = m.join(both.withColumnRenamed("psi", "_psi"), "feature", "left").withColumns({
         "psi": F.when(is_binary, _binary_psi()).otherwise(F.col("_psi")), "d": _cohen_d(), "chi2": F.when(is_binary, _chi2()),
@@ -245,14 +246,14 @@ def scan_eras(long: DataFrame, k: float = 2.0, train: list[str] | None = None, b
 
     One aggregate counts distinct values by feature and era; each era's breaks bin its own counts and the next era's."""
     counts = long.groupBy("feature", "grp", "value").agg(F.count("*").alias("n"))
-    ranked = ranks.running(counts, ["feature", "grp"], "value", ["n"], ranks.band_of(long, "value"))
+    ranked = ranks.running(counts, ["feature", "grp"], "value", ["n"], ranks.breaks_of(long, "value"))
     tenths = ranks.quantiles(ranked, ["feature", "grp"], "value", "n", [j / bins for j in range(bins + 1)])
     pairs = consecutive_pairs(long, "grp").select(F.col("era").alias("e"), F.col("next_era").alias("f"))  # a handful of eras
     breaks = tenths.join(F.broadcast(pairs), F.col("grp") == F.col("e")).select(F.col("feature").alias("g"), "e", "f", F.array_distinct("q").alias("b"))
     hits = (F.col("feature") == F.col("g")) & ((F.col("grp") == F.col("e")) | (F.col("grp") == F.col("f")))
     rows = counts.join(F.broadcast(breaks), hits)  # a row of breaks for each feature and era
     own = F.col("grp") == F.col("e")
-    binned = rows.groupBy("feature", "e", "f", _bin(F.col("b"), F.col("value")).alias("bin"), (F.size("b") > 1).alias("ok")).agg(
+    binned = rows.groupBy("feature", "e", "f", _bin(F.col("b"), F.col("value"), bins).alias("bin"), (F.size("b") > 1).alias("ok")).agg(
         F.sum(F.when(own, F.col("n")).otherwise(0)).alias("r"), F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("c"))
     out = _psi_of_bins(binned, ["feature", "e", "f"]).groupBy(F.col("e").alias("era"), F.col("f").alias("next_era")).agg(F.avg("psi").alias("distance"))
     if train is None:

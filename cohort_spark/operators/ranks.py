@@ -7,27 +7,32 @@ one group are sorted together. The breaks decide how even the bands are, never a
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS = 256
+BANDS = 128
 
 
-def band_of(rows: DataFrame, value: str, bands: int = BANDS) -> Column:
-    """The band number of ``value``, at breaks sketched over ``rows``."""
+def breaks_of(rows: DataFrame, value: str, bands: int = BANDS) -> list[float]:
+    """Ascending breaks of bands of ``value``, sketched over ``rows``; fewer than ``bands``."""
     typed = rows.select(F.col(value).cast("double").alias("_v"))
-    breaks = sorted(set(typed.approxQuantile("_v", [k / bands for k in range(1, bands)], 1 / (4 * bands))))
-    known = F.array(*[F.lit(float(b)) for b in breaks]).cast("array<double>")
-    return F.size(F.filter(known, lambda b: b <= F.col(value)))
+    found = typed.approxQuantile("_v", [k / bands for k in range(1, bands)], 1 / (4 * bands))
+    return sorted({float(b) for b in found if abs(b) < float("inf")})
 
 
-def running(counts: DataFrame, keys: list[str], value: str, columns: list[str], band: Column, descending: bool = False) -> DataFrame:
+def running(counts: DataFrame, keys: list[str], value: str, columns: list[str], breaks: list[float], descending: bool = False) -> DataFrame:
     """``counts``, a row for each key and value, with {c}_upto, the running sum of each column in order of ``value``, and
     {c}_all, its total by key."""
     def by(c: str) -> Column:
         return F.desc(c) if descending else F.asc(c)
 
-    rows = counts.withColumn("_band", band)
+    if breaks:
+        ends = [float("-inf"), *breaks, float("inf")]
+        rows = counts.withColumn("_value", F.col(value).cast("double"))
+        rows = Bucketizer(splits=ends, inputCol="_value", outputCol="_band", handleInvalid="keep").transform(rows).drop("_value")
+    else:
+        rows = counts.withColumn("_band", F.lit(0.0))
     whole = Window.partitionBy(*keys)
     before = whole.orderBy(by("_band")).rowsBetween(Window.unboundedPreceding, -1)
     bands = rows.groupBy(*keys, "_band").agg(*[F.sum(c).alias(c) for c in columns])
@@ -41,22 +46,25 @@ def running(counts: DataFrame, keys: list[str], value: str, columns: list[str],
 
 def quantiles(ranked: DataFrame, keys: list[str], value: str, n: str, shares: list[float]) -> DataFrame:
     """(keys, q): exact quantiles with linear interpolation, as an array in the order of ``shares``, from ``running`` rows
-    with ``n`` values each."""
+    with ``n`` values each. Only the rows that hold one of the places, two for each share, are aggregated."""
     upto, total = F.col(f"{n}_upto"), F.col(f"{n}_all")
 
-    def at(place: Column) -> Column:
-        return F.max(F.when((upto - F.col(n) <= place) & (place < upto), F.col(value)))
+    def holds(place: Column) -> Column:
+        return (upto - F.col(n) <= place) & (place < upto)
 
-    out = []
+    some = F.lit(False)
     for q in shares:
         h = F.lit(float(q)) * (total - 1)
-        out.append(F.struct(at(F.floor(h)).alias("a"), at(F.ceil(h)).alias("b"), F.max(h - F.floor(h)).alias("w")))
-    two = ranked.groupBy(*keys).agg(F.array(*out).alias("_q"))
-    return two.select(*keys, F.transform("_q", lambda x: x["a"] + (x["b"] - x["a"]) * x["w"]).alias("q"))
+        some = some | (holds(F.floor(h)) | holds(F.ceil(h)))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("_k"), F.lit(float(q)).alias("_share")) for k, q in enumerate(shares)])).alias("_s")
+    few = ranked.where(some).select(*keys, value, n, upto, total, each).select("*", "_s._k", (F.col("_s._share") * (total - 1)).alias("_h"))
+    ends = few.groupBy(*keys, "_k").agg(*[F.max(F.when(holds(f("_h")), F.col(value))).alias(c) for c, f in (("_a", F.floor), ("_b", F.ceil))], F.max(F.col("_h") - F.floor("_h")).alias("_w"))
+    rows = F.sort_array(F.collect_list(F.struct("_k", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias("q"))))  # one for each share
+    return ends.groupBy(*keys).agg(F.transform(rows, lambda r: r["q"]).alias("q"))
 
 
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
     """(keys, q) of ``value``, nulls skipped."""
     there = rows.where(F.col(value).isNotNull())
     counts = there.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    return quantiles(running(counts, keys, value, ["n"], band_of(there, value)), keys, value, "n", shares)
+    return quantiles(running(counts, keys, value, ["n"], breaks_of(there, value)), keys, value, "n", shares)

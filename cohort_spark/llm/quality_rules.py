@@ -159,8 +159,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go. Whole rows never shuffle; only the counts of
     labelled documents do. Measures are written once with the rows: in one plan with the verdict, Catalyst would
     copy their expressions into every rule that filters by them."""
-    facts = cut(measure(docs))
-    return judge(facts, fit_cutoffs(facts, read(spark, sf_dir, "labels"))).where("kept").select(docs.columns)
+    # Rows travel in one column, so that counts don't replace columns of the same names.
+    facts = cut(measure(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_qr_row"), "doc_id", "lang", "text")).drop("text"))
+    return judge(facts, fit_cutoffs(facts, read(spark, sf_dir, "labels"))).where("kept").select("_qr_row.*")
 
 
 SQL = f"""

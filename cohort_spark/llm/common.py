@@ -90,7 +90,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches over ``links`` (a, b).
 
     Alternates the large-star and small-star steps, which need a number of rounds that grows with the
-    logarithm of the number of nodes; each round is a few grouped joins and ends in a written table.
+    logarithm of the number of nodes; each round is a few grouped joins and ends in a written table. The node that a whole
+    component points to has all its edges under one key: its least neighbour is an aggregate that combines before its
+    shuffle, joined back, which Spark may split where one key is too large. No window holds them.
     Null ends and self-links are ignored; nodes without links don't appear.
     """
 
@@ -99,8 +101,8 @@ def components(links: DataFrame) -> DataFrame:
 
     def least(e: DataFrame, keep) -> DataFrame:
         """Every neighbour v of u points to the least of u and its neighbours, for the (u, v) that ``keep`` takes."""
-        low = F.least(F.col("a"), F.min("b").over(Window.partitionBy("a")))
-        out = e.withColumn("m", low)
+        lows = e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        out = e.join(lows, "a")
         return out.where(keep(out)).select(F.col("b").alias("x"), F.col("m").alias("y"))
 
     def tidy(e: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def _rarest(sets: DataFrame, percent: int) -> DataFrame:
     """(key, ref, info): of each set (doc_id, s) the rarest shingles, of which similar sets share one, as rows for
     ``_pairs``; shingles of one set only are left out."""
     rows = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("key"))
-    rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("key")))
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("df")), "key")
     rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "key")))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     return rows.where((F.col("at") <= first) & (F.col("df") > 1)).select("key", F.col("doc_id").alias("ref"), F.col("n").cast("long").alias("info"))
@@ -231,9 +231,12 @@ def _apart(frequent: DataFrame, reached: DataFrame, sets: DataFrame, percent: in
     rows = cut(frequent.join(reached, frequent["doc"] == reached["node"], "left").select("key", "doc", F.coalesce("component", "doc").alias("c")))
     open_keys = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rows = cut(rows.join(open_keys, "key", "left_semi"))
-    docs = rows.groupBy("doc", "c").agg(F.min("key").alias("home"))
-    docs = docs.withColumn("uc", F.when(F.count("*").over(Window.partitionBy("home", "c")) >= UNIT // 4, F.col("c")))
-    docs = docs.withColumn("chunks", F.ceil(F.count("*").over(Window.partitionBy("home", "uc")) / UNIT))
+    docs = cut(rows.groupBy("doc", "c").agg(F.min("key").alias("home")))
+    # Counted by aggregates that combine before their shuffles: a home may be the key of a third of all documents.
+    sizes = cut(docs.groupBy("home", "c").agg(F.count("*").alias("n")).withColumn("uc", F.when(F.col("n") >= UNIT // 4, F.col("c"))))
+    others = sizes.where("uc is null").groupBy("home").agg(F.sum("n").alias("others"))
+    sizes = sizes.join(others, "home", "left").withColumn("chunks", F.ceil(F.when(F.col("uc").isNull(), F.col("others")).otherwise(F.col("n")) / UNIT))
+    docs = docs.join(sizes, ["home", "c"])
     unit = F.xxhash64("home", F.coalesce("uc", F.lit(-1)), F.pmod(F.xxhash64("doc"), F.col("chunks")))
     docs = cut(docs.select("doc", "c", "uc", unit.alias("unit")))
 
@@ -298,7 +301,7 @@ def classes_and_links(docs: DataFrame, text: str = "text", width: int = WIDTH, p
     whole = cut(_sets(docs, tired.select("doc_id"), width))
     second = cut(_rarest(whole, percent).repartition("key").sortWithinPartitions("key", "ref").mapInPandas(_pairs(percent, hot), FOUND))
     frequent = cut(second.where("kind = 'h'").select(F.col("a").alias("key"), F.col("b").alias("doc")))
-    star = frequent.withColumn("low", F.min("doc").over(Window.partitionBy("key"))).where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b"))
+    star = frequent.join(frequent.groupBy("key").agg(F.min("doc").alias("low")), "key").where("low < doc").select(F.col("low").alias("a"), F.col("doc").alias("b"))
 
     pairs = close.join(of.select(F.col("ref").alias("x"), F.col("id").alias("i")), "x").join(of.select(F.col("ref").alias("y"), F.col("id").alias("j")), "y").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
     pairs = pairs.union(second.where("kind = 'p'").select("a", "b"))

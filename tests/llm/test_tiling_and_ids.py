@@ -100,3 +100,27 @@ def test_all_links(spark):
         members, found = ngram_join.links(df, hot=hot)
         assert {tuple(x) for x in found.collect()} == want
         assert {x.doc_id: x.n_links for x in members.collect()} == {i: sum(first[sets[i]] in p for p in want) for i in sets}
+
+
+def test_sets_of_one_frequent_passage_meet_in_units(spark, monkeypatch):
+    """Sets that share a passage with all others and are alike in some pairs only, dealt into units of a few sets."""
+    monkeypatch.setattr(ngram_join, "UNIT", 8)
+    r = random.Random(5)
+    passage = [f"p{k}" for k in range(60)]
+    tails = [[f"t{n}_{k}" for k in range(24)] for n in range(6)]
+    rows = []
+    for i in range(60):
+        own = list(r.choice(tails))
+        for _ in range(r.choice([0, 1, 2])):
+            own[r.randrange(len(own))] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(passage + own), "en", "s", 0))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, *_ in rows}
+    least = {i: i for i in sets}
+    for _ in range(6):
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    got = {x.doc_id: x.component_id for x in ngram_join.groups(spark.createDataFrame(rows, DOCS), hot=2).collect()}
+    assert len(set(least.values())) > 1
+    assert got == least

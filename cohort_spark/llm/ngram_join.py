@@ -47,6 +47,8 @@ HOT = 16
 BROADCAST_IDS = 1_000_000
 #: Sets of a unit of the last pass, on average at most.
 UNIT = 256
+#: Rows of a batch of sketch keys, from which on it is handed over: a batch of texts gives some hundred keys a text.
+YIELD = 1 << 17
 _BAND_STEP = 1.6
 _PACK = 1 << 32
 
@@ -85,14 +87,23 @@ def _sketches(percent: int, width: int, text: str):
         """(key, ref, info): of documents (doc_id, class hash, -1 - set size), and of sketch keys
         (key, class hash, size + allowance * 2**32 + band * 2**56)."""
         seen: set[int] = set()
+
+        def frame() -> pd.DataFrame:
+            parts = [tuple(np.array(c, np.int64) for c in own), *out]
+            return pd.DataFrame({c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(("key", "ref", "info"))})
+
         for batch in batches:
-            out, own = [], ([], [], [])
+            out, own, rows = [], ([], [], []), 0
             for doc, content in zip(batch["doc_id"], batch[text]):
                 shingles = shingle_set(content, width)
                 n = len(shingles)
                 ref = class_hash(shingles) if n else 0
+                if rows >= YIELD:
+                    yield frame()
+                    out, own, rows = [], ([], [], []), 0
                 for column, value in zip(own, (doc, ref, -1 - n)):
                     column.append(value)
+                rows += 1
                 if not n or ref in seen:
                     continue
                 if len(seen) > 1_000_000:  # forgetting costs repeated keys, nothing else
@@ -109,8 +120,8 @@ def _sketches(percent: int, width: int, text: str):
                         keys = np.concatenate([keys, empty_keys(shingles, b, int(count[b]))])
                         spare = int(count[b] - diff[b]) - 1
                     out.append((keys.view(np.int64), np.full(len(keys), ref), np.full(len(keys), n + min(spare, 1 << 20) * _PACK + (b << 56))))
-            parts = [tuple(np.array(c, np.int64) for c in own), *out]
-            yield pd.DataFrame({c: np.concatenate([p[k] for p in parts]) for k, c in enumerate(("key", "ref", "info"))})
+                    rows += len(keys)
+            yield frame()
 
     return run
 

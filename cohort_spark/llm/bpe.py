@@ -29,8 +29,9 @@ from .common import read
 
 #: Fixed: the splitting pattern of this kind of vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces that a worker remembers; beyond it forgets all and starts anew, which costs time, not results.
-REMEMBERED = 300_000
+#: Pieces, and fragments of cut pieces, that a worker remembers, and as many older ones (some 50 MB in all); beyond it the
+#: older ones that didn't occur again are forgotten, which costs time, not results.
+REMEMBERED = 100_000
 #: Bytes of a fragment, and characters of a piece, beyond which they are merged by a heap and not remembered.
 LONG = 256
 NONE = 1 << 40
@@ -68,6 +69,7 @@ class Codec:
         self.split = regex.compile(PATTERN).findall
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.fragments: dict[bytes, tuple[int, ...]] = {}
 
     def fragment(self, data: bytes) -> tuple[int, ...]:
@@ -116,6 +118,8 @@ class Codec:
         data, inside, start, ids = text.encode("utf-8", "surrogatepass"), self.inside, 0, []
         for at in range(1, len(data) + 1):
             if at == len(data) or not inside[data[at - 1]][data[at]]:
+                if at - start == len(data):
+                    return self.fragment(data)  # uncut: remembered as a piece
                 part = data[start:at]
                 if (known := self.fragments.get(part)) is None:
                     known = self.fragment(part)
@@ -131,14 +135,15 @@ class Codec:
             if k % 2:
                 ids.append(self.special[plain])
                 continue
-            pieces = self.pieces
-            if len(pieces) > REMEMBERED or len(self.fragments) > REMEMBERED:
-                pieces.clear()
+            if len(self.pieces) > REMEMBERED:
+                self.pieces, self.older = {}, self.pieces
+            if len(self.fragments) > REMEMBERED:
                 self.fragments.clear()
+            pieces, older = self.pieces, self.older
             for p in self.split(plain):
                 known = pieces.get(p)
                 if known is None:
-                    known = self.piece(p)
+                    known = older.get(p) or self.piece(p)
                     if len(p) <= LONG:
                         pieces[p] = known
                 ids += known

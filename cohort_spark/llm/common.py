@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +58,19 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, or byte strings, of an Arrow array one after the other, and where each starts, with the end
+    as one more; null is empty. Nothing is copied where no text is null."""
+    large = texts.cast(pa.large_binary())
+    if large.null_count:
+        large = large.fill_null(b"")
+    if not len(large):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = large.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[large.offset : large.offset + len(large) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), offsets
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (splitmix finalizer)."""
     x = (x ^ (x >> np.uint64(30))) * _MIX_1

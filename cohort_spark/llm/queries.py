@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import bpe, chat_format, decontamination, html_extraction, line_dedup, lm_scoring, ngram_join, quality_rules, token_counts, url_filter
+from . import bpe, chat_format, decontamination, html_extraction, line_dedup, lm_scoring, ngram_join, quality_rules, suffix_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_url_filter": url_filter.query,
     "op10_lm_scoring": lm_scoring.query,
+    "op12_suffix_dedup": suffix_dedup.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_chat_format": chat_format.SQL,
     "op2_ngram_jaccard": ngram_join.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op12_suffix_dedup": suffix_dedup.SQL,
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -71,6 +73,27 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), offsets
 
 
+#: Bytes of a text that are split into terms at once.
+SEGMENT = 1 << 20
+
+
+def segments(data: np.ndarray, term: bytes) -> Iterator[list[bytes]]:
+    """The terms, maximal matches of ``term``, of a text's bytes with A-Z lower-cased, for a bounded stretch of it at a time.
+    Long texts are cut where no term can go on; only a single term may be longer than a stretch."""
+    found = re.compile(term)
+    at = 0
+    while at < len(data):
+        end = min(at + SEGMENT, len(data))
+        while end < len(data):  # the place of the first byte after it that is in no term
+            more = data[end : end + SEGMENT].tobytes().lower()
+            match = found.match(more)
+            if not match:
+                break
+            end += match.end()
+        yield found.findall(data[at:end].tobytes().lower())
+        at = end
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers (splitmix finalizer)."""
     x = (x ^ (x >> np.uint64(30))) * _MIX_1

@@ -2,7 +2,10 @@
 
 import corpus_pipeline
 
-from . import bpe, chat_format, decontamination, html_extraction, line_dedup, lm_scoring, ngram_join, quality_rules, suffix_dedup, token_counts, url_filter
+from . import (
+    bpe, chat_format, decontamination, html_extraction, lexical_search, line_dedup, lm_scoring, ngram_join, quality_rules,
+    source_divergence, suffix_dedup, token_counts, url_filter,
+)
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -15,7 +18,9 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_url_filter": url_filter.query,
     "op10_lm_scoring": lm_scoring.query,
+    "op11_source_divergence": source_divergence.query,
     "op12_suffix_dedup": suffix_dedup.query,
+    "op13_lexical_search": lexical_search.query,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -23,5 +28,7 @@ ORACLE_SQL = {
     "op4_chat_format": chat_format.SQL,
     "op2_ngram_jaccard": ngram_join.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op11_source_divergence": source_divergence.SQL,
     "op12_suffix_dedup": suffix_dedup.SQL,
+    "op13_lexical_search": lexical_search.SQL,
 }

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, mix, read, utf8
+from .common import cut, discard, mix, read, utf8
 
 THRESHOLD = 200
 #: Bytes that are fingerprinted at once; longer texts are taken in parts that overlap.
@@ -146,11 +146,14 @@ def _runs_of(items: DataFrame, column: str, base: str | None, threshold: int, pr
 
 
 def _rerank(rows: DataFrame) -> DataFrame:
-    """``rows`` (rank, fp, ctx, copies, ...) whose pair (rank, fp) isn't unique, with the pair's place in Spark's sort order
+    """The written ``rows`` (rank, fp, ctx, copies, ...), which go, whose pair (rank, fp) isn't unique, with the pair's place in Spark's sort order
     as new rank, and ``mixed``: whether its contexts differ."""
     pairs = rows.groupBy("rank", "fp").agg(F.sum("copies").alias("_n"), F.min("ctx").alias("_low"), F.max("ctx").alias("_high")).where("_n > 1")
     ranks = cut(pairs.orderBy("rank", "fp").select("rank", "fp", F.monotonically_increasing_id().alias("_rank"), (F.col("_low") != F.col("_high")).alias("mixed")))
-    return cut(rows.join(ranks, ["rank", "fp"]).drop("rank", "fp").withColumnRenamed("_rank", "rank"))
+    out = cut(rows.join(ranks, ["rank", "fp"]).drop("rank", "fp").withColumnRenamed("_rank", "rank"))
+    discard(rows)
+    discard(ranks)
+    return out
 
 
 def _contexts(rows: DataFrame, named: list[str]) -> DataFrame:
@@ -214,7 +217,9 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             # Sums of an offset in a byte string and a length; both are small.
             data = F.substring("data", (place - F.col("base") + 1).cast("int"), (further + threshold).cast("int"))
             cuts = items.drop("rank", "copies").join(wanted, "item").select("id", "print", F.col("_rank").alias("rank"), F.col("_copies").alias("copies"), place.alias("base"), data.alias("data"))
-            items = _numbered(cuts)
+            longer, items = items, _numbered(cuts)
+            discard(longer)
+    discard(items)
     return hits
 
 
@@ -230,12 +235,12 @@ def spans_of(runs: np.ndarray, threshold: int, n: int) -> np.ndarray:
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def _keep(threshold: int) -> Column:
+def _keep(text: str, threshold: int) -> Column:
     @F.pandas_udf(f"spans {SPANS}, kept binary")
     def keep(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
         out = []
         for text, runs in zip(texts, hits):
-            data = text.encode("utf-8", "surrogatepass")
+            data = text.encode("utf-8", "surrogatepass") if text else b""
             if runs is None or not len(runs):
                 out.append(([], data))
                 continue
@@ -244,7 +249,7 @@ def _keep(threshold: int) -> Column:
             out.append(([{"start": s, "end": e} for s, e in spans], b"".join(kept)))
         return pd.DataFrame(out, columns=["spans", "kept"])
 
-    return keep(F.col("_sd_text"), F.col("_sd_runs"))
+    return keep(F.col(text), F.col("_sd_runs"))
 
 
 def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
@@ -252,10 +257,10 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: in
     whole = F.coalesce(F.col(text), F.lit(""))
     hits = repeats(docs.select(F.col(id).alias("id"), F.xxhash64(whole).alias("print"), whole.alias("text")), threshold)
     hits = hits.groupBy(F.col("id").alias("_sd_id"), F.col("print").alias("_sd_print")).agg(F.collect_set("run").alias("_sd_runs"))
-    named = docs.drop("spans", "kept").withColumns({"_sd_text": whole, "_sd_of": F.xxhash64(whole)})
+    named = docs.drop("spans", "kept").withColumn("_sd_of", F.xxhash64(whole))
     out = named.join(hits, F.col(id).eqNullSafe(F.col("_sd_id")) & (F.col("_sd_of") == F.col("_sd_print")), "left")
-    return (out.withColumn("_sd", _keep(threshold)).withColumns({"spans": F.col("_sd.spans"), "kept": F.col("_sd.kept")})
-            .drop("_sd", "_sd_text", "_sd_of", "_sd_id", "_sd_print", "_sd_runs"))
+    return (out.withColumn("_sd", _keep(text, threshold)).withColumns({"spans": F.col("_sd.spans"), "kept": F.col("_sd.kept")})
+            .drop("_sd", "_sd_of", "_sd_id", "_sd_print", "_sd_runs"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

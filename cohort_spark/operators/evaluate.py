@@ -20,7 +20,7 @@ def _cumulative(df: DataFrame, keys: list[str], weight: str | None = None) -> Da
     w = F.col(weight) if weight else F.lit(1)
     known = df.where("prob is not null and y is not null")
     counts = known.groupBy(*keys, "prob").agg(F.sum(F.when(F.col("y") == 1, w).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 1, 0).otherwise(w)).alias("n"))
-    out = ranks.running(counts, list(keys), "prob", ["p", "n"], ranks.breaks_of(known, "prob"), descending=True)
+    out = ranks.running(counts, list(keys), "prob", ["p", "n"], descending=True)
     return out.withColumnsRenamed({"p_upto": "tp", "n_upto": "fp", "p_all": "np", "n_all": "nn"})
 
 

@@ -1,47 +1,72 @@
 """Running sums, ranks and exact quantiles without a task that sorts a whole group.
 
-Rows are dealt into bands of ascending value at breaks that a quantile sketch over all rows proposes, so a band holds an
-even share of the rows whatever the groups' sizes and scales. Totals of whole bands come first; only rows of one band of
-one group are sorted together. The breaks decide how even the bands are, never a result.
+A value's band is a function of the value alone: its sign, exponent and leading digits, as one number that grows with the
+value. Totals of wide bands come first, then those of narrow bands inside each wide one, then the rows of each narrow
+band. How many bands a power of two has grows with the size of the tables that the plan reads, up to 2 ** 31, where a narrow
+band holds 2 ** 21 different doubles at most, however they are distributed. Nothing is sampled and no job runs while a plan
+is built. The bands decide how even the work is, never a result.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS = 128
+#: Input bytes for each narrow band of a power of two, and the binary logarithms of their least and largest number.
+BAND_BYTES, LEAST_BITS, MOST_BITS = 1 << 18, 4, 31
+#: Sizes beyond which exponents are not looked at; such values share the outermost bands.
+_LEAST, _MOST = 1e-300, 1e300
 
 
-def breaks_of(rows: DataFrame, value: str, bands: int = BANDS) -> list[float]:
-    """Ascending breaks of bands of ``value``, sketched over ``rows``; fewer than ``bands``."""
-    typed = rows.select(F.col(value).cast("double").alias("_v"))
-    found = typed.approxQuantile("_v", [k / bands for k in range(1, bands)], 1 / (4 * bands))
-    return sorted({float(b) for b in found if abs(b) < float("inf")})
+def position(value: Column) -> Column:
+    """A number from -2200 to 4000 that never falls as ``value`` grows: the exponent plus the part beyond the power of two,
+    shifted and signed. NaN comes last, as in Spark's order."""
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    inside = exponent + size / F.pow(F.lit(2.0), exponent) + 1099
+    inside = F.when(size < _LEAST, 0.0).when(size > _MOST, 2200.0).otherwise(inside)
+    return F.when(F.isnan(value), 4000.0).when(value < 0, -inside).otherwise(inside)
 
 
-def running(counts: DataFrame, keys: list[str], value: str, columns: list[str], breaks: list[float], descending: bool = False) -> DataFrame:
+def band_bits(rows: DataFrame) -> int:
+    """Binary logarithm of the narrow bands for each power of two, from the sizes of the tables below ``rows``, which Spark
+    knows without a job."""
+    leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = (int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
+    size = sum(min(x, 1 << 50) for x in sizes)  # a leaf of unknown size claims more than any table has
+    return max(LEAST_BITS, min(MOST_BITS, (size // BAND_BYTES).bit_length()))
+
+
+def banded(rows: DataFrame, value: str, bits: int) -> DataFrame:
+    """``rows`` with the wide and the narrow band of ``value``."""
+    at = rows.withColumn("_at", position(F.col(value).cast("double")))
+    return at.withColumns({"_wide": F.floor(F.col("_at") * (1 << bits // 2)), "_narrow": F.floor(F.col("_at") * (1 << bits))}).drop("_at")
+
+
+def running(counts: DataFrame, keys: list[str], value: str, columns: list[str], descending: bool = False, bits: int | None = None) -> DataFrame:
     """``counts``, a row for each key and value, with {c}_upto, the running sum of each column in order of ``value``, and
-    {c}_all, its total by key."""
-    def by(c: str) -> Column:
-        return F.desc(c) if descending else F.asc(c)
-
-    if breaks:
-        ends = [float("-inf"), *breaks, float("inf")]
-        rows = counts.withColumn("_value", F.col(value).cast("double"))
-        rows = Bucketizer(splits=ends, inputCol="_value", outputCol="_band", handleInvalid="keep").transform(rows).drop("_value")
-    else:
-        rows = counts.withColumn("_band", F.lit(0.0))
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy(by("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = rows.groupBy(*keys, "_band").agg(*[F.sum(c).alias(c) for c in columns])
-    bands = bands.select(*keys, "_band", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_before") for c in columns],
-                         *[F.sum(c).over(whole).alias(f"{c}_all") for c in columns])
-    inner = Window.partitionBy(*keys, "_band").orderBy(by(value)).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(bands, [*keys, "_band"])
-    out = out.withColumns({f"{c}_upto": F.col(f"_{c}_before") + F.sum(c).over(inner) for c in columns})
-    return out.drop("_band", *[f"_{c}_before" for c in columns])
+    {c}_all, its total by key. ``bits`` sets the number of bands instead of the input's size."""
+
+    def sums(rows: DataFrame, by: list[str]) -> DataFrame:
+        return rows.groupBy(*by).agg(*[F.sum(c).alias(c) for c in columns])
+
+    def order(by: list[str], c: str) -> Window:
+        return Window.partitionBy(*by).orderBy(F.desc(c) if descending else F.asc(c))
+
+    def before(by: list[str], c: str) -> dict[str, Column]:
+        rows = order(by, c).rowsBetween(Window.unboundedPreceding, -1)
+        return {f"_{x}_before": F.coalesce(F.sum(x).over(rows), F.lit(0)) for x in columns}
+
+    wide, narrow = [*keys, "_wide"], [*keys, "_wide", "_narrow"]
+    rows = banded(counts, value, band_bits(counts) if bits is None else bits)
+    fine = sums(rows, narrow)
+    broad = sums(fine, wide).withColumns(before(keys, "_wide") | {f"{c}_all": F.sum(c).over(Window.partitionBy(*keys)) for c in columns})
+    broad = broad.select(*wide, *[F.col(f"_{c}_before").alias(f"_{c}_start") for c in columns], *[f"{c}_all" for c in columns])
+    fine = fine.withColumns(before(wide, "_narrow")).drop(*columns).join(broad, wide)
+    out = rows.join(fine, narrow)
+    inner = order(narrow, value).rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({f"{c}_upto": F.col(f"_{c}_start") + F.col(f"_{c}_before") + F.sum(c).over(inner) for c in columns})
+    return out.drop("_wide", "_narrow", *[f"_{c}_{end}" for c in columns for end in ("before", "start")])
 
 
 def quantiles(ranked: DataFrame, keys: list[str], value: str, n: str, shares: list[float]) -> DataFrame:
@@ -67,4 +92,4 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[f
     """(keys, q) of ``value``, nulls skipped."""
     there = rows.where(F.col(value).isNotNull())
     counts = there.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    return quantiles(running(counts, keys, value, ["n"], breaks_of(there, value)), keys, value, "n", shares)
+    return quantiles(running(counts, keys, value, ["n"]), keys, value, "n", shares)

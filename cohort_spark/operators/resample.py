@@ -1,4 +1,11 @@
-"""Bootstrap and jackknife of metric differences, from hashed weights that every run repeats."""
+"""Bootstrap and jackknife of metric differences, from hashed weights that every run repeats.
+
+A replicate is a weight for each id, a hash of both, so weights never travel: a worker makes them for the rows it holds, a
+short vector over all replicates for each row. Rows are dealt by score into bands of about BAND_ROWS rows, read off the
+counts of narrow ranges of scores; a band is sorted by score and scanned once, for all replicates at a time. What it hands
+on is its class totals and its part of the area, a vector over replicates each. Prefix sums of the totals over the bands
+make the rest of the area; average precision scans the bands again, each behind the totals of those above it.
+"""
 
 from __future__ import annotations
 
@@ -11,24 +18,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bca_percentiles
-from . import evaluate
+from . import evaluate, ranks
+
+#: Rows of a band of scores, unless one narrow range of scores has more; rows that a worker weighs at once.
+BAND_ROWS, AT_ONCE = 20_000, 1024
 
 #: Cumulative Poisson(1) probabilities: a uniform number's place among them is the row's weight.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
-def uniform(id_col: Column, replicate: Column) -> Column:
-    """A number in [0, 1) from an id and a replicate, by MD5, so that other engines can repeat it."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", id_col.cast("string"), replicate.cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-
-
-def poisson_weight(u: Column) -> Column:
-    return sum((F.when(u >= float(p), 1).otherwise(0) for p in _POISSON), F.lit(0))
-
-
-def _weights(ids: np.ndarray, replicate: int) -> np.ndarray:
-    """Poisson(1) weights from a scramble of id and replicate."""
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((replicate + 1) * 0xD1B54A32D192ED03 % 2**64)
+def _weights(ids: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights from a scramble of id and replicate: a row for each id, a column for each replicate."""
+    salt = (replicates.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+    x = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] + salt[None, :]
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(float) / 2.0**53, "right")
@@ -39,29 +41,118 @@ def _binned(df: DataFrame, bins: int | None) -> DataFrame:
     return df if bins is None else df.withColumn("prob", F.round(F.col("prob") * bins) / bins)
 
 
-def replicate_metric(df: DataFrame, replicates: int, metric: str = "auroc", bins: int | None = None) -> DataFrame:
-    """(model, label, b, value): the weighted metric of each bootstrap replicate.
-
-    Each task turns its rows into weighted counts by (model, label, score, y) for all replicates, so what shuffles is a row
-    for each score on the grid with an array over replicates, never a row for each id and replicate.
-    """
-    kind = "model string, label string, prob double, y int, w array<long>"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Scan:
+    """One band of one model and label, by descending score: totals, area and precision of all replicates."""
+
+    def __init__(self, key: tuple, replicates: int, tp: np.ndarray | None = None, fp: np.ndarray | None = None):
+        zero = np.zeros(replicates)
+        self.key, self.numbers = key, np.arange(replicates)
+        self.tp, self.fp = (zero if tp is None else tp), (zero if fp is None else fp)
+        self.area, self.ap, self.p, self.n = zero.copy(), zero.copy(), zero.copy(), zero.copy()
+        self.score, self.last = None, (zero, zero)  # the score that may go on in the next rows, and its weights so far
+
+    def add(self, ids: np.ndarray, scores: np.ndarray, y: np.ndarray) -> None:
+        for at in range(0, len(ids), AT_ONCE):
+            part = slice(at, at + AT_ONCE)
+            w = _weights(ids[part], self.numbers).astype(float)
+            bits = (scores[part] + 0.0).view(np.int64)  # equal for NaN, and for both zeros
+            starts = np.flatnonzero(np.r_[True, bits[1:] != bits[:-1]])
+            positive = (y[part] == 1)[:, None]
+            p, n = np.add.reduceat(w * positive, starts), np.add.reduceat(w * ~positive, starts)
+            if self.score == bits[0]:
+                p[0] += self.last[0]
+                n[0] += self.last[1]
+            else:
+                self._close()
+            self.score, self.last = bits[-1], (p[-1], n[-1])
+            self._take(p[:-1], n[:-1])
+
+    def _take(self, p: np.ndarray, n: np.ndarray) -> None:
+        """Count finished scores, a row each."""
+        if not len(p):
+            return
+        tp, fp = self.tp + np.cumsum(p, axis=0), self.fp + np.cumsum(n, axis=0)
+        self.area += (n * (tp - p / 2)).sum(axis=0)
+        self.ap += np.where(p > 0, p * tp / np.maximum(tp + fp, 1), 0).sum(axis=0)
+        self.tp, self.fp = tp[-1], fp[-1]
+        self.p += p.sum(axis=0)
+        self.n += n.sum(axis=0)
+
+    def _close(self) -> None:
+        if self.score is not None:
+            self._take(self.last[0][None, :], self.last[1][None, :])
+            self.score = None
+
+    def row(self) -> list:
+        self._close()
+        return [*self.key, self.p, self.n, self.area, self.ap]
+
+
+_PARTS = ["p", "n", "area", "ap"]
+
+
+def _scan_bands(rows: DataFrame, replicates: int) -> DataFrame:
+    """(model, label, band, p, n, area, ap) of ``rows`` (model, label, band, prob, id, y, tp, fp). Rows without an id carry
+    the totals above their band; they come first."""
+    dealt = rows.repartition("model", "label", "band").sortWithinPartitions("model", "label", "band", F.col("id").isNotNull(), F.desc("prob"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, done = None, []
         for b in batches:
             if b.empty:
                 continue
-            w = np.stack([_weights(b["id"].to_numpy(), r) for r in range(replicates)], axis=1)
-            groups = b.groupby(["model", "label", "prob", "y"], sort=False)
-            at = groups.ngroup().to_numpy()
-            total = np.zeros((groups.ngroups, replicates), np.int64)
-            np.add.at(total, at, w)
-            yield groups.size().reset_index()[["model", "label", "prob", "y"]].assign(w=list(total))
-
-    parts = _binned(df, bins).select("id", "model", "label", "prob", F.col("y").cast("int").alias("y")).where("prob is not null and y is not null").mapInPandas(run, kind)
-    counts = parts.select("model", "label", "prob", "y", F.posexplode("w").alias("b", "w")).groupBy("model", "label", "prob", "y", "b").agg(F.sum("w").alias("w")).where("w > 0")
-    f = evaluate.auroc if metric == "auroc" else evaluate.average_precision
-    return f(counts, ["model", "label", "b"], "w").withColumnRenamed("auroc" if metric == "auroc" else "ap", "value")
+            keys = b[["model", "label", "band"]]
+            turns = np.flatnonzero(np.r_[True, (keys.to_numpy()[1:] != keys.to_numpy()[:-1]).any(axis=1)])
+            for low, high in zip(turns, [*turns[1:], len(b)]):
+                key, part = tuple(keys.iloc[low]), b.iloc[low:high]
+                if current is None or current.key != key:
+                    if current is not None:
+                        done.append(current.row())
+                    current = _Scan(key, replicates)
+                if pd.isna(part["id"].iloc[0]):
+                    current.tp, current.fp = (np.asarray(part[c].iloc[0], float) for c in ("tp", "fp"))
+                    part = part.iloc[1:]
+                current.add(part["id"].to_numpy(np.int64), part["prob"].to_numpy(float), part["y"].to_numpy(np.int64))
+            if len(done) >= 64:
+                yield pd.DataFrame(done, columns=["model", "label", "band", *_PARTS])
+                done = []
+        if current is not None:
+            yield pd.DataFrame([*done, current.row()], columns=["model", "label", "band", *_PARTS])
+
+    return dealt.mapInPandas(scan, "model string, label string, band long, " + ", ".join(f"{c} array<double>" for c in _PARTS))
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """Rows (model, label, band, prob, id, y, tp, fp) of ``df`` that have a score and a class; bands ascend as scores fall."""
+    known = df.where("prob is not null and y is not null").select("model", "label", F.col("id").cast("long").alias("id"), F.col("prob").cast("double").alias("prob"), F.col("y").cast("int").alias("y"))
+    rows = ranks.banded(known, "prob", ranks.band_bits(known) + 4).drop("_wide").withColumnRenamed("_narrow", "range")
+    keys = ["model", "label"]
+    sizes = rows.groupBy(*keys, "range").agg(F.count("*").alias("n"))
+    bands = ranks.running(sizes, keys, "range", ["n"], descending=True).select(*keys, "range", F.floor((F.col("n_upto") - F.col("n")) / BAND_ROWS).alias("band"))
+    none = F.lit(None).cast("array<double>")
+    return rows.join(bands, [*keys, "range"]).select(*keys, "band", "prob", "id", "y", none.alias("tp"), none.alias("fp"))
+
+
+def replicate_metric(df: DataFrame, replicates: int, metric: str = "auroc", bins: int | None = None) -> DataFrame:
+    """(model, label, b, value): the weighted metric of each bootstrap replicate, auroc or ap; null without both classes, or
+    for ap without positives."""
+    rows = _dealt(_binned(df, bins))
+    keys = ["model", "label"]
+
+    def by_replicate(scanned: DataFrame) -> DataFrame:
+        one = scanned.select(*keys, "band", F.posexplode(F.arrays_zip(*_PARTS)).alias("b", "z"))
+        return one.select(*keys, "band", "b", "z.*")
+
+    above = Window.partitionBy(*keys, "b").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    totals = by_replicate(_scan_bands(rows, replicates)).withColumns({c: F.coalesce(F.sum(x).over(above), F.lit(0.0)) for c, x in (("tp", "p"), ("fp", "n"))})
+    if metric == "auroc":
+        area, p, n = F.sum(F.col("area") + F.col("n") * F.col("tp")), F.sum("p"), F.sum("n")
+        return totals.groupBy(*keys, "b").agg(F.when((p > 0) & (n > 0), area / (p * n)).alias("value"))
+    starts = totals.groupBy(*keys, "band").agg(F.array_sort(F.collect_list(F.struct("b", "tp", "fp"))).alias("s"))
+    nothing = [F.lit(None).cast(k).alias(c) for c, k in (("prob", "double"), ("id", "long"), ("y", "int"))]
+    starts = starts.select(*keys, "band", *nothing, *[F.col(f"s.{c}").alias(c) for c in ("tp", "fp")])
+    scanned = by_replicate(_scan_bands(rows.unionByName(starts), replicates))
+    return scanned.groupBy(*keys, "b").agg(F.when(F.sum("p") > 0, F.sum("ap") / F.sum("p")).alias("value"))
 
 
 def paired_bootstrap(df: DataFrame, a: str, b: str, replicates: int = 1000, metric: str = "auroc", level: float = 0.95, bins: int | None = None) -> DataFrame:
@@ -103,7 +194,10 @@ def jackknife(df: DataFrame, keys: list[str] = ("model", "label")) -> DataFrame:
 
 
 def bca(df: DataFrame, a: str, b: str, replicates: int = 1000, level: float = 0.95, bins: int | None = None) -> DataFrame:
-    """(label, point, low, high): bias-corrected and accelerated interval of the AUROC difference b - a."""
+    """(label, point, low, high): bias-corrected and accelerated interval of the AUROC difference b - a.
+
+    The acceleration needs the jackknife values' sums of deviations squared and cubed; their powers about the point estimate,
+    which all of them are close to, add up in one aggregate and are moved to the mean afterwards."""
     two = df.where(F.col("model").isin(a, b))
 
     def diff(t: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -111,8 +205,11 @@ def bca(df: DataFrame, a: str, b: str, replicates: int = 1000, level: float = 0.
 
     point = diff(evaluate.auroc(two), ["label"], "auroc").withColumnRenamed("d", "point")
     loo = diff(jackknife(two), ["label", "id", "y"], "loo").where("d is not null")
-    gap = F.avg("d").over(Window.partitionBy("label")) - F.col("d")
-    accel = loo.withColumn("g", gap).groupBy("label").agg((F.sum(F.col("g") ** 3) / (6 * F.pow(F.sum(F.col("g") ** 2), F.lit(1.5)))).alias("accel"))
+    off = F.col("point") - F.col("d")
+    sums = loo.join(point, "label").groupBy("label").agg(F.count("*").alias("m"), F.avg(off).alias("o"), F.sum(off**2).alias("s2"), F.sum(off**3).alias("s3"))
+    square = F.col("s2") - F.col("m") * F.col("o") ** 2
+    cube = F.col("s3") - 3 * F.col("o") * F.col("s2") + 2 * F.col("m") * F.col("o") ** 3
+    accel = sums.select("label", F.when(square > 0, cube / (6 * F.pow(square, F.lit(1.5)))).alias("accel"))
     reps = diff(replicate_metric(two, replicates, "auroc", bins), ["label", "b"], "value").where("d is not null").join(point, "label")
     stats = reps.groupBy("label").agg(F.avg((F.col("d") < F.col("point")).cast("double")).alias("below"), F.sort_array(F.collect_list("d")).alias("ds")).join(accel, "label").join(point, "label")
 
@@ -134,7 +231,7 @@ def bootstrap_mean_delta(attr: DataFrame, source: str, adapted: str, replicates:
         for b in batches:
             if b.empty:
                 continue
-            w = np.stack([_weights(b["id"].to_numpy(), r) for r in range(replicates)], axis=1).astype(float)
+            w = _weights(b["id"].to_numpy(), np.arange(replicates)).astype(float)
             groups = b.groupby(["label", "feature", "model"], sort=False)
             at, total, mass = groups.ngroup().to_numpy(), np.zeros((groups.ngroups, replicates)), np.zeros((groups.ngroups, replicates))
             np.add.at(total, at, w * b["value"].abs().to_numpy()[:, None])

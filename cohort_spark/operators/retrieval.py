@@ -190,7 +190,7 @@ def spearman_all(pairs: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
     """(n, rho) over all rows: mid-ranks come from counts of distinct values in bands, so no task sorts all rows."""
     def mid(c: str) -> DataFrame:
         counts = pairs.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")).withColumn("g", F.lit(1))
-        at = ranks.running(counts, ["g"], "v", ["n"], ranks.breaks_of(pairs.select(F.col(c).alias("v")), "v"))
+        at = ranks.running(counts, ["g"], "v", ["n"])
         return at.select(F.col("v").alias(f"_v{c}"), (F.col("n_upto") - (F.col("n") - 1) / 2).alias(f"_r{c}"))
 
     known = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())

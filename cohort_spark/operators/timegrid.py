@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def micros(t: Column) -> Column:
     return F.unix_micros(t.cast("timestamp"))
@@ -26,11 +28,15 @@ def in_window(t: Column, t0: Column, start_seconds: float, end_seconds: float, c
     return (d > low) & (d < high)
 
 
-def attach_events(events: DataFrame, stays: DataFrame, time: str, start: str = "intime", end: str | None = "outtime", key: str | list[str] = "stay_id", closed: str = "both") -> DataFrame:
+def attach_events(events: DataFrame, stays: DataFrame, time: str, start: str = "intime", end: str | None = "outtime", key: str | list[str] = "stay_id", closed: str = "both",
+                  bucket_seconds: float | None = None) -> DataFrame:
     """Events joined to the stays of their key whose time range holds them.
 
-    With a key coarser than the stay (an admission with several stays), the range decides. Spark broadcasts the
-    stays where their size allows and joins by shuffle where not. Without ``end`` only the start counts."""
+    With a key coarser than the stay (an admission with several stays), the range decides; ``bucket_seconds`` then joins on
+    (key, time bucket), so that an event meets the stays near it and not all of its key. Spark broadcasts the stays where
+    their size allows and joins by shuffle where not. Without ``end`` only the start counts."""
+    if bucket_seconds and end:
+        return intervals.points_in(events, stays, time, start, end, key, closed, bucket_seconds)
     ok = F.col(time) >= F.col(start)
     if end:
         ok = ok & ((F.col(time) <= F.col(end)) if closed == "both" else (F.col(time) < F.col(end)))

@@ -116,16 +116,17 @@ def drift_importance(spark, d):
     return rounded(drift.combine_importance(audited, importance).select("feature", "combined"))
 
 
-def _scan_sql() -> str:
+def scan_sql(long: str, k: int) -> str:
     pair = """SELECT '{a}' AS era, '{b}' AS next_era, (SELECT avg(psi) FROM (SELECT feature, sum((q - p) * ln(q / p)) AS psi FROM (SELECT feature, least(greatest(r / sum(r) OVER w, 1e-6), 1 - 1e-6) AS p, least(greatest(c / sum(c) OVER w, 1e-6), 1 - 1e-6) AS q FROM
       (SELECT l.feature, len(list_filter(list_sort(k)[2:len(k) - 1], lambda z: z <= value)) AS bin, count(*) FILTER (grp = '{a}') AS r, count(*) FILTER (grp = '{b}') AS c FROM l JOIN
        (SELECT feature, list_distinct(quantile_cont(value, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1])) AS k FROM l WHERE grp = '{a}' GROUP BY 1) USING (feature) WHERE grp IN ('{a}', '{b}') AND l.feature <> 'returned' GROUP BY ALL) WINDOW w AS (PARTITION BY feature)) GROUP BY 1)) AS distance"""
     years = [str(y) for y in range(1995, 2002)]
     rows = " UNION ALL ".join(pair.format(a=a, b=b) for a, b in zip(years, years[1:]))
-    return f"WITH {st.LONG}, sc AS ({rows}) SELECT era, next_era, round(distance, 6) AS distance, round((SELECT 2 * distance FROM sc WHERE era = '1995'), 6) AS threshold, distance > (SELECT 2 * distance FROM sc WHERE era = '1995') AS drift FROM sc"
+    limit = f"(SELECT {k} * distance FROM sc WHERE era = '1995')"
+    return f"WITH {long}, sc AS ({rows}) SELECT era, next_era, round(distance, 6) AS distance, round({limit}, 6) AS threshold, distance > {limit} AS drift FROM sc"
 
 
-@query(_scan_sql())
+@query(scan_sql(st.LONG, 2))
 def era_scan(spark, d):
     long = st.drift_long(spark, d).where("feature <> 'returned' and grp between '1995' and '2001'")
     return rounded(drift.scan_eras(long))
@@ -207,20 +208,6 @@ def worked_examples(spark, d):
     return evaluate.worked_examples(st.predictions(spark, d), "a", "b").select("label", "kind", "id")
 
 
-_POIS = " + ".join(f"(u >= {float(x)!r})::INTEGER" for x in resample._POISSON)
-
-
-@query(f"""WITH {st.PREDICTIONS}, rw AS (SELECT p.*, b, ('0x' || substr(md5(id || ':' || b), 1, 8))::BIGINT / 4294967296 AS u FROM p, (SELECT unnest(range(100)) AS b)),
-c0 AS (SELECT model, label, b, prob, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS n FROM (SELECT *, {_POIS} AS w FROM rw) GROUP BY ALL),
-cu AS (SELECT *, sum(p) OVER u AS tp, sum(p) OVER t AS np, sum(n) OVER t AS nn FROM c0 WINDOW u AS (PARTITION BY model, label, b ORDER BY prob DESC ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY model, label, b))
-SELECT model, label, b::INTEGER AS b, CASE WHEN max(np) > 0 AND max(nn) > 0 THEN round(sum(n * (tp - p / 2)) / (max(np) * max(nn)), 6) END AS auroc FROM cu GROUP BY ALL""")
-def bootstrap_auroc(spark, d):
-    """A hundred replicates of every model and label."""
-    rows = st.predictions(spark, d).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(99))))
-    weighted = rows.withColumn("w", resample.poisson_weight(resample.uniform(F.col("id"), F.col("b"))))
-    return rounded(evaluate.auroc(weighted, ["model", "label", "b"], "w"))
-
-
 @query(f"""WITH {st.PREDICTIONS}, {CUM}, v AS (SELECT p.id, p.model, p.label, p.y, cu.np, cu.nn, CASE WHEN y = 1 THEN (nn - fp + n / 2) / nn ELSE (tp - cu.p / 2) / np END AS v FROM p JOIN cu ON cu.model = p.model AND cu.label = p.label AND cu.prob = p.prob)
 SELECT v.model, v.label, id, y, round((CASE WHEN y = 1 THEN np ELSE nn END * auroc - v) / (CASE WHEN y = 1 THEN np ELSE nn END - 1), 6) AS loo FROM v JOIN ar USING (model, label)""")
 def jackknife(spark, d):
@@ -243,12 +230,12 @@ w1 AS (SELECT id, b, {_mixed('x', 30, 0xBF58476D1CE4E5B9)} AS x FROM w0), w2 AS
 wt AS (SELECT id, b, {poisson} AS w FROM (SELECT id, b, (xor(x, x >> 31) >> 11)::DOUBLE / 9007199254740992 AS u FROM w2))"""
 
 
-def _replicates(metric: str) -> str:
+def _replicates(metric: str, models: str = "'a', 'c'") -> str:
     value = "sum(n * (tp - p / 2)) / (max(np) * max(nn))" if metric == "auroc" else "sum(CASE WHEN p > 0 THEN p * tp / (tp + fp) ELSE 0 END) / max(np)"
     ok = "max(np) > 0 AND max(nn) > 0" if metric == "auroc" else "max(np) > 0"
     part, order = "PARTITION BY model, label, b", "ORDER BY prob DESC ROWS UNBOUNDED PRECEDING"
     return f"""k0 AS (SELECT model, label, b, prob, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS p, sum(CASE WHEN y = 1 THEN 0 ELSE w END) AS n
-  FROM p JOIN wt USING (id) WHERE model IN ('a', 'c') AND w > 0 GROUP BY ALL),
+  FROM p JOIN wt USING (id) WHERE model IN ({models}) AND w > 0 GROUP BY ALL),
 k1 AS (SELECT *, sum(p) OVER u AS tp, sum(n) OVER u AS fp, sum(p) OVER t AS np, sum(n) OVER t AS nn FROM k0 WINDOW u AS ({part} {order}), t AS ({part})),
 kr AS (SELECT model, label, b, CASE WHEN {ok} THEN {value} END AS v FROM k1 GROUP BY ALL),
 kd AS (SELECT label, b, max(v) FILTER (model = 'a') AS va, max(v) FILTER (model = 'c') AS vb FROM kr GROUP BY ALL),
@@ -257,6 +244,12 @@ ki AS (SELECT label, quantile_cont(va, 0.025) AS low_a, quantile_cont(va, 0.975)
   FROM kd WHERE va IS NOT NULL AND vb IS NOT NULL GROUP BY 1)"""
 
 
+@query(f"WITH {st.PREDICTIONS}, {weights_sql('p')}, {_replicates('auroc', chr(39) + 'a' + chr(39) + ', ' + chr(39) + 'b' + chr(39) + ', ' + chr(39) + 'c' + chr(39))} SELECT model, label, b::INTEGER AS b, round(v, 6) AS auroc FROM kr")
+def bootstrap_auroc(spark, d):
+    """All replicates of every model and label."""
+    return rounded(resample.replicate_metric(st.predictions(spark, d), REPLICATES).withColumnRenamed("value", "auroc"))
+
+
 _INTERVALS = ["low_a", "high_a", "low_b", "high_b", "low", "high", "p", "win"]
 _VERDICT = "CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'undecided' END AS verdict"
 
@@ -292,7 +285,36 @@ def attribution_significance(spark, d):
     return resample.significance(resample.bootstrap_mean_delta(st.attributions(spark, d), "source", "adapted", REPLICATES), ["label"])
 
 
-@query()
+def _normal_cdf(z: str) -> str:
+    """The normal distribution function as a series of 200 terms, in logarithms; for sizes up to 8."""
+    term = f"exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) - lgamma(k + 1.5) - (k + 1) * ln(2) + 0.5 * ln(pi()))"
+    return f"(0.5 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(200), lambda k: {term})))"
+
+
+_Z = 1.959963984540054  # the normal quantile of 0.975
+_END = "greatest(least(" + _normal_cdf("z0 + (z0 + {z}) / (1 - accel * (z0 + {z}))") + ", 0.999), 0.001)"
+
+
+def _place(at: str) -> str:
+    """The value at a share of the sorted list ds, interpolated."""
+    h = f"({at} * (len(ds) - 1))"
+    return f"(ds[floor({h})::BIGINT + 1] + ({h} - floor({h})) * (ds[least(floor({h})::BIGINT + 2, len(ds))] - ds[floor({h})::BIGINT + 1]))"
+
+
+#: Newton's steps from 0 climb to the quantile from below, as the function is concave beyond 0.
+@query(f"""WITH RECURSIVE {st.PREDICTIONS}, {CUM}, {weights_sql('p')}, {_replicates('auroc')},
+pv AS (SELECT p.id, p.model, p.label, p.y, CASE WHEN y = 1 THEN np ELSE nn END AS m, CASE WHEN y = 1 THEN (nn - fp + n / 2) / nn ELSE (tp - cu.p / 2) / np END AS v
+  FROM p JOIN cu ON cu.model = p.model AND cu.label = p.label AND cu.prob = p.prob),
+lo AS (SELECT label, id, y, max((m * auroc - v) / (m - 1)) FILTER (model = 'c') - max((m * auroc - v) / (m - 1)) FILTER (model = 'a') AS d FROM pv JOIN ar USING (model, label) WHERE m > 1 GROUP BY ALL),
+lg AS (SELECT label, avg(d) OVER (PARTITION BY label) - d AS g FROM lo WHERE d IS NOT NULL),
+la AS (SELECT label, sum(g * g * g) / (6 * pow(sum(g * g), 1.5)) AS accel FROM lg GROUP BY 1),
+lp AS (SELECT label, max(auroc) FILTER (model = 'c') - max(auroc) FILTER (model = 'a') AS point FROM ar GROUP BY 1),
+lr AS (SELECT label, vb - va AS d, point FROM kd JOIN lp USING (label) WHERE va IS NOT NULL AND vb IS NOT NULL),
+ls AS (SELECT label, point, accel, greatest(least(avg((d < point)::INTEGER), 1 - 1e-6), 1e-6) AS below, list(d ORDER BY d) AS ds FROM lr JOIN la USING (label) GROUP BY ALL),
+nt AS (SELECT label, 0 AS step, 0.0::DOUBLE AS z, below FROM ls UNION ALL
+  SELECT label, step + 1, z - ({_normal_cdf('z')} - below) * sqrt(2 * pi()) * exp(z * z / 2), below FROM nt WHERE step < 40),
+lz AS (SELECT label, point, accel, ds, z AS z0 FROM ls JOIN nt USING (label) WHERE step = 40)
+SELECT label, round(point, 6) AS point, round({_place(_END.format(z=-_Z))}, 6) AS low, round({_place(_END.format(z=_Z))}, 6) AS high FROM lz""")
 def bca_interval(spark, d):
     return rounded(resample.bca(st.predictions(spark, d), "a", "c", REPLICATES))
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import attribution, channels, cohort, drift, evaluate, features, impute, retrieval, splits, timegrid
+from ..operators import attribution, channels, cohort, drift, evaluate, features, impute, labels, retrieval, splits, timegrid
 from ..operators.channels import Channel
 from ..sources import corpus, io
 from . import standin as st
-from .model_queries import _ERFC, AUDIT, CUM, PSI_QUANTILE, A, B
+from .model_queries import _ERFC, AUDIT, CUM, PSI_QUANTILE, A, B, scan_sql
 from .registry import query, rounded
 
 HOUR = 3_600_000_000
@@ -60,7 +60,18 @@ def coarse_key_events(spark, d):
     """Events of a user land in that one of the user's stays whose hours hold them."""
     s = st.stays(spark, d).withColumn("outtime", F.timestamp_micros(timegrid.micros(F.col("intime")) + 40 * HOUR)).select("stay_id", "subject_id", "intime", "outtime")
     e = st.table(spark, d, "events").select(F.col("user_id").alias("subject_id"), "ts", "value")
-    return timegrid.attach_events(e, s, "ts", key="subject_id").groupBy("stay_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return timegrid.attach_events(e, s, "ts", key="subject_id", bucket_seconds=4 * 3600).groupBy("stay_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(f"""WITH {st.STAYS}, w AS (SELECT stay_id, subject_id, TIMESTAMP '{st.ORIGIN}' + to_seconds(blk * {st.BLOCK}) AS t0 FROM s),
+x AS (SELECT user_id, ts AS a, ts + to_seconds(CAST(value AS BIGINT) * 60) AS b FROM events WHERE event_type = 'error')
+SELECT stay_id, coalesce(bool_or(a < t0 + INTERVAL 14 HOUR AND b > t0 + INTERVAL 8 HOUR), false) AS label FROM w LEFT JOIN x ON user_id = subject_id GROUP BY 1""")
+def labels_coarse_overlap(spark, d):
+    """Whether an interval of the user, told by the user alone, meets the stay's prediction window."""
+    hour = lambda n: F.timestamp_micros(timegrid.micros(F.col("intime")) + n * HOUR)
+    e = st.table(spark, d, "events").where("event_type = 'error'")
+    x = e.select(F.col("user_id").alias("subject_id"), F.col("ts").alias("starttime"), F.timestamp_micros(timegrid.micros(F.col("ts")) + F.floor(F.rint("value")) * 60_000_000).alias("endtime"))
+    return labels.interval_overlap(st.stays(spark, d), x, hour(8), hour(14), on="subject_id", bucket_seconds=2 * 3600)
 
 
 @query("SELECT event_id, event_type FROM events WHERE value BETWEEN -1e9 AND 1e9 AND nullif(event_type, 'view') NOT IN ('error', 'signup')")
@@ -160,23 +171,66 @@ def _pair_psi(name: str, a: str, b: str) -> str:
     return body
 
 
-@query(f"""WITH {st.LONG}, {_pair_psi('1', '1994', '1996')}, {_pair_psi('2', '1994', '1999')}, {_pair_psi('3', '1996', '1999')},
-mn AS (SELECT feature, avg(value) FILTER (grp = '1994') AS a, avg(value) FILTER (grp = '1996') AS b, avg(value) FILTER (grp = '1999') AS c FROM l GROUP BY 1)
-SELECT mn.feature, round(a, 6) AS mean_ref, round(b, 6) AS mean_pre, round(c, 6) AS mean_cur, round(pq1.psi, 6) AS psi_train_pre, round(pq2.psi, 6) AS psi_train_post, round(pq3.psi, 6) AS psi_pre_post
-FROM mn JOIN pq1 USING (feature) JOIN pq2 USING (feature) JOIN pq3 USING (feature) WHERE feature <> 'returned'""")
+def _binary_psi(a: str, b: str) -> str:
+    """PSI of the binary feature between the years ``a`` and ``b``, from the clipped shares of 0 and 1."""
+    share = "least(greatest(avg(value) FILTER (feature = 'returned' AND grp = '{}'), 1e-6), 1 - 1e-6)"
+    p, q = share.format(a), share.format(b)
+    return f"({q} - {p}) * ln({q} / {p}) + ((1 - {q}) - (1 - {p})) * ln((1 - {q}) / (1 - {p}))"
+
+
+#: Training, pre and post era of the audit table, and the pairs that it compares.
+ERAS = ("1995", "1996", "1999")
+_PAIRS = {"train_pre": ERAS[:2], "train_post": (ERAS[0], ERAS[2]), "pre_post": ERAS[1:]}
+_AUDITED = ["n_ref", "n_cur", "mean_ref", "mean_pre", "mean_cur", "sd_ref", "sd_cur", "psi_train_pre", "psi_train_post", "psi_pre_post", "kind", "drifted", "severity"]
+
+
+@query(f"""WITH {st.LONG}, {', '.join(_pair_psi(k, *p) for k, p in _PAIRS.items())},
+mn AS (SELECT feature, {', '.join(f"avg(value) FILTER (grp = '{g}') AS mean_{c}, stddev_pop(value) FILTER (grp = '{g}') AS sd_{c}, count(*) FILTER (grp = '{g}') AS n_{c}" for g, c in zip(ERAS, ("ref", "pre", "cur")))} FROM l GROUP BY 1),
+bp AS (SELECT {', '.join(f"{_binary_psi(*p)} AS {k}" for k, p in _PAIRS.items())} FROM l),
+t AS (SELECT mn.*, feature = 'returned' AS bin, {', '.join(f"CASE WHEN feature = 'returned' THEN bp.{k} ELSE pq{k}.psi END AS psi_{k}" for k in _PAIRS)}, abs(mean_cur - mean_ref) AS gap,
+  abs(mean_cur - mean_ref) / (abs(mean_ref) + 1e-6) AS rel FROM mn CROSS JOIN bp {' '.join(f"LEFT JOIN pq{k} USING (feature)" for k in _PAIRS)})
+SELECT feature, n_ref, n_cur, {', '.join(f"round({c}, 6) AS {c}" for c in _AUDITED[2:10])}, CASE WHEN bin THEN 'binary' ELSE 'continuous' END AS kind,
+  CASE WHEN bin THEN gap > 0.05 OR rel > 0.2 ELSE psi_train_post > 0.2 END AS drifted,
+  CASE WHEN bin THEN CASE WHEN gap > 0.1 OR rel > 0.4 THEN 'severe' WHEN gap > 0.05 OR rel > 0.2 THEN 'moderate' WHEN gap > 0.02 THEN 'minor' ELSE 'stable' END
+       WHEN psi_train_post < 0.1 THEN 'stable' WHEN psi_train_post < 0.2 THEN 'minor' WHEN psi_train_post < 0.35 THEN 'moderate' ELSE 'severe' END AS severity FROM t""")
 def drift_audit_table(spark, d):
-    out = drift.audit_table(st.drift_long(spark, d).where("feature <> 'returned'"), "1994", "1996", "1999")
-    return rounded(out.select("feature", "mean_ref", "mean_pre", "mean_cur", "psi_train_pre", "psi_train_post", "psi_pre_post"))
+    """Three eras that all have rows; three continuous features and a binary one."""
+    return rounded(drift.audit_table(st.drift_long(spark, d), *ERAS, ["returned"]).select("feature", *_AUDITED))
+
+
+#: Larger than the number of rows of an era at the scales that SQL is run on, where a sketch is exact; its breaks are
+#: values that occur, the first whose share of values up to it is large enough.
+_KEPT = 32768
+_SKETCHED = f"""WITH {st.LONG}, y AS (SELECT * FROM l WHERE feature <> 'returned' AND grp BETWEEN '1995' AND '2001'),
+o AS (SELECT feature, grp, list(value ORDER BY value) AS v FROM y GROUP BY ALL),
+k AS (SELECT feature, grp, list_sort(list_distinct(list_transform(range(0, 11), lambda i: v[greatest(ceil(i / 10.0 * len(v)), 1)::BIGINT]))) AS k FROM o),
+pr AS (SELECT grp AS era, lead(grp) OVER (ORDER BY grp) AS next_era FROM (SELECT DISTINCT grp FROM y)),
+g AS (SELECT feature, grp, unnest(list_transform(range({drift.POINTS}), lambda i: v[ceil((i + 0.5) / {drift.POINTS} * len(v))::BIGINT])) AS value FROM o),
+bn AS (SELECT era, next_era, g.feature, len(k.k) > 1 AS ok, len(list_filter(k.k[2:len(k.k) - 1], lambda z: z <= value)) AS bin, count(*) FILTER (g.grp = era) AS r, count(*) FILTER (g.grp = next_era) AS c
+  FROM pr JOIN k ON k.grp = era JOIN g ON g.feature = k.feature AND g.grp IN (era, next_era) WHERE next_era IS NOT NULL GROUP BY ALL),
+sh AS (SELECT era, next_era, feature, ok, least(greatest(r / sum(r) OVER w, 1e-6), 1 - 1e-6) AS p, least(greatest(c / sum(c) OVER w, 1e-6), 1 - 1e-6) AS q FROM bn WINDOW w AS (PARTITION BY era, next_era, feature)),
+sc AS (SELECT era, next_era, avg(psi) AS distance FROM (SELECT era, next_era, feature, CASE WHEN bool_and(ok) THEN sum((q - p) * ln(q / p)) ELSE 0 END AS psi FROM sh GROUP BY ALL) GROUP BY ALL)
+SELECT era, next_era, round(distance, 6) AS distance, round(2 * min_by(distance, era) OVER (), 6) AS threshold, distance > 2 * min_by(distance, era) OVER () AS drift FROM sc"""
+
+
+@query(_SKETCHED)
+def era_scan_sketched(spark, d):
+    """The scan from a table of sketches, a row for each feature and year."""
+    long = st.drift_long(spark, d).where("feature <> 'returned' and grp between '1995' and '2001'")
+    return rounded(drift.scan_sketches(drift.era_sketches(long, _KEPT)))
+
+
+_ONSET = f"""li AS (SELECT CAST(year(l_shipdate) AS VARCHAR) AS grp, dayofyear(l_shipdate)::DOUBLE AS ship_day, l_quantity::DOUBLE AS l_quantity FROM lineitem),
+l AS (SELECT grp, 'ship_day' AS feature, ship_day AS value FROM li UNION ALL SELECT grp, 'l_quantity', l_quantity FROM li)"""
 
 
-@query(f"""WITH {st.LONG}, y AS (SELECT grp AS era, round(avg(value) FILTER (feature = 'l_discount'), 9) AS m FROM l GROUP BY 1),
-s AS (SELECT era, lead(era) OVER (ORDER BY era) AS next_era, abs(lead(m) OVER (ORDER BY era) - m) AS distance FROM y) SELECT min(next_era) AS onset FROM s WHERE distance > 0.0002""")
+@query(f"{scan_sql(_ONSET, 3)} QUALIFY drift AND row_number() OVER (ORDER BY NOT drift, next_era) = 1".replace("SELECT era, next_era, round", "SELECT next_era AS onset, round"))
 def drift_onset(spark, d):
-    """The first year whose mean discount moved from the year before."""
-    y = st.drift_long(spark, d).where("feature = 'l_discount'").groupBy(F.col("grp").alias("era")).agg(F.round(F.avg("value"), 9).alias("m"))
-    pairs = drift.consecutive_pairs(y)
-    scan = pairs.join(y, "era").join(y.select(F.col("era").alias("next_era"), F.col("m").alias("n")), "next_era").withColumn("drift", F.abs(F.col("n") - F.col("m")) > 0.0002)
-    return drift.onset(scan)
+    """The first year that the scan finds drifted: in the last one, only the first months have shipments."""
+    li = st.table(spark, d, "lineitem").withColumns({"grp": F.year("l_shipdate").cast("string"), "ship_day": F.dayofyear("l_shipdate")})
+    scanned = drift.scan_eras(drift.to_long(li, ["ship_day", "l_quantity"]).where("grp between '1995' and '2001'"), k=3.0)
+    found = drift.onset(scanned).join(scanned, F.col("onset") == F.col("next_era"))
+    return rounded(found.select("onset", "distance", "threshold", "drift"))
 
 
 _BY_SPLIT = CUM.replace("model, label", "split, model, label")

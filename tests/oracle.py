@@ -40,6 +40,7 @@ def assert_same(df, sql: str, folder: str) -> None:
     assert sorted(df.columns) == sorted(names)
     a, b = rows(df.columns, got), rows(names, res.fetchall())
     assert len(a) == len(b)
+    assert a, "nothing was compared: both sides are empty"
     for x, y in zip(a, b):
         for u, v in zip(x, y):
             assert u == v or isinstance(u, (int, float)) and isinstance(v, (int, float)) and abs(u - v) <= 2e-5 * max(1, abs(v)), (x, y)

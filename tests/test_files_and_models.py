@@ -73,7 +73,7 @@ def test_bca_against_brute_force(spark):
 
     point, reps = gap(np.array(ids)), []
     for k in range(200):
-        reps.append(gap(np.repeat(ids, resample._weights(np.array(ids), k))))
+        reps.append(gap(np.repeat(ids, resample._weights(np.array(ids), np.array([k]))[:, 0])))
     reps = np.array(reps)
     left_out = np.array([gap(np.array([j for j in ids if j != i])) for i in ids])
     d = left_out.mean() - left_out

@@ -16,6 +16,8 @@ from . import ranks
 
 #: Query vectors that one pass over the documents takes: a block is broadcast to the scan (64 MB at 1024 doubles).
 QUERY_BLOCK = 8192
+#: Documents that meet the queries at once, and pivots that bring similar documents of a batch together.
+STRIP, PIVOTS = 512, 64
 
 
 def build_queries(top: DataFrame, limits: dict[str, int]) -> DataFrame:
@@ -46,12 +48,57 @@ def rank_hits(hits: DataFrame, k: int, query: list[str] = ("query_id",), doc: st
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def topk(queries: DataFrame, docs: DataFrame, k: int = 5, block: int = QUERY_BLOCK) -> DataFrame:
+class Hits:
+    """The k best documents of each query so far, over all batches of a task.
+
+    Documents of a batch are put in order by the pivot they are nearest to, pivots being documents of the batch; those of one
+    pivot are a strip, or several. With c a strip's mean and r the largest distance from it, no document of the strip is more similar to a query q
+    than q * c + |q| * r, so queries whose k-th best similarity is above that skip the strip. Skipping changes no result.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.sizes = np.linalg.norm(queries, axis=1)
+        self.sims = np.full((len(queries), k), -np.inf)
+        self.ids = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.met = self.skipped = 0  # pairs of a query and a strip
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        pivots = vectors[:: max(1, len(vectors) // PIVOTS)][:PIVOTS]
+        distance = (pivots * pivots).sum(axis=1) / 2 - vectors @ pivots.T  # up to what all pivots have in common
+        nearest = distance.argmin(axis=1)
+        order = np.lexsort((distance[np.arange(len(vectors)), nearest], nearest))
+        ids, vectors, nearest = ids[order], vectors[order], nearest[order]
+        ends = [*np.flatnonzero(np.diff(nearest)) + 1, len(ids)]
+        for first, end in zip([0, *ends], ends):
+            for low in range(first, end, STRIP):
+                self._strip(ids[low : min(low + STRIP, end)], vectors[low : min(low + STRIP, end)])
+
+    def _strip(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        middle = vectors.mean(axis=0)
+        radius = np.sqrt(((vectors - middle) ** 2).sum(axis=1).max())
+        # A little more than rounding can lose, on both sides of the comparison.
+        slack = 1e-9 * self.sizes * (np.linalg.norm(middle) + radius)
+        here = np.flatnonzero(~(self.queries @ middle + self.sizes * radius + slack < self.sims[:, -1]))
+        self.met += len(self.queries)
+        self.skipped += len(self.queries) - len(here)
+        sims = self.queries[here] @ vectors.T
+        better = ~(sims.max(axis=1) < self.sims[here, -1]) if len(here) else np.empty(0, bool)
+        here, sims = here[better], sims[better]
+        if len(here):
+            all_sims = np.concatenate([self.sims[here], sims], axis=1)
+            all_ids = np.concatenate([self.ids[here], np.broadcast_to(ids, sims.shape)], axis=1)
+            best = np.lexsort((all_ids, -all_sims), axis=-1)[:, : self.k]  # the smaller id of equals first
+            self.sims[here], self.ids[here] = np.take_along_axis(all_sims, best, 1), np.take_along_axis(all_ids, best, 1)
+
+
+def topk(queries: DataFrame, docs: DataFrame, k: int = 5, block: int = QUERY_BLOCK, pairs: tuple | None = None) -> DataFrame:
     """(query_id, doc_id, sim, rank) by dot product of ``vec`` columns, all queries against all documents.
 
-    Queries are dealt into blocks of a bounded size. A block is broadcast; each task multiplies it with its batches of
-    documents and keeps k candidates for each query, so only those shuffle. Where there are several blocks, each one's hits
-    are written before the next is read.
+    Queries are dealt into blocks of a bounded size. A block is broadcast; each task keeps its k best candidates for each
+    query over all its documents, so only these shuffle, once for each task. ``pairs`` are two accumulators that take the
+    numbers of pairs of a query and a strip of documents, and of those that a bound left out. Where there are several
+    blocks, each one's hits are written before the next is read.
     """
     spark = docs.sparkSession
     parts = max(1, -(-queries.count() // block))
@@ -67,16 +114,16 @@ def topk(queries: DataFrame, docs: DataFrame, k: int = 5, block: int = QUERY_BLO
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
+            hits = Hits(q, k)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                doc = b.column("doc_id").to_numpy(zero_copy_only=False)
-                order = np.argsort(doc, kind="stable")
-                d = b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(doc), -1)[order]
-                sims = q @ d.T
-                best = _largest(sims, k)
-                row = np.repeat(np.arange(len(ids)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(doc[order][best.ravel()]), pa.array(sims[row, best.ravel()])], ["query_id", "doc_id", "sim"])
+                if b.num_rows:
+                    vectors = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+                    hits.add(b.column("doc_id").to_numpy(zero_copy_only=False), vectors.reshape(b.num_rows, -1))
+            if pairs:
+                pairs[0].add(hits.met)
+                pairs[1].add(hits.skipped)
+            row, at = np.nonzero(np.isfinite(hits.sims) | (hits.ids != np.iinfo(np.int64).max))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(hits.ids[row, at]), pa.array(hits.sims[row, at])], ["query_id", "doc_id", "sim"])
 
         hits = there.mapInArrow(run, "query_id long, doc_id long, sim double")
         if parts > 1:  # one block at a time in memory anywhere
@@ -90,20 +137,6 @@ def topk(queries: DataFrame, docs: DataFrame, k: int = 5, block: int = QUERY_BLO
     return rank_hits(out, k)
 
 
-def _largest(sims: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k largest of each row, largest first; of equal ones the first, since columns are in order of id."""
-    k = min(k, sims.shape[1])
-    if sims.shape[1] > 4 * k:
-        # The k-th largest as a floor, then a stable order of the few at or above it.
-        floor = np.partition(sims, -k, axis=1)[:, -k][:, None]
-        out = np.empty((len(sims), k), np.int64)
-        for r, keep in enumerate(sims >= floor):
-            at = np.flatnonzero(keep)
-            out[r] = at[np.argsort(-sims[r, at], kind="stable")[:k]]
-        return out
-    return np.argsort(-sims, axis=1, kind="stable")[:, :k]
-
-
 def _shared_folder(spark) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:

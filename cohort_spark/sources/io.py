@@ -19,16 +19,42 @@ def read_tables(spark: SparkSession, root: str, schemas: dict[str, T.StructType
     return out
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_checked(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "csv", **options) -> tuple[DataFrame, DataFrame]:
+    """(good, rejected): the rows of ``path`` that fit ``schema``, and for those that don't the file and the record as it
+    stands there. Together they are all records of the input; nothing is dropped or nulled without a word."""
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    whole = T.StructType([*kind.fields, T.StructField(CORRUPT, T.StringType())])
+    reader = spark.read.schema(whole).options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, **({"header": True, "enforceSchema": False} if fmt == "csv" else {}), **options)
+    rows = reader.format(fmt).load(path).withColumn("_file", F.input_file_name())
+    # Always true; Spark parses no record, and finds none broken, where a query needs no column of the schema.
+    parsed = F.xxhash64(*[F.col(f"`{f.name}`") for f in kind.fields]) >= F.lit(-(2**63))
+    good = rows.where(parsed & F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
+    return good, rows.where(parsed & F.col(CORRUPT).isNotNull()).select(F.col("_file").alias("file"), F.col(CORRUPT).alias("record"))
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, sort: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Parquet; rows are sorted inside each file, never globally."""
+    """Parquet; rows are sorted inside each file, never globally. Rows are brought together by ``partition_by`` before they are
+    written, so that a partition has a few files of a good size and not one from every task; a partition with very many
+    rows is split."""
     if partition_by:
-        df = df.repartition(*partition_by) if not sort else df
+        df = df.hint("rebalance", *partition_by)
     if sort:
         df = df.sortWithinPartitions(*(partition_by or []), *sort)
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int, sort: list[str] | None = None, mode: str = "overwrite") -> None:
+    """A table of ``buckets`` files, one for each hash of ``keys``, sorted inside: tables of the same keys and number of
+    buckets join and group by these keys without a shuffle. With ``spark.sql.requireAllClusterKeysForCoPartition`` off, joins
+    on more columns than the keys don't shuffle either."""
+    dealt = df.repartition(buckets, *keys)  # by the hash that the buckets have, so each task writes one file
+    dealt.write.mode(mode).bucketBy(buckets, *keys).sortBy(*(sort or keys)).saveAsTable(name)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -230,7 +230,7 @@ w1 AS (SELECT id, b, {_mixed('x', 30, 0xBF58476D1CE4E5B9)} AS x FROM w0), w2 AS
 wt AS (SELECT id, b, {poisson} AS w FROM (SELECT id, b, (xor(x, x >> 31) >> 11)::DOUBLE / 9007199254740992 AS u FROM w2))"""
 
 
-def _replicates(metric: str, models: str = "'a', 'c'") -> str:
+def replicates_sql(metric: str, models: str = "'a', 'c'") -> str:
     value = "sum(n * (tp - p / 2)) / (max(np) * max(nn))" if metric == "auroc" else "sum(CASE WHEN p > 0 THEN p * tp / (tp + fp) ELSE 0 END) / max(np)"
     ok = "max(np) > 0 AND max(nn) > 0" if metric == "auroc" else "max(np) > 0"
     part, order = "PARTITION BY model, label, b", "ORDER BY prob DESC ROWS UNBOUNDED PRECEDING"
@@ -244,7 +244,7 @@ ki AS (SELECT label, quantile_cont(va, 0.025) AS low_a, quantile_cont(va, 0.975)
   FROM kd WHERE va IS NOT NULL AND vb IS NOT NULL GROUP BY 1)"""
 
 
-@query(f"WITH {st.PREDICTIONS}, {weights_sql('p')}, {_replicates('auroc', chr(39) + 'a' + chr(39) + ', ' + chr(39) + 'b' + chr(39) + ', ' + chr(39) + 'c' + chr(39))} SELECT model, label, b::INTEGER AS b, round(v, 6) AS auroc FROM kr")
+@query(f"WITH {st.PREDICTIONS}, {weights_sql('p')}, {replicates_sql('auroc', chr(39) + 'a' + chr(39) + ', ' + chr(39) + 'b' + chr(39) + ', ' + chr(39) + 'c' + chr(39))} SELECT model, label, b::INTEGER AS b, round(v, 6) AS auroc FROM kr")
 def bootstrap_auroc(spark, d):
     """All replicates of every model and label."""
     return rounded(resample.replicate_metric(st.predictions(spark, d), REPLICATES).withColumnRenamed("value", "auroc"))
@@ -254,14 +254,14 @@ _INTERVALS = ["low_a", "high_a", "low_b", "high_b", "low", "high", "p", "win"]
 _VERDICT = "CASE WHEN low > 0 THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'undecided' END AS verdict"
 
 
-@query(f"""WITH {st.PREDICTIONS}, {CUM}, {weights_sql('p')}, {_replicates('auroc')},
+@query(f"""WITH {st.PREDICTIONS}, {CUM}, {weights_sql('p')}, {replicates_sql('auroc')},
 pt AS (SELECT label, max(auroc) FILTER (model = 'a') AS value_a, max(auroc) FILTER (model = 'c') AS value_b FROM ar GROUP BY 1)
 SELECT label, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b, round(value_b - value_a, 6) AS point, {', '.join(f'round({c}, 6) AS {c}' for c in _INTERVALS)}, n, {_VERDICT} FROM pt JOIN ki USING (label)""")
 def bootstrap_delta(spark, d):
     return rounded(resample.verdict(resample.paired_bootstrap(st.predictions(spark, d), "a", "c", REPLICATES)))
 
 
-@query(f"""WITH {st.PREDICTIONS}, {CUM}, {weights_sql('p')}, {_replicates('ap')}, ax AS (SELECT model, label, sum(p * tp / (tp + fp)) / max(np) AS ap FROM cu GROUP BY ALL),
+@query(f"""WITH {st.PREDICTIONS}, {CUM}, {weights_sql('p')}, {replicates_sql('ap')}, ax AS (SELECT model, label, sum(p * tp / (tp + fp)) / max(np) AS ap FROM cu GROUP BY ALL),
 pt AS (SELECT label, max(ap) FILTER (model = 'a') AS value_a, max(ap) FILTER (model = 'c') AS value_b FROM ax GROUP BY 1)
 SELECT label, round(value_a, 6) AS value_a, round(value_b, 6) AS value_b, round(value_b - value_a, 6) AS point, {', '.join(f'round({c}, 6) AS {c}' for c in _INTERVALS)}, n, {_VERDICT} FROM pt JOIN ki USING (label)""")
 def bootstrap_auprc(spark, d):
@@ -302,7 +302,7 @@ def _place(at: str) -> str:
 
 
 #: Newton's steps from 0 climb to the quantile from below, as the function is concave beyond 0.
-@query(f"""WITH RECURSIVE {st.PREDICTIONS}, {CUM}, {weights_sql('p')}, {_replicates('auroc')},
+@query(f"""WITH RECURSIVE {st.PREDICTIONS}, {CUM}, {weights_sql('p')}, {replicates_sql('auroc')},
 pv AS (SELECT p.id, p.model, p.label, p.y, CASE WHEN y = 1 THEN np ELSE nn END AS m, CASE WHEN y = 1 THEN (nn - fp + n / 2) / nn ELSE (tp - cu.p / 2) / np END AS v
   FROM p JOIN cu ON cu.model = p.model AND cu.label = p.label AND cu.prob = p.prob),
 lo AS (SELECT label, id, y, max((m * auroc - v) / (m - 1)) FILTER (model = 'c') - max((m * auroc - v) / (m - 1)) FILTER (model = 'a') AS d FROM pv JOIN ar USING (model, label) WHERE m > 1 GROUP BY ALL),

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import stats, text
-from ..operators import attribution, channels, cohort, drift, evaluate, features, impute, labels, retrieval, splits, timegrid
+from ..operators import attribution, channels, cohort, drift, evaluate, features, impute, labels, resample, retrieval, splits, timegrid
 from ..operators.channels import Channel
 from ..sources import corpus, io
 from . import standin as st
-from .model_queries import _ERFC, AUDIT, CUM, PSI_QUANTILE, A, B, scan_sql
+from .model_queries import _ERFC, AUDIT, CUM, PSI_QUANTILE, REPLICATES, A, B, replicates_sql, scan_sql, weights_sql
 from .registry import query, rounded
 
 HOUR = 3_600_000_000
@@ -411,3 +411,60 @@ def best_cases(spark, d):
 @query("""SELECT doc_id, CASE WHEN contains(lower(coalesce(text, '')), 'the ') THEN 1 ELSE 0 END AS hit FROM documents""")
 def keyword_documents(spark, d):
     return st.table(spark, d, "documents").select("doc_id", text.any_keyword(F.col("text"), ["THE "]).alias("hit"))
+
+
+# Helpers over attributions, weights and items
+
+
+@query(f"""WITH {st.ATTR}, v AS (SELECT id, label, feature, max(value) FILTER (model = 'adapted') - max(value) FILTER (model = 'source') AS d FROM att GROUP BY ALL),
+q AS (SELECT label, greatest(quantile_cont(abs(value), 0.95), 1e-6) AS scale FROM att WHERE model = 'source' GROUP BY 1),
+s AS (SELECT id, label, feature, d / scale AS shift FROM v JOIN q USING (label)), r AS (SELECT *, row_number() OVER (PARTITION BY id, label ORDER BY abs(shift) DESC, feature DESC) AS k FROM s)
+SELECT id, label, feature, round(shift, 6) AS shift FROM r WHERE k = 1""")
+def largest_shifts(spark, d):
+    return rounded(attribution.largest_shift(attribution.normalized_delta(st.attributions(spark, d), "source", "adapted")))
+
+
+_WEIGHTS = "wb AS (SELECT 'layer' || (vec_id % 40) AS layer, vec_id, unnest(range(len(embedding))) AS i, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), ww AS (SELECT layer, v[i + 1] AS b, v[(i + 1) % len(v) + 1] AS a FROM wb)"
+_LAYERS = f"""{_WEIGHTS}, wl AS (SELECT layer, sqrt(sum((a - b) * (a - b))) AS l2, sqrt(sum(b * b)) AS nb, sqrt(sum(a * a)) AS na, sum(a * b) AS ab FROM ww GROUP BY 1),
+wd AS (SELECT layer, l2, l2 / greatest(nb, 1e-12) AS relative, ab / greatest(na * nb, 1e-12) AS cosine FROM wl)"""
+
+
+def _weights(spark, d):
+    e = st.table(spark, d, "embeddings").select(F.concat(F.lit("layer"), F.col("vec_id") % 40).alias("layer"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    after = F.get("v", (F.col("i") + 1) % F.size("v"))
+    return e.select("layer", "v", F.posexplode("v").alias("i", "before")).select("layer", "i", "before", after.alias("after"))
+
+
+@query(f"WITH {_LAYERS} SELECT layer, round(l2, 6) AS l2, round(relative, 6) AS relative, round(cosine, 6) AS cosine FROM wd")
+def layer_changes(spark, d):
+    """Vectors as a layer's weights before, shifted by one place as those after."""
+    return rounded(attribution.weight_delta(_weights(spark, d)))
+
+
+@query(f"WITH {_LAYERS} SELECT CASE WHEN layer LIKE 'layer1%' THEN 'low' ELSE 'other' END AS grp, round(avg(relative), 6) AS mean_relative, round(max(relative), 6) AS max_relative FROM wd GROUP BY 1")
+def layer_groups(spark, d):
+    group = F.when(F.col("layer").startswith("layer1"), "low").otherwise("other")
+    return rounded(attribution.weight_groups(attribution.weight_delta(_weights(spark, d)), group))
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, u.feature, round(CASE u.feature WHEN 'l_quantity' THEN 0.5 * (l_quantity - 25) WHEN 'l_discount' THEN 3.0 * l_discount ELSE 0.001 * (l_extendedprice - 1000) END, 6) AS value
+FROM lineitem, (SELECT unnest(['l_quantity', 'l_discount', 'l_extendedprice']) AS feature) u""")
+def linear_attribution(spark, d):
+    li = st.table(spark, d, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return rounded(attribution.linear_attribution(li, {"l_quantity": 0.5, "l_discount": 3.0, "l_extendedprice": 0.001}, {"l_quantity": 25.0, "l_extendedprice": 1000.0}))
+
+
+@query(f"""WITH {st.PREDICTIONS}, {CUM}, {weights_sql('p')}, {replicates_sql('auroc')}
+SELECT label, round(p, 6) AS p, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'ns' END AS stars FROM ki""")
+def significance_stars(spark, d):
+    out = resample.paired_bootstrap(st.predictions(spark, d), "a", "c", REPLICATES)
+    return rounded(out.select("label", "p", resample.stars(F.col("p")).alias("stars")))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, p_name AS label, CASE WHEN lower(p_name) LIKE '%small%' THEN -l_quantity WHEN lower(p_name) LIKE '%widget%' OR lower(p_name) LIKE '%bolt%' THEN l_quantity END AS signed
+FROM lineitem JOIN part ON p_partkey = l_partkey""")
+def item_labels(spark, d):
+    """Rows with the label of their item, and the sign that its words give their value."""
+    items = st.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("label"))
+    rows = channels.with_item_label(st.table(spark, d, "lineitem"), items, "l_partkey")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "label", channels.signed_value(F.col("label"), F.col("l_quantity"), ["widget", "bolt"], ["small"]).alias("signed"))

@@ -23,14 +23,42 @@ def _vectors(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_features").transform(clean)
 
 
-def fit_gbt(train: DataFrame, val: DataFrame, features: list[str], label: str, cap: float = 20.0, trees: int = 300, depth: int = 6, seed: int = 42):
-    """Boosted trees with a capped weight for positives, stopped early on the validation rows."""
+#: Rounds of boosting after which the running errors are written to the checkpoint folder, so that a lost executor costs
+#: these rounds and the lineage doesn't grow with the number of trees.
+CHECKPOINT_ROUNDS = 10
+
+
+def _checkpoints(spark) -> None:
+    """Name the session's shared folder to Spark's reliable checkpoints, unless they have one."""
+    folder, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if folder and not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(f"{folder}/boosting")
+
+
+def bounded(rows: DataFrame, most: int, *keys: str) -> DataFrame:
+    """At most ``most`` rows, those of the least hash of their keys: the same in every run, whatever the size of the table. A
+    model may learn from such a sample; it is scored on all rows."""
+    return rows.orderBy(F.xxhash64(*keys), *keys).limit(most)
+
+
+def fit_gbt(train: DataFrame, val: DataFrame, features: list[str], label: str, cap: float = 20.0, trees: int = 300, depth: int = 6, seed: int = 42, tol: float = 0.0):
+    """Boosted trees with a capped weight for positives. Boosting ends once the loss on the validation rows no longer falls, or
+    by less than ``tol`` of itself, at ``trees`` at the latest: ``model.getNumTrees`` says where."""
     from pyspark.ml.classification import GBTClassifier
 
+    _checkpoints(train.sparkSession)
     weight = pos_weights(train, [label], cap).first()["weight"]
     rows = train.withColumn("_val", F.lit(False)).unionByName(val.withColumn("_val", F.lit(True)), allowMissingColumns=True)
     rows = _vectors(rows, features).withColumns({"_w": F.when(F.col(label) == 1, float(weight)).otherwise(1.0), "_y": F.col(label).cast("double")})
-    return GBTClassifier(featuresCol="_features", labelCol="_y", weightCol="_w", validationIndicatorCol="_val", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed).fit(rows)
+    return GBTClassifier(featuresCol="_features", labelCol="_y", weightCol="_w", validationIndicatorCol="_val", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed,
+                         validationTol=tol, checkpointInterval=CHECKPOINT_ROUNDS).fit(rows)
+
+
+def stage_losses(model, df: DataFrame, features: list[str], label: str) -> list[float]:
+    """Mean loss on ``df`` of the first tree, the first two, and so on, all stages in one pass: where more trees stop helping
+    on rows that weren't learned from."""
+    rows = _vectors(df, features).withColumns({"_y": F.col(label).cast("double"), "_w": F.lit(1.0)})
+    return [float(x) for x in model.evaluateEachIteration(rows)]
 
 
 def fit_adapted(buffer: DataFrame, new_train: DataFrame, val: DataFrame, features: list[str], label: str, cap: float = 15.0, **options):

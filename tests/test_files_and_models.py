@@ -112,3 +112,17 @@ def test_adapted_model_learns_the_new_era(spark):
     model = train.fit_adapted(buffer, new, val, ["x", "z"], "y", trees=10, depth=2)
     scored = train.score(model, test, ["x", "z"], "y", "adapted")
     assert scored.columns == ["id", "label", "model", "y", "prob"] and evaluate.auroc(scored).first().auroc > 0.95
+    losses = train.stage_losses(model, test, ["x", "z"], "y")
+    assert len(losses) == model.getNumTrees <= 10 and losses[-1] < losses[0]
+
+
+def test_boosting_at_its_defaults_ends_early(spark):
+    r = random.Random(6)
+    rows = [(k, x, int((x > 0.5) != (r.random() < 0.2))) for k in range(900) for x in [r.random()]]
+    df = spark.createDataFrame(rows, "stay_id long, x double, y int")
+    learned = train.bounded(df.where("stay_id < 600"), 400, "stay_id")
+    assert learned.count() == 400 and learned.exceptAll(train.bounded(df.where("stay_id < 600"), 400, "stay_id")).count() == 0
+    model = train.fit_gbt(learned, df.where("stay_id >= 600 and stay_id < 750"), ["x"], "y")
+    assert 1 <= model.getNumTrees < 300
+    assert spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    assert evaluate.auroc(train.score(model, df.where("stay_id >= 750"), ["x"], "y", "m")).first().auroc > 0.7

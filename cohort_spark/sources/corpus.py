@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .io import read_checked
+
 SCHEMA = "pmid string, title string, abstract string, year int, first_author string, journal string, mesh array<string>"
 
 ARTICLE = """
@@ -22,18 +24,31 @@ def read_json(spark: SparkSession, path: str, years: tuple[int, int] | None = No
     return docs.where(F.col("year").between(*years)) if years else docs
 
 
-def read_article_xml(spark: SparkSession, path: str, row_tag: str = "PubmedArticle", shortest: int = 100, default_year: int = 2015) -> DataFrame:
-    """Articles of XML dumps. Abstract parts are joined by a space; articles whose abstract is missing or shorter than
-    ``shortest`` are left out; a missing year is ``default_year``."""
-    raw = spark.read.format("xml").option("rowTag", row_tag).schema(ARTICLE).load(path)
+def _articles(raw: DataFrame, default_year: int) -> DataFrame:
     a = F.col("MedlineCitation.Article")
-    docs = raw.select(
+    return raw.select(
         F.col("MedlineCitation.PMID").alias("pmid"), F.coalesce(a["ArticleTitle"], F.lit("")).alias("title"),
         F.concat_ws(" ", a["Abstract"]["AbstractText"]).alias("abstract"),
         F.coalesce(a["Journal"]["JournalIssue"]["PubDate"]["Year"], F.lit(default_year)).alias("year"),
         F.get(a["AuthorList"]["Author"], F.lit(0))["LastName"].alias("first_author"), a["Journal"]["Title"].alias("journal"),
         F.coalesce(F.transform("MedlineCitation.MeshHeadingList.MeshHeading", lambda m: m["DescriptorName"]), F.array().cast("array<string>")).alias("mesh"))
-    return docs.where(F.length("abstract") >= shortest)
+
+
+def read_article_xml(spark: SparkSession, path: str, row_tag: str = "PubmedArticle", shortest: int = 100, default_year: int = 2015) -> DataFrame:
+    """Articles of XML dumps. Abstract parts are joined by a space; articles whose abstract is missing or shorter than
+    ``shortest`` are left out; a missing year is ``default_year``."""
+    raw = spark.read.format("xml").option("rowTag", row_tag).schema(ARTICLE).load(path)
+    return _articles(raw, default_year).where(F.length("abstract") >= shortest)
+
+
+def read_article_xml_checked(spark: SparkSession, path: str, row_tag: str = "PubmedArticle", shortest: int = 100, default_year: int = 2015) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles, left out, rejected): as above, with (pmid, abstract_chars) of the articles that are too short, and the file
+    and text of the records that don't parse or don't fit (a year that is no number, a tag that is never closed). Together
+    they are all records."""
+    good, rejected = read_checked(spark, path, ARTICLE, "xml", rowTag=row_tag)
+    docs = _articles(good, default_year)
+    long_enough = F.length("abstract") >= shortest
+    return docs.where(long_enough), docs.where(~long_enough).select("pmid", F.length("abstract").alias("abstract_chars")), rejected
 
 
 def window_from_tag(tag: Column, back: int = 10) -> Column:

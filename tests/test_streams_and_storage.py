@@ -148,3 +148,21 @@ def test_broken_rows_are_set_aside(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": 1}\n{"id": \n{"id": 2}\n')
     good, bad = io.read_checked(spark, str(tmp_path / "a.json"), "id long", "json")
     assert good.count() == 2 and bad.count() == 1
+
+
+def test_articles_short_and_broken_ones_add_up(spark, tmp_path):
+    from cohort_spark.sources import corpus
+
+    def article(pmid, year, abstract, end="</PubmedArticle>"):
+        date = f"<Journal><Title>J</Title><JournalIssue><PubDate><Year>{year}</Year></PubDate></JournalIssue></Journal>" if year else ""
+        return f"<PubmedArticle><MedlineCitation><PMID>{pmid}</PMID><Article><ArticleTitle>T</ArticleTitle><Abstract><AbstractText>{abstract}</AbstractText></Abstract>{date}</Article></MedlineCitation>{end}"
+
+    long = "word " * 30
+    whole = [article(1, 2019, long), article(2, None, long), article(3, 2018, "short"), article(4, "MMXX", long), article(5, 2017, long + "<b>")]
+    (tmp_path / "a.xml").write_text("<Set>" + "".join(whole) + "</Set>")
+    good, short, bad = corpus.read_article_xml_checked(spark, str(tmp_path / "a.xml"))
+    assert {(r.pmid, r.year) for r in good.collect()} == {("1", 2019), ("2", 2015)}
+    assert [(r.pmid, r.abstract_chars) for r in short.collect()] == [("3", 5)]
+    records = [r.record for r in bad.collect()]
+    assert len(records) == 2 and any("MMXX" in r for r in records) and any("<PMID>5<" in r for r in records)
+    assert good.count() + short.count() + bad.count() == len(whole)

@@ -6,6 +6,9 @@ the pieces that the vocabulary's splitting pattern makes, a table of 65,536 flag
 pieces and fragments repeat constantly, so each worker keeps a bounded table of what it has encoded. Very long
 fragments (a megabyte of one letter, say) are merged by a heap, in time that grows with n log n.
 
+Texts are taken from a batch one at a time and their ids go straight into the batch's result, so a worker holds the batch,
+its ids and the bounded table.
+
 Special tokens written in a text become their own id, as the tokenizers library does by default.
 Null texts count as empty; empty texts have no ids. Rows are handled one by one: repeated rows give repeated
 results, an empty table an empty one, and all columns of the input are kept (``encode`` and ``decode`` replace
@@ -17,10 +20,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +71,7 @@ class Codec:
             b = np.frombuffer(self.bytes_of[vocab[t]], np.uint8)
             inside[b[:-1], b[1:]] = True
         self.inside = [row.tobytes() for row in inside]
-        self.split = regex.compile(PATTERN).findall
+        self.split = regex.compile(PATTERN).finditer
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -124,6 +129,8 @@ class Codec:
                 if (known := self.fragments.get(part)) is None:
                     known = self.fragment(part)
                     if len(part) <= LONG:
+                        if len(self.fragments) >= REMEMBERED:
+                            self.fragments.clear()
                         self.fragments[part] = known
                 ids += known
                 start = at
@@ -135,16 +142,15 @@ class Codec:
             if k % 2:
                 ids.append(self.special[plain])
                 continue
-            if len(self.pieces) > REMEMBERED:
-                self.pieces, self.older = {}, self.pieces
-            if len(self.fragments) > REMEMBERED:
-                self.fragments.clear()
             pieces, older = self.pieces, self.older
-            for p in self.split(plain):
+            for match in self.split(plain):
+                p = match.group()
                 known = pieces.get(p)
                 if known is None:
                     known = older.get(p) or self.piece(p)
                     if len(p) <= LONG:
+                        if len(pieces) >= REMEMBERED:
+                            pieces, older = self.pieces, self.older = {}, pieces
                         pieces[p] = known
                 ids += known
         return ids
@@ -172,10 +178,13 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", path: str | N
     """``docs`` with the ids of ``text`` as an array of ints."""
     path = path or default_path()
 
-    @F.pandas_udf("array<int>")
-    def ids(texts: pd.Series) -> pd.Series:
-        c = codec(path)
-        return pd.Series([np.array(c.encode(t), np.int32) for t in texts], dtype=object)
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        c, values, ends = codec(path), array("i"), [0]
+        for t in texts:
+            values.extend(c.encode(t.as_py()))
+            ends.append(len(values))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32)))
 
     return docs.withColumn(into, ids(F.col(text)))
 
@@ -196,10 +205,10 @@ def lengths(docs: DataFrame, text: str = "text", into: str = "n_tokens", path: s
     """``docs`` with the number of ids of ``text``."""
     path = path or default_path()
 
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
         c = codec(path)
-        return pd.Series([len(c.encode(t)) for t in texts], dtype="int64")
+        return pa.array([len(c.encode(t.as_py())) for t in texts], pa.int64())
 
     return docs.withColumn(into, count(F.col(text)))
 
@@ -209,13 +218,16 @@ def digests(docs: DataFrame, text: str = "text", path: str | None = None) -> Dat
     one pass, so that neither ids nor texts leave the worker."""
     path = path or default_path()
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def both(texts: pd.Series) -> pd.DataFrame:
-        c, out = codec(path), []
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def both(texts: pa.Array) -> pa.Array:
+        c, out = codec(path), ([], [], [])
         for t in texts:
-            ids = c.encode(t)
-            out.append((len(ids), hashlib.sha256(c.listed(ids).encode()).hexdigest(), hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest()))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = c.encode(t.as_py())
+            out[0].append(len(ids))
+            out[1].append(hashlib.sha256(c.listed(ids).encode()).hexdigest())
+            out[2].append(hashlib.sha256(c.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+        kinds = zip(out, (pa.int64(), pa.string(), pa.string()))
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in kinds], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.withColumn("_bpe", both(F.col(text))).withColumns({c: F.col(f"_bpe.{c}") for c in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_bpe")
 

@@ -5,33 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 
-def _ranked(df: DataFrame, order: list[str], group: str, buckets: int = 64) -> DataFrame:
-    """``df`` with its row number in ``order`` and the number of rows, over all groups.
 
-    ``group`` leads the order (an era, say). Inside it, rows are dealt into buckets of ascending first order column, at
-    breaks that a quantile sketch proposes; counts of whole buckets come before, and only rows of one bucket are sorted
-    together. The breaks decide how even the buckets are, never the ranks.
+#: Binary logarithm of how many more bands times have than other values: all dates of a study lie between two powers of two.
+TIME_BITS = 13
+
+
+def _ranked(df: DataFrame, order: list[str], group: str) -> DataFrame:
+    """``df`` with _rank, its row number in ``order`` over all groups, and _n, the number of rows.
+
+    ``group`` leads the order (an era, say) and has few values. Inside it, rows fall into bands of the first order column,
+    which are functions of the value; counts of earlier groups and bands come before, and only rows of one band are sorted
+    together. The bands decide how even the work is, never the ranks. Null values come first.
     """
-    kind = dict(df.dtypes)[order[0]]
-    key = F.unix_micros(F.col(order[0]).cast("timestamp")) if kind.startswith(("timestamp", "date")) else F.col(order[0])
-    rows = df.withColumn("_key", key.cast("double"))
-    breaks = sorted(set(rows.approxQuantile("_key", [k / buckets for k in range(1, buckets)], 0.002)))
-    at = F.size(F.filter(F.array(*[F.lit(b) for b in breaks]).cast("array<double>"), lambda b: b <= F.col("_key")))
-    rows = rows.withColumn("_bucket", at).drop("_key")
-    sizes = rows.groupBy(group, "_bucket").agg(F.count("*").alias("_size"))
-    before = Window.orderBy(group, "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_n": F.sum("_size").over(Window.partitionBy(F.lit(1)))})
-    inner = Window.partitionBy(group, "_bucket").orderBy(*order)
-    out = rows.withColumn("_rank", F.row_number().over(inner)).join(F.broadcast(sizes), [group, "_bucket"])  # one row for each era and bucket
-    return out.withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_bucket")
+    times = dict(df.dtypes)[order[0]].startswith(("timestamp", "date"))
+    key = F.unix_micros(F.col(order[0]).cast("timestamp")) if times else F.col(order[0])
+    bits = min(ranks.MOST_BITS, ranks.band_bits(df) + (TIME_BITS if times else 0))
+    rows = ranks.banded(df.withColumn("_key", key.cast("double")), "_key", bits).drop("_key", "_wide")
+    rows = rows.withColumn("_band", F.coalesce("_narrow", F.lit(-(2**50)))).drop("_narrow")
+    sizes = rows.groupBy(group, "_band").agg(F.count("*").alias("_size"))
+    placed = ranks.running(sizes, [group], "_band", ["_size"])
+    whole = sizes.groupBy(group).agg(F.sum("_size").alias("_in_group"))  # a row for each group
+    earlier = Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumns({"_earlier": F.coalesce(F.sum("_in_group").over(earlier), F.lit(0)), "_n": F.sum("_in_group").over(Window.partitionBy(F.lit(1)))}).drop("_in_group")
+    placed = placed.join(F.broadcast(whole), group).select(group, "_band", "_n", (F.col("_earlier") + F.col("_size_upto") - F.col("_size")).alias("_before"))
+    inner = Window.partitionBy(group, "_band").orderBy(*order)
+    out = rows.join(placed, [group, "_band"])
+    return out.withColumn("_rank", F.row_number().over(inner) + F.col("_before")).drop("_band", "_before")
 
 
 def chronological(stays: DataFrame, share: float = 0.8, era: str = "era", order: tuple[str, ...] = ("intime", "stay_id"), names=("train", "val")) -> DataFrame:
     """``stays`` with split: the first int(share * n) by era and time are train, the rest val."""
     out = _ranked(stays, list(order), era)
     cut = F.floor(F.col("_n") * F.lit(share))
-    return out.withColumn("split", F.when(F.col("_rank") <= cut, names[0]).otherwise(names[1])).drop("_size", "_before", "_n", "_rank")
+    return out.withColumn("split", F.when(F.col("_rank") <= cut, names[0]).otherwise(names[1])).drop("_n", "_rank")
 
 
 def adaptation(stays: DataFrame, shares=(0.3, 0.1), unit: str = "stay_id", order: tuple[str, ...] = ("intime",), names=("adapt_train", "adapt_val", "eval_post")) -> DataFrame:

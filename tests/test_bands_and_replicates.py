@@ -116,3 +116,15 @@ def test_replicates_shuffle_rows_and_not_replicates(spark, scored):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "id long, label string, model string, y int, prob double")
     assert resample.replicate_metric(df, 5).collect() == [] == resample.replicate_metric(df, 5, "ap").collect()
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "long", "double"])
+def test_ranks_over_groups(spark, kind):
+    from cohort_spark.operators import splits
+
+    r = random.Random(8)
+    rows = [(k, "e" + str(r.randrange(3)), r.choice([None, 1_700_000_000 + r.randrange(2_000_000), 1_700_000_000, -5])) for k in range(500)]
+    df = spark.createDataFrame(rows, "stay_id long, era string, t long").withColumn("t", F.timestamp_seconds("t") if kind == "timestamp" else F.col("t").cast(kind)).repartition(3)
+    got = {x.stay_id: (x._rank, x._n) for x in splits._ranked(df, ["t", "stay_id"], "era").collect()}
+    want = sorted(rows, key=lambda x: (x[1], x[2] is not None, x[2] or 0, x[0]))
+    assert got == {x[0]: (k + 1, 500) for k, x in enumerate(want)}

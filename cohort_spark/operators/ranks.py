@@ -1,10 +1,12 @@
 """Running sums, ranks and exact quantiles without a task that sorts a whole group.
 
 A value's band is a function of the value alone: its sign, exponent and leading digits, as one number that grows with the
-value. Totals of wide bands come first, then those of narrow bands inside each wide one, then the rows of each narrow
-band. How many bands a power of two has grows with the size of the tables that the plan reads, up to 2 ** 31, where a narrow
-band holds 2 ** 21 different doubles at most, however they are distributed. Nothing is sampled and no job runs while a plan
-is built. The bands decide how even the work is, never a result.
+value. Totals of wide bands come first, then those of narrow bands inside each wide one, then the rows of each narrow band;
+where a few thousand narrow bands are enough, there are no wide ones. How many bands a power of two has grows with the size
+of the tables that the plan reads, up to 2 ** 31, where a narrow band holds 2 ** 21 different doubles at most, however they
+are distributed. Tables of SMALL bytes at most, which one task can sort whatever their keys, need no bands and the shuffles
+between them. Nothing is sampled and no job runs while a plan is built. The bands decide how even the work is, never a
+result.
 """
 
 from __future__ import annotations
@@ -14,6 +16,10 @@ from pyspark.sql import functions as F
 
 #: Input bytes for each narrow band of a power of two, and the binary logarithms of their least and largest number.
 BAND_BYTES, LEAST_BITS, MOST_BITS = 1 << 18, 4, 31
+#: Bytes of all tables below a plan up to which a key's rows are sorted by one task.
+SMALL = 1 << 22
+#: Bits up to which narrow bands, a few thousand for each key, need no wide ones above them.
+ONE_LEVEL = 12
 #: Sizes beyond which exponents are not looked at; such values share the outermost bands.
 _LEAST, _MOST = 1e-300, 1e300
 
@@ -30,11 +36,11 @@ def position(value: Column) -> Column:
 
 def band_bits(rows: DataFrame) -> int:
     """Binary logarithm of the narrow bands for each power of two, from the sizes of the tables below ``rows``, which Spark
-    knows without a job."""
+    knows without a job; 0 for small tables, whose keys are one band each."""
     leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
     sizes = (int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size()))
     size = sum(min(x, 1 << 50) for x in sizes)  # a leaf of unknown size claims more than any table has
-    return max(LEAST_BITS, min(MOST_BITS, (size // BAND_BYTES).bit_length()))
+    return max(LEAST_BITS, min(MOST_BITS, (size // BAND_BYTES).bit_length())) if size > SMALL else 0
 
 
 def banded(rows: DataFrame, value: str, bits: int) -> DataFrame:
@@ -57,15 +63,28 @@ def running(counts: DataFrame, keys: list[str], value: str, columns: list[str],
         rows = order(by, c).rowsBetween(Window.unboundedPreceding, -1)
         return {f"_{x}_before": F.coalesce(F.sum(x).over(rows), F.lit(0)) for x in columns}
 
+    bits = band_bits(counts) if bits is None else bits
+    if not bits:
+        whole, upto = Window.partitionBy(*keys), order(keys, value).rowsBetween(Window.unboundedPreceding, 0)
+        return counts.withColumns({f"{c}_{n}": F.sum(c).over(w) for n, w in (("upto", upto), ("all", whole)) for c in columns})
+    rows = banded(counts, value, bits)
+    totals = {f"{c}_all": F.sum(c).over(Window.partitionBy(*keys)) for c in columns}
+    if bits <= ONE_LEVEL:
+        rows, narrow = rows.drop("_wide"), [*keys, "_narrow"]
+        fine = sums(rows, narrow).withColumns(before(keys, "_narrow") | totals).drop(*columns)
+        return _upto(rows.join(fine, narrow), order(narrow, value), columns, {c: F.col(f"_{c}_before") for c in columns})
     wide, narrow = [*keys, "_wide"], [*keys, "_wide", "_narrow"]
-    rows = banded(counts, value, band_bits(counts) if bits is None else bits)
     fine = sums(rows, narrow)
-    broad = sums(fine, wide).withColumns(before(keys, "_wide") | {f"{c}_all": F.sum(c).over(Window.partitionBy(*keys)) for c in columns})
+    broad = sums(fine, wide).withColumns(before(keys, "_wide") | totals)
     broad = broad.select(*wide, *[F.col(f"_{c}_before").alias(f"_{c}_start") for c in columns], *[f"{c}_all" for c in columns])
     fine = fine.withColumns(before(wide, "_narrow")).drop(*columns).join(broad, wide)
-    out = rows.join(fine, narrow)
-    inner = order(narrow, value).rowsBetween(Window.unboundedPreceding, 0)
-    out = out.withColumns({f"{c}_upto": F.col(f"_{c}_start") + F.col(f"_{c}_before") + F.sum(c).over(inner) for c in columns})
+    return _upto(rows.join(fine, narrow), order(narrow, value), columns, {c: F.col(f"_{c}_start") + F.col(f"_{c}_before") for c in columns})
+
+
+def _upto(rows: DataFrame, order: Window, columns: list[str], before: dict[str, Column]) -> DataFrame:
+    """``rows`` with {c}_upto: what comes before their band, and the running sum inside it."""
+    inner = order.rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"{c}_upto": before[c] + F.sum(c).over(inner) for c in columns})
     return out.drop("_wide", "_narrow", *[f"_{c}_{end}" for c in columns for end in ("before", "start")])
 
 

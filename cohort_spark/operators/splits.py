@@ -12,7 +12,7 @@ from . import ranks
 TIME_BITS = 13
 
 
-def _ranked(df: DataFrame, order: list[str], group: str) -> DataFrame:
+def _ranked(df: DataFrame, order: list[str], group: str, bits: int | None = None) -> DataFrame:
     """``df`` with _rank, its row number in ``order`` over all groups, and _n, the number of rows.
 
     ``group`` leads the order (an era, say) and has few values. Inside it, rows fall into bands of the first order column,
@@ -21,9 +21,12 @@ def _ranked(df: DataFrame, order: list[str], group: str) -> DataFrame:
     """
     times = dict(df.dtypes)[order[0]].startswith(("timestamp", "date"))
     key = F.unix_micros(F.col(order[0]).cast("timestamp")) if times else F.col(order[0])
-    bits = min(ranks.MOST_BITS, ranks.band_bits(df) + (TIME_BITS if times else 0))
-    rows = ranks.banded(df.withColumn("_key", key.cast("double")), "_key", bits).drop("_key", "_wide")
-    rows = rows.withColumn("_band", F.coalesce("_narrow", F.lit(-(2**50)))).drop("_narrow")
+    bits = ranks.band_bits(df) if bits is None else bits
+    if bits:
+        rows = ranks.banded(df.withColumn("_key", key.cast("double")), "_key", min(ranks.MOST_BITS, bits + (TIME_BITS if times else 0))).drop("_key", "_wide")
+        rows = rows.withColumn("_band", F.coalesce("_narrow", F.lit(-(2**50)))).drop("_narrow")
+    else:
+        rows = df.withColumn("_band", F.lit(0).cast("long"))
     sizes = rows.groupBy(group, "_band").agg(F.count("*").alias("_size"))
     placed = ranks.running(sizes, [group], "_band", ["_size"])
     whole = sizes.groupBy(group).agg(F.sum("_size").alias("_in_group"))  # a row for each group

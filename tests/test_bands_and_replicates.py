@@ -20,7 +20,7 @@ def test_position_never_falls(spark):
     assert all(a <= b for a, b in zip(got, got[1:]))
 
 
-@pytest.mark.parametrize("bits", [4, 12, 31])
+@pytest.mark.parametrize("bits", [0, 4, 12, 31])
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_sums(spark, bits, descending):
     r = random.Random(bits)
@@ -48,7 +48,7 @@ def test_more_input_makes_more_bands(spark, tmp_path):
     spark.range(1000).write.parquet(f"{tmp_path}/a")
     few = ranks.band_bits(spark.read.parquet(f"{tmp_path}/a"))
     spark.range(4_000_000).select("id", F.rand(1).alias("v")).write.parquet(f"{tmp_path}/b")
-    assert few == ranks.LEAST_BITS < ranks.band_bits(spark.read.parquet(f"{tmp_path}/b")) < ranks.MOST_BITS
+    assert few == 0 < ranks.LEAST_BITS < ranks.band_bits(spark.read.parquet(f"{tmp_path}/b")) < ranks.MOST_BITS
 
 
 def plain(ids, scores, y, replicates):
@@ -118,13 +118,14 @@ def test_no_rows(spark):
     assert resample.replicate_metric(df, 5).collect() == [] == resample.replicate_metric(df, 5, "ap").collect()
 
 
+@pytest.mark.parametrize("bits", [0, 7])
 @pytest.mark.parametrize("kind", ["timestamp", "long", "double"])
-def test_ranks_over_groups(spark, kind):
+def test_ranks_over_groups(spark, kind, bits):
     from cohort_spark.operators import splits
 
     r = random.Random(8)
     rows = [(k, "e" + str(r.randrange(3)), r.choice([None, 1_700_000_000 + r.randrange(2_000_000), 1_700_000_000, -5])) for k in range(500)]
     df = spark.createDataFrame(rows, "stay_id long, era string, t long").withColumn("t", F.timestamp_seconds("t") if kind == "timestamp" else F.col("t").cast(kind)).repartition(3)
-    got = {x.stay_id: (x._rank, x._n) for x in splits._ranked(df, ["t", "stay_id"], "era").collect()}
+    got = {x.stay_id: (x._rank, x._n) for x in splits._ranked(df, ["t", "stay_id"], "era", bits).collect()}
     want = sorted(rows, key=lambda x: (x[1], x[2] is not None, x[2] or 0, x[0]))
     assert got == {x[0]: (k + 1, 500) for k, x in enumerate(want)}

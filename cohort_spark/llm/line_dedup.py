@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, let, read
+from .common import cut, discard, let, read
 
 THRESHOLD = 2
 MIN_CHARS = 20
@@ -248,6 +248,7 @@ def late_lines(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD,
     met = cut(spans.where("lo < hi and owned = 1").select("key"))
     few = met.count() <= BROADCAST_LINES
     shared = cut(keys.join(F.broadcast(met) if few else met, "key", "left_semi").groupBy("key", "h1").agg(F.max("own").alias("own")))
+    discard(keys)  # by far the largest table here
     texts = cut(_texts(docs, cut(shared.select("h1").distinct()), text, min_chars))
     sizes = cut(shared.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > hot))
     shared = cut(shared.join(texts.join(firsts, ["h1", "h2"]).select("h1", "h2", "n", "sketch", "first"), "h1").join(sizes, "key", "left"))

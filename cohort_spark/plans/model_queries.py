@@ -8,7 +8,7 @@ from ..functions import text
 from ..operators import attribution, drift, evaluate, resample, retrieval, splits, train
 from ..sources import corpus
 from . import standin as st
-from .registry import query, rounded
+from .registry import nearest, query, rounded
 
 A, B = "1996", "1999"
 
@@ -135,7 +135,7 @@ def era_scan(spark, d):
 @query(f"WITH {st.LONG}, {EQUAL_WIDTH.format(n=20)} SELECT feature, bin, round(lo + bin * ((hi - lo) / 20), 4) AS left_edge, round(r / (sum(r) OVER w * ((hi - lo) / 20)), 6) AS density_ref, round(c / (sum(c) OVER w * ((hi - lo) / 20)), 6) AS density_cur FROM eg WINDOW w AS (PARTITION BY feature)")
 def histogram(spark, d):
     h = drift.histogram(st.drift_long(spark, d), A, B)
-    return h.select("feature", "bin", F.round("left", 4).alias("left_edge"), F.round("density_ref", 6).alias("density_ref"), F.round("density_cur", 6).alias("density_cur"))
+    return h.select("feature", "bin", nearest(F.col("left"), 4).alias("left_edge"), nearest(F.col("density_ref"), 6).alias("density_ref"), nearest(F.col("density_cur"), 6).alias("density_cur"))
 
 
 CUM = """c0 AS (SELECT model, label, prob, count(*) FILTER (y = 1) AS p, count(*) FILTER (y <> 1) AS n FROM p GROUP BY ALL),

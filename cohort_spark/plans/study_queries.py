@@ -10,7 +10,7 @@ from ..operators.channels import Channel
 from ..sources import corpus, io
 from . import standin as st
 from .model_queries import _ERFC, AUDIT, CUM, PSI_QUANTILE, REPLICATES, A, B, replicates_sql, scan_sql, weights_sql
-from .registry import query, rounded
+from .registry import nearest, query, rounded
 
 HOUR = 3_600_000_000
 
@@ -60,7 +60,7 @@ def coarse_key_events(spark, d):
     """Events of a user land in that one of the user's stays whose hours hold them."""
     s = st.stays(spark, d).withColumn("outtime", F.timestamp_micros(timegrid.micros(F.col("intime")) + 40 * HOUR)).select("stay_id", "subject_id", "intime", "outtime")
     e = st.table(spark, d, "events").select(F.col("user_id").alias("subject_id"), "ts", "value")
-    return timegrid.attach_events(e, s, "ts", key="subject_id", bucket_seconds=4 * 3600).groupBy("stay_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return timegrid.attach_events(e, s, "ts", key="subject_id", bucket_seconds=4 * 3600).groupBy("stay_id").agg(F.count("*").alias("n"), nearest(F.sum("value"), 4).alias("total"))
 
 
 @query(f"""WITH {st.STAYS}, w AS (SELECT stay_id, subject_id, TIMESTAMP '{st.ORIGIN}' + to_seconds(blk * {st.BLOCK}) AS t0 FROM s),
@@ -97,7 +97,7 @@ SELECT l_orderkey, l_linenumber, round(p / coalesce(w, 70), 6) AS dose, CASE WHE
 def derived_columns(spark, d):
     x = st.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("p"), F.when(F.col("l_quantity") > 25, F.col("l_quantity").cast("double")).alias("w"), F.col("l_discount").cast("double").alias("k"))
     ratio = F.when(F.col("k") == 0, F.lit(float("inf"))).otherwise(F.col("p") / F.when(F.col("k") != 0, F.col("k")))
-    x = x.withColumns({"dose": features.per_weight(F.col("p"), F.col("w")), "timing": stats.sentinel_clip(F.col("w"), 40.0, 7.0), "odds": F.round(stats.finite(ratio), 4),
+    x = x.withColumns({"dose": features.per_weight(F.col("p"), F.col("w")), "timing": stats.sentinel_clip(F.col("w"), 40.0, 7.0), "odds": nearest(stats.finite(ratio), 4),
                        "prob": stats.sigmoid(F.col("k") * 20 - 1), "seen": F.col("w").cast("string")})
     return rounded(impute.fill_constants(x, {"timing": -1.0, "seen": "none"}).select("l_orderkey", "l_linenumber", "dose", "timing", "odds", "prob", "seen"))
 
@@ -107,7 +107,7 @@ _SEGMENTS = ["BUILDING", "MACHINERY", "FURNITURE", "HOUSEHOLD"]
 
 @query(f"""SELECT c_custkey, (c_nationkey % 2 = 0)::DOUBLE AS "gender_M", {', '.join(f'(c_mktsegment = {s!r})::DOUBLE AS "eth_{s}"' for s in _SEGMENTS)}, round(c_acctbal::DOUBLE, 2) AS balance, 0.0::DOUBLE AS absent FROM customer""")
 def split_columns(spark, d):
-    c = st.table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, "M").otherwise("F").alias("gender"), F.col("c_mktsegment").alias("ethnicity"), F.round(F.col("c_acctbal").cast("double"), 2).alias("balance"))
+    c = st.table(spark, d, "customer").select("c_custkey", F.when(F.col("c_nationkey") % 2 == 0, "M").otherwise("F").alias("gender"), F.col("c_mktsegment").alias("ethnicity"), nearest(F.col("c_acctbal").cast("double"), 2).alias("balance"))
     return io.load_split(c, ["balance", "absent"], [], tuple(_SEGMENTS)).drop("gender", "ethnicity")
 
 

@@ -192,3 +192,16 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen and abs(seen[-1].psi) < 1e-12
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    from cohort_spark.plans.registry import rounded
+
+    r = random.Random(3)
+    values = [0.5026875, -0.5026875, 0.0, 1e300, 1e308, -1e308, float("inf"), float("-inf"), 4503599627.370497, *(r.randrange(10**7) / 10**7 for _ in range(500)), *(r.randrange(-(10**9), 10**9) / 10**7 for _ in range(500))]
+    values += [(r.randrange(10**6) + 0.5) / 10**6 for _ in range(2000)]
+    got = [x.v for x in rounded(spark.createDataFrame([(k, v) for k, v in enumerate([*values, None, float("nan")])], "k int, v double")).orderBy("k").collect()]
+    assert got[-2] is None and math.isnan(got[-1])
+    assert got[:-2] == [x for (x,) in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [values]).fetchall()]

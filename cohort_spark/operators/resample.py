@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,10 @@ from . import evaluate, ranks
 #: Rows of a band of scores, unless one narrow range of scores has more; rows that a worker weighs at once.
 BAND_ROWS, AT_ONCE = 20_000, 1024
 
+#: Attribution rows that a worker multiplies at once, groups of one product at most, and groups whose sums a task keeps
+#: before it sends them (16 KB each at 1,000 replicates).
+ROWS_AT_ONCE, GROUPS_AT_ONCE, GROUPS = 1 << 17, 2048, 4096
+
 #: Cumulative Poisson(1) probabilities: a uniform number's place among them is the row's weight.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
@@ -220,35 +226,101 @@ def bca(df: DataFrame, a: str, b: str, replicates: int = 1000, level: float = 0.
     return stats.withColumn("e", F.udf(ends, "struct<low:double,high:double>")("below", "accel", "ds")).select("label", "point", "e.*")
 
 
+class _Sums:
+    """Sums of weights times absolute values and of weights, of all replicates, for each (label, feature, model) of a task's
+    rows. The first place of a vector has weight 1 everywhere: it is the table itself."""
+
+    def __init__(self, replicates: int):
+        self.numbers, self.sums = np.arange(replicates), {}
+
+    def add(self, rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Count rows (id, label, feature, model, value); yields what was counted once that is too much to keep. Groups of one
+        label are the rows of a matrix and ids its columns, and the product with the ids' weights is what is added."""
+        codes, names = zip(*(self._coded(rows[c]) for c in ("label", "feature", "model")))
+        sizes = [len(n) for n in names]
+        groups, group = np.unique(np.ravel_multi_index(codes, sizes), return_inverse=True)
+        ids, at = np.unique(rows["id"].fill_null(0).to_numpy(), return_inverse=True)
+        at = 2 * at + rows["id"].is_valid().to_numpy()  # a row without an id is in no replicate
+        value, block = rows["value"].to_numpy(), np.stack([group // GROUPS_AT_ONCE, codes[0]])
+        order = np.lexsort((at, *block))
+        turns = np.flatnonzero(np.r_[True, (np.diff(block[:, order]) != 0).any(axis=0), True])
+        for low, high in zip(turns, turns[1:]):
+            part = order[low:high]
+            here, row = np.unique(group[part], return_inverse=True)
+            cases, column = np.unique(at[part], return_inverse=True)  # ascending, as ``part`` is
+            both = np.zeros((2, len(here), 1 + len(self.numbers)))
+            step = min(AT_ONCE, (1 << 20) // len(here))
+            for first in range(0, len(cases), step):
+                some = cases[first : first + step]
+                w = np.ones((len(some), both.shape[2]))
+                w[:, 1:] = _weights(ids[some // 2], self.numbers) * (some % 2)[:, None]
+                those = slice(*np.searchsorted(column, [first, first + step]))
+                place = row[those] * len(some) + column[those] - first
+                for total, v in zip(both, (value[part[those]], None)):
+                    total += np.bincount(place, v, len(here) * len(some)).reshape(len(here), -1) @ w
+            for k, which in enumerate(zip(*np.unravel_index(groups[here], sizes))):
+                key = tuple(n[c] for n, c in zip(names, which))
+                self.sums[key] = self.sums[key] + both[:, k] if key in self.sums else both[:, k].copy()
+            if len(self.sums) > GROUPS:
+                yield from self.take()
+
+    @staticmethod
+    def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+        coded = pc.dictionary_encode(column.combine_chunks(), null_encoding="encode")
+        return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        """All sums so far, which are then forgotten; a few hundred groups at a time."""
+        kept, self.sums = list(self.sums.items()), {}
+        for at in range(0, len(kept), 256):
+            keys, both = zip(*kept[at : at + 256])
+            ends = np.arange(len(keys) + 1, dtype=np.int32) * (1 + len(self.numbers))
+            vectors = [pa.ListArray.from_arrays(ends, np.concatenate([b[i] for b in both])) for i in range(2)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in zip(*keys)), *vectors], ["label", "feature", "model", "s", "w"])
+
+
 def bootstrap_mean_delta(attr: DataFrame, source: str, adapted: str, replicates: int = 1000, level: float = 0.95) -> DataFrame:
-    """(label, feature, delta, low, high): change of mean absolute attribution with its percentile interval.
+    """(label, feature, delta, low, high): change of mean absolute attribution with its percentile interval. A null label or
+    feature is a group like any other; rows without an id count in the change alone.
 
-    Each task multiplies its rows' weights with their absolute values and sends sums for each (label, feature, model).
+    Each task multiplies its rows' weights with their absolute values and sends sums for each (label, feature, model): once
+    each, if it meets no more than GROUPS of them. The vectors of a (label, feature) are then added up, one from each task.
     """
     kind = "label string, feature string, model string, s array<double>, w array<double>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, n = _Sums(replicates), [], 0
         for b in batches:
-            if b.empty:
-                continue
-            w = _weights(b["id"].to_numpy(), np.arange(replicates)).astype(float)
-            groups = b.groupby(["label", "feature", "model"], sort=False)
-            at, total, mass = groups.ngroup().to_numpy(), np.zeros((groups.ngroups, replicates)), np.zeros((groups.ngroups, replicates))
-            np.add.at(total, at, w * b["value"].abs().to_numpy()[:, None])
-            np.add.at(mass, at, w)
-            yield groups.size().reset_index()[["label", "feature", "model"]].assign(s=list(total), w=list(mass))
+            held.append(b)
+            n += b.num_rows
+            if n >= ROWS_AT_ONCE:
+                yield from task.add(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield from task.add(pa.Table.from_batches(held))
+        yield from task.take()
+
+    tail = (1 - level) / 2
+
+    def interval(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        (s_a, w_a), (s_b, w_b) = ([sum(parts.loc[parts["model"] == m, c], np.zeros(1 + replicates)) for c in "sw"] for m in (source, adapted))
+        there = (w_a > 0) & (w_b > 0)
+        d = s_b[there] / w_b[there] - s_a[there] / w_a[there]
+        drawn = np.sort(d[1:])
+        out = [[*key, d[0], _between(drawn, tail), _between(drawn, 1 - tail)]] if len(drawn) else []
+        return pd.DataFrame(out, columns=["label", "feature", "delta", "low", "high"])
 
     two = attr.where(F.col("model").isin(source, adapted) & F.col("value").isNotNull())
-    zipped = two.select("id", "label", "feature", "model", "value").mapInPandas(run, kind).select("label", "feature", "model", F.posexplode(F.arrays_zip("s", "w")).alias("b", "z"))
-    sums = zipped.groupBy("label", "feature", "model", "b").agg((F.sum("z.s") / F.when(F.sum("z.w") > 0, F.sum("z.w"))).alias("phi"))
+    rows = two.select(F.col("id").cast("long").alias("id"), *[F.col(c).cast("string").alias(c) for c in ("label", "feature", "model")], F.abs(F.col("value").cast("double")).alias("value"))
+    sums = rows.mapInArrow(run, kind)
+    return sums.groupBy("label", "feature").applyInPandas(interval, "label string, feature string, delta double, low double, high double")
 
-    def change(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-        return df.groupBy(*keys).agg((F.max(F.when(F.col("model") == adapted, value)) - F.max(F.when(F.col("model") == source, value))).alias("d"))
 
-    reps = change(sums, ["label", "feature", "b"], F.col("phi")).where("d is not null")
-    point = change(two.groupBy("label", "feature", "model").agg(F.avg(F.abs("value")).alias("phi")), ["label", "feature"], F.col("phi")).withColumnRenamed("d", "delta")
-    tail = (1 - level) / 2
-    return point.join(reps.groupBy("label", "feature").agg(F.percentile("d", F.lit(tail)).alias("low"), F.percentile("d", F.lit(1 - tail)).alias("high")), ["label", "feature"])
+def _between(ordered: np.ndarray, share: float) -> float:
+    """A quantile with linear interpolation."""
+    h = share * (len(ordered) - 1)
+    low, high = ordered[math.floor(h)], ordered[math.ceil(h)]
+    return low if low == high or h == math.floor(h) else (math.ceil(h) - h) * low + (h - math.floor(h)) * high
 
 
 def verdict(intervals: DataFrame, better: str = "better", worse: str = "worse") -> DataFrame:

@@ -275,9 +275,14 @@ b2 AS (SELECT label, feature, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0
 b3 AS (SELECT label, feature, avg(abs(value)) FILTER (model = 'adapted') - avg(abs(value)) FILTER (model = 'source') AS delta FROM att GROUP BY ALL)"""
 
 
+def _attribution_intervals(spark, d):
+    """Every core sends one vector for each group, so that the vectors don't grow in number with the table."""
+    return resample.bootstrap_mean_delta(st.attributions(spark, d, spark.sparkContext.defaultParallelism), "source", "adapted", REPLICATES)
+
+
 @query(f"WITH {st.ATTR}, {BOOT} SELECT label, feature, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high FROM b2 JOIN b3 USING (label, feature)")
 def bootstrap_attribution(spark, d):
-    return rounded(resample.bootstrap_mean_delta(st.attributions(spark, d), "source", "adapted", REPLICATES))
+    return rounded(_attribution_intervals(spark, d).where("label is not null"))
 
 
 @query(f"WITH {st.ATTR}, {BOOT} SELECT label, count(*) AS n, count(*) FILTER (low > 0) AS up, count(*) FILTER (high < 0) AS down FROM b2 GROUP BY 1")

@@ -94,9 +94,12 @@ l AS ({' UNION ALL '.join(f"SELECT grp, '{c}' AS feature, {c}::DOUBLE AS value F
 lp AS (SELECT * FROM l WHERE grp IN ('1996', '1999'))"""
 
 
-def attributions(spark, d: str) -> DataFrame:
-    """(id, label, model, feature, value): an embedding's entries as source, its entries shifted by one as adapted values."""
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+def attributions(spark, d: str, tasks: int | None = None) -> DataFrame:
+    """(id, label, model, feature, value): an embedding's entries as source, its entries shifted by one as adapted values.
+    ``tasks`` deals the embeddings out before they become rows, however few parts their file has."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    e = e if tasks is None else e.repartition(tasks, "vec_id")
+    e = e.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     rows = e.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("label"), F.explode(F.transform(F.col("v"), lambda x, i: F.struct(i.alias("i"), x.alias("source"), F.get(F.col("v"), (i + 1) % F.size("v")).alias("adapted")))).alias("r"))
     return rows.select("id", "label", F.format_string("mean_f%d", "r.i").alias("feature"), "r.source", "r.adapted").unpivot(["id", "label", "feature"], ["source", "adapted"], "model", "value")
 

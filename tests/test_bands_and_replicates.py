@@ -129,3 +129,53 @@ def test_ranks_over_groups(spark, kind, bits):
     got = {x.stay_id: (x._rank, x._n) for x in splits._ranked(df, ["t", "stay_id"], "era", bits).collect()}
     want = sorted(rows, key=lambda x: (x[1], x[2] is not None, x[2] or 0, x[0]))
     assert got == {x[0]: (k + 1, 500) for k, x in enumerate(want)}
+
+
+def attribution_rows(seed=5):
+    r = random.Random(seed)
+    rows = [(i, x, f"f{f}", m, r.gauss(0, 1)) for i in range(60) for x in (["k", None][i % 2], "l") for f in range(5) for m in ("source", "adapted") if r.random() < 0.9]
+    return rows + [(None, "k", "f0", "adapted", 9.0), (7, "k", "f0", "adapted", None), (7, "alone", "f0", "adapted", 1.0), (7, "k", "f0", "other", 1.0)]
+
+
+def test_attribution_intervals_against_loops(spark):
+    rows, n = attribution_rows(), 30
+    schema = "id long, label string, feature string, model string, value double"
+    got = {(x.label, x.feature): (x.delta, x.low, x.high) for x in resample.bootstrap_mean_delta(spark.createDataFrame(rows, schema).repartition(3), "source", "adapted", n).collect()}
+    want = {}
+    for label, feature in {(x[1], x[2]) for x in rows if x[1] != "alone"}:
+        phi = []
+        for m in ("source", "adapted"):
+            of = [(i, abs(v)) for i, lab, f, k, v in rows if (lab, f, k) == (label, feature, m) and v is not None]
+            ids = [(i, v) for i, v in of if i is not None]
+            w = resample._weights(np.array([i for i, _ in ids]), np.arange(n))
+            phi.append([np.mean([v for _, v in of]), *(np.array([v for _, v in ids]) @ w / w.sum(axis=0))])
+        d = np.array(phi[1]) - phi[0]
+        want[label, feature] = (d[0], *np.percentile(d[1:], [2.5, 97.5]))
+    assert len(want) == 15 and got.keys() == want.keys()  # a null label is a group of its own
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize("limits", [(1 << 17, 2048, 4096, 1024), (100, 3, 4, 2)])
+def test_a_task_sends_each_group_once_and_weighs_an_id_once(monkeypatch, limits):
+    import pyarrow as pa
+
+    for name, x in zip(("ROWS_AT_ONCE", "GROUPS_AT_ONCE", "GROUPS", "AT_ONCE"), limits):
+        monkeypatch.setattr(resample, name, x)
+    rows = [r for r in attribution_rows() if r[4] is not None]
+    weighed, plain_weights = [], resample._weights
+    monkeypatch.setattr(resample, "_weights", lambda ids, numbers: weighed.extend(ids) or plain_weights(ids, numbers))
+    task, sent = resample._Sums(8), []
+    for at in range(0, len(rows), limits[0]):
+        sent += task.add(pa.table(dict(zip(("id", "label", "feature", "model", "value"), zip(*rows[at : at + limits[0]])))))
+    kept = [x for b in [*sent, *task.take()] for x in b.to_pylist()]
+    groups = {r[1:4] for r in rows}
+    if limits[2] > len(groups):
+        assert len(kept) == len(groups) and len(weighed) <= 2 * 60 + 3  # each id is in two labels
+    total = {}
+    for x in kept:
+        k = x["label"], x["feature"], x["model"]
+        total[k] = total.get(k, 0) + np.array([x["s"], x["w"]])
+    for k in groups:
+        of = [(i, v) for i, *key, v in rows if tuple(key) == k]
+        w = np.array([np.r_[1, plain_weights(np.array([i or 0]), np.arange(8))[0] * (i is not None)] for i, _ in of])
+        assert total[k] == pytest.approx(np.array([[v for _, v in of] @ w, w.sum(axis=0)]))

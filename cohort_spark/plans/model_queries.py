@@ -287,7 +287,7 @@ def bootstrap_attribution(spark, d):
 
 @query(f"WITH {st.ATTR}, {BOOT} SELECT label, count(*) AS n, count(*) FILTER (low > 0) AS up, count(*) FILTER (high < 0) AS down FROM b2 GROUP BY 1")
 def attribution_significance(spark, d):
-    return resample.significance(resample.bootstrap_mean_delta(st.attributions(spark, d), "source", "adapted", REPLICATES), ["label"])
+    return resample.significance(_attribution_intervals(spark, d), ["label"])
 
 
 def _normal_cdf(z: str) -> str:

@@ -17,7 +17,7 @@ and the driver moves a matrix of fixed size. The word weights are updated in rou
 normalizers of the round before, each weight is moved to where its own gradient (observed minus expected minus prior) is 0,
 and tasks add up the new normalizers. Both stop at a stated tolerance.
 
-Scoring adds up, per text in sparse numpy batches, what the broadcast tables know: class parts, counts of the HEAD most frequent
+Scoring adds up, for the texts of a run at a time, what the broadcast tables know: class parts, counts of the HEAD most frequent
 words, weights of the HEAD_PAIRS most frequent features. A bitmap of fixed size says which other features can exist. Rarer
 words, and words with other features, go to the tables by a join on the word's hash. Nothing is dropped or estimated: the
 split only decides which way a number travels.
@@ -29,7 +29,7 @@ uniform model, an empty one no rows; words are told by 57 bits of a hash; other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,6 +50,8 @@ ROUNDS, TOLERANCE, PRIOR, STEP = 20, 1e-4, 4.0, 0.5
 LEAST, WORD_PRIOR, WORD_ROUNDS, WORD_TOLERANCE = 2, 2.0, 6, 1e-2
 #: Words whose counts, and features whose weights, are broadcast at most (8 and 12 MB); bits of the map of features (8 MB).
 HEAD, HEAD_PAIRS, MAP_BITS = 500_000, 1_000_000, 26
+#: Tokens, of whole texts, that a worker numbers and scores at once.
+AT_ONCE = 1 << 15
 #: The number of the word that ends a text.
 END = 0x1E5D
 
@@ -62,10 +64,44 @@ def token_words(text: str | None) -> np.ndarray:
     return np.append(hash_words(split_words(text)) >> np.uint64(_SHIFT), np.uint64(END))
 
 
-def history(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the word before each token and of the one before that."""
-    b = 1 + (mix(words) % np.uint64(BUCKETS - 1)).astype(np.int64)
-    return np.r_[0, b[:-1]], np.r_[0, 0, b[:-2]][: len(b)]
+@dataclass
+class Run:
+    """The tokens of a few texts one after the other: their words' numbers, and where each text starts."""
+
+    words: np.ndarray
+    starts: np.ndarray
+
+
+def runs(texts: Iterable[str | None]) -> Iterator[Run]:
+    """All of ``texts`` as ``token_words`` has them, AT_ONCE tokens or one more text at a time."""
+    held, ends = [], []
+    for t in texts:
+        held += split_words(t)
+        ends.append(len(held))
+        held.append(b"")  # no word is empty
+        if len(held) >= AT_ONCE:
+            yield _run(held, ends)
+            held, ends = [], []
+    if held:
+        yield _run(held, ends)
+
+
+def _run(held: list[bytes], ends: list[int]) -> Run:
+    words = hash_words(held) >> np.uint64(_SHIFT)
+    words[ends] = END
+    return Run(words, np.r_[0, np.array(ends[:-1], np.int64) + 1])
+
+
+def history(words: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the word before each token and of the one before that; ``starts`` are the first tokens of texts that follow
+    each other, by default the first of all."""
+    bucket = 1 + (mix(words) % np.uint64(BUCKETS - 1)).astype(np.int64)
+    starts = 0 if starts is None else starts
+    one = np.r_[0, bucket[:-1]]
+    one[starts] = 0
+    two = np.r_[0, one[:-1]]
+    two[starts] = 0
+    return one, two
 
 
 def pair_keys(words: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -95,10 +131,9 @@ def pair_counts(train: DataFrame, text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for batch in batches:
-            for t in batch[text]:
-                words = token_words(t)
-                held.append(pair_keys(words, history(words)[0]))
-                n += len(words)
+            for part in runs(batch[text]):
+                held.append(pair_keys(part.words, history(part.words, part.starts)[0]))
+                n += len(part.words)
                 if n > 2_000_000:
                     yield counted(held)
                     held, n = [], 0
@@ -190,13 +225,13 @@ def history_counts(train: DataFrame, text: str, words) -> DataFrame:
         known = words.value
         table = np.zeros(_CONTEXTS * CLASSES, np.int64)
         for batch in batches:
-            at = []
-            for t in batch[text]:
-                w = token_words(t)
-                one, two = history(w)
-                at.append((one * BUCKETS + two) * CLASSES + known.class_of(w))
-            if at:
-                table += np.bincount(np.concatenate(at), minlength=len(table))
+            cells = []
+            for part in runs(batch[text]):
+                distinct, place = np.unique(part.words, return_inverse=True)
+                one, two = history(part.words, part.starts)
+                cells.append((one * BUCKETS + two) * CLASSES + known.class_of(distinct)[place])
+            if cells:
+                table += np.bincount(np.concatenate(cells), minlength=len(table))
         table = table.reshape(_CONTEXTS, CLASSES)
         some = np.flatnonzero(table.any(axis=1))
         yield pd.DataFrame(table[some], columns=names).assign(context=some)
@@ -377,37 +412,39 @@ def score_with(model: Model, docs: DataFrame) -> DataFrame:
         known, classes, base, keys, weights, bits, ends = shared.value
         logs = np.log10(known.counts + 1.0)
         for batch in batches:
-            texts, rest = [], []
-            for row, t in zip(batch["row"].to_numpy(), batch["text"]):
-                w = token_words(t)
-                one, two = history(w)
-                at, there = known.find(w)
-                k = known.class_of(w)
-                c = np.zeros(len(w))
-                if len(logs):
-                    c[there] = logs[at[there]]
-                c[-1], there[-1] = np.log10(ends + 1), True
-                part = classes[one * BUCKETS + two, k].sum(dtype=np.float64) - base[one, k].sum()
-                key = pair_keys(w, one)
-                fits = np.zeros(len(w), bool)
+            first = 0
+            for part in runs(batch["text"]):
+                starts, many = part.starts, len(part.starts)
+                some = batch.iloc[first : first + many]
+                first += many
+                one, two = history(part.words, starts)
+                key, place = np.unique(pair_keys(part.words, one), return_inverse=True)
+                word = key >> np.uint64(_SHIFT)  # ascending, as the keys are
+                at, there = known.find(word)
+                end = word == END
+                c = np.where(there, logs[at], 0.0) if len(logs) else np.zeros(len(key))
+                c[end] = np.log10(ends + 1)
+                k = known.class_of(word)
+                weight, fits = np.zeros(len(key)), np.zeros(len(key), bool)
                 if len(keys):
-                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    fits = (keys[place] == key) & there  # a rarer word takes its weights from the tables
-                    part += weights[place[fits]].sum(dtype=np.float64)
+                    near = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    fits = (keys[near] == key) & there  # a rarer word takes its weights from the tables
+                    weight[fits] = weights[near[fits]]
                 bit = _bit(key)
                 maybe = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
                 kind = np.where(there, np.where(fits | ~maybe, 0, 1), 2)
-                kind[-1] = 0
-                far = kind > 0
-                some, first, tf = np.unique(key[far], return_index=True, return_counts=True)
+                kind[end] = 0
                 # The end's share is its class' alone: its denominator is already in ``base``.
-                texts.append((len(w), int(there.sum()) - (ends == 0), c.sum(), part + c.sum()))
-                rest.append((np.full(len(some), row), some.view(np.int64), kind[far][first], tf))
-            if texts:
-                out = pd.DataFrame(texts, columns=["tf", "known", "s", "m"])
-                yield out.assign(row=batch["row"].to_numpy(), doc_id=batch["doc_id"].to_numpy(), no_id=batch["no_id"].to_numpy(), key=0, rare=0)[columns]
-                row, key, kind, tf = (np.concatenate(x) for x in zip(*rest))
-                yield pd.DataFrame({"row": row, "key": key, "rare": kind, "tf": tf}).assign(known=0, s=0.0, m=0.0, doc_id=0, no_id=False)[columns]
+                weight += c - base[(key & np.uint64(BUCKETS - 1)).astype(np.int64), k]
+                m = classes[one * BUCKETS + two, k[place]] + weight[place]
+                settled = np.add.reduceat((there | end)[place].astype(np.int64), starts) - (ends == 0)
+                rows, n = some["row"].to_numpy(), np.diff(np.r_[starts, len(place)])
+                yield pd.DataFrame({"row": rows, "doc_id": some["doc_id"].to_numpy(), "no_id": some["no_id"].to_numpy(), "key": 0, "rare": 0, "tf": n, "known": settled,
+                                    "s": np.add.reduceat(c[place], starts), "m": np.add.reduceat(m, starts)})[columns]
+                far = np.flatnonzero(kind[place])
+                cell, tf = np.unique(np.repeat(np.arange(many), n)[far] * len(key) + place[far], return_counts=True)
+                text, which = cell // len(key), cell % len(key)
+                yield pd.DataFrame({"row": rows[text], "key": key[which].view(np.int64), "rare": kind[which], "tf": tf}).assign(known=0, s=0.0, m=0.0, doc_id=0, no_id=False)[columns]
 
     # A null id travels as a mark: in a batch of doubles, large ids would change.
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text")

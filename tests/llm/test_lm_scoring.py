@@ -50,3 +50,16 @@ def test_edges(spark):
     assert lm.score(df).count() == len(EDGE) and lm.score(df.limit(0)).count() == 0
     none = lm.score(spark.createDataFrame([(4, "a b")], "doc_id long, text string").where("doc_id is null or doc_id > 0"))
     assert none.count() == 1
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 15])
+def test_texts_of_a_run_are_numbered_as_each_alone(monkeypatch, most):
+    monkeypatch.setattr(lm, "AT_ONCE", most)
+    texts = [None, "", "a", "A b\tc", "  ", "d e f g h i j k l", None, "a b"]
+    parts = list(lm.runs(texts))
+    assert len(parts) == {1: 8, 7: 3, 1 << 15: 1}[most]
+    words = [lm.token_words(t) for t in texts]
+    assert np.concatenate([p.words for p in parts]).tolist() == np.concatenate(words).tolist()
+    got, want = [lm.history(p.words, p.starts) for p in parts], [lm.history(w) for w in words]
+    for k in range(2):
+        assert np.concatenate([g[k] for g in got]).tolist() == np.concatenate([w[k] for w in want]).tolist()
